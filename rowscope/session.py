@@ -22,6 +22,7 @@ _DEFAULTS = {
     # Arrow batches bound the memory of Python workers (they do not spill).
     "spark.sql.execution.arrow.maxRecordsPerBatch": "5000",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
