@@ -1 +1,196 @@
-"""Registered queries (filled in below)."""
+"""Registered queries for feature preparation, detectors and evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rowscope.detect import features as M
+from rowscope.detect.copod import copod_scores
+from rowscope.operators import evaluate as E
+from rowscope.plans.catalog import query, r6, t
+
+# ---------------------------------------------------------------- SQL pieces
+
+EMB_LONG = """emb_long AS (
+  SELECT vec_id AS row_id, CAST(label = 0 AS INTEGER) AS y,
+         CAST(unnest(generate_series(0, len(embedding) - 1)) AS INTEGER) AS j,
+         CAST(unnest(embedding) AS DOUBLE) AS v
+  FROM embeddings)"""
+
+COPOD_SQL = """copod_cnt AS (SELECT j, v, count(*) AS c FROM emb_long GROUP BY j, v),
+copod_cum AS (SELECT j, v, c, sum(c) OVER (PARTITION BY j ORDER BY v) AS le FROM copod_cnt),
+copod_j AS (SELECT j, count(*) AS n, skewness(v) AS sk FROM emb_long GROUP BY j),
+copod_lr AS (SELECT j, v, -ln(le / n) AS l, -ln((n - le + c) / n) AS r, sign(sk) AS s
+             FROM copod_cum JOIN copod_j USING (j)),
+copod_o AS (SELECT j, v, greatest(CASE WHEN s < 0 THEN l WHEN s > 0 THEN r ELSE l + r END, (l + r) / 2) AS o
+            FROM copod_lr),
+copod AS (SELECT row_id, any_value(y) AS y, sum(o) AS score FROM emb_long JOIN copod_o USING (j, v)
+          GROUP BY row_id)"""
+
+
+def metrics_sql(src: str, q: float = 0.98) -> str:
+    """CTEs ending in ``metrics(algo, precision, recall, f1, pr_auc, roc_auc)`` over
+    ``src(algo, score, y)``."""
+    return f"""thr AS (SELECT algo, quantile_cont(score, {q}) AS t FROM {src} GROUP BY algo),
+cls AS (SELECT s.algo, sum(CASE WHEN score >= t AND y = 1 THEN 1 ELSE 0 END) AS tp,
+               sum(CASE WHEN score >= t AND y = 0 THEN 1 ELSE 0 END) AS fp,
+               sum(y) AS p, sum(1 - y) AS nn
+        FROM {src} s JOIN thr USING (algo) GROUP BY s.algo),
+ds AS (SELECT algo, score, sum(y) AS pos, sum(1 - y) AS neg, count(*) AS c FROM {src}
+       WHERE score IS NOT NULL GROUP BY algo, score),
+cu AS (SELECT *, sum(pos) OVER w AS tpc, sum(neg) OVER w AS fpc, sum(c) OVER w AS cc,
+              sum(c) OVER (PARTITION BY algo) AS nall
+       FROM ds WINDOW w AS (PARTITION BY algo ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+rk AS (SELECT algo, sum(pos * tpc / (tpc + fpc)) AS ap_sum, sum(pos * ((nall - cc) + (c + 1) / 2.0)) AS rank_sum
+       FROM cu GROUP BY algo),
+mm AS (SELECT cls.algo, CAST(p AS DOUBLE) AS p, CAST(nn AS DOUBLE) AS nn,
+              CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
+              CASE WHEN p > 0 THEN tp / p ELSE 0.0 END AS recall, ap_sum, rank_sum
+       FROM cls LEFT JOIN rk USING (algo)),
+metrics AS (SELECT algo, precision, recall,
+       CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1,
+       CASE WHEN p > 0 THEN ap_sum / p END AS pr_auc,
+       CASE WHEN p > 0 AND nn > 0 THEN (rank_sum - p * (p + 1) / 2) / (p * nn) END AS roc_auc FROM mm)"""
+
+
+ROUND_METRICS = ("round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, "
+                 "round(pr_auc, 6) AS pr_auc, round(roc_auc, 6) AS roc_auc")
+
+LI_SCORES_SQL = """li_scores AS (
+  SELECT 'l_quantity' AS algo, l_quantity AS score, CAST(l_returnflag = 'R' AS INTEGER) AS y FROM lineitem
+  UNION ALL SELECT 'l_extendedprice', l_extendedprice, CAST(l_returnflag = 'R' AS INTEGER) FROM lineitem
+  UNION ALL SELECT 'l_discount', l_discount, CAST(l_returnflag = 'R' AS INTEGER) FROM lineitem
+  UNION ALL SELECT 'l_tax', l_tax, CAST(l_returnflag = 'R' AS INTEGER) FROM lineitem)"""
+
+
+# ---------------------------------------------------------------- Spark pieces
+
+def emb_matrix(spark, sf):
+    emb = t(spark, sf, "embeddings")
+    return M.from_array(emb, "vec_id", "embedding", label=(F.col("label") == 0))
+
+
+def lineitem_scores(spark, sf):
+    li = t(spark, sf, "lineitem")
+    y = (F.col("l_returnflag") == "R").cast("int").alias("y")
+    return li.select(F.expr("stack(4, 'l_quantity', l_quantity, 'l_extendedprice', l_extendedprice, "
+                            "'l_discount', l_discount, 'l_tax', l_tax) AS (algo, score)"), y)
+
+
+def copod_long(spark, sf):
+    fm = emb_matrix(spark, sf)
+    s = copod_scores(fm)
+    return s.join(fm.select("row_id", "y"), "row_id").withColumn("algo", F.lit("COPOD"))
+
+
+# ---------------------------------------------------------------- queries
+
+@query("standard_scale", f"""
+WITH {EMB_LONG},
+st AS (SELECT j, avg(v) AS m, stddev_pop(v) AS sd FROM emb_long GROUP BY j)
+SELECT row_id, j, round((v - m) / CASE WHEN sd = 0 OR sd IS NULL THEN 1 ELSE sd END, 6) AS v
+FROM emb_long JOIN st USING (j)""")
+def _m1(spark, sf):
+    return r6(M.to_long(M.standard_scale(emb_matrix(spark, sf))).select("row_id", "j", "v"))
+
+
+@query("robust_scale", f"""
+WITH {EMB_LONG},
+st AS (SELECT j, quantile_cont(v, 0.5) AS m, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr
+       FROM emb_long GROUP BY j)
+SELECT row_id, j, round((v - m) / CASE WHEN iqr = 0 OR iqr IS NULL THEN 1 ELSE iqr END, 6) AS v
+FROM emb_long JOIN st USING (j)""")
+def _m2(spark, sf):
+    return r6(M.to_long(M.robust_scale(emb_matrix(spark, sf))).select("row_id", "j", "v"))
+
+
+@query("copod_scores", f"""
+WITH {EMB_LONG}, {COPOD_SQL}
+SELECT row_id, round(score, 6) AS score FROM copod""")
+def _d3(spark, sf):
+    return r6(copod_scores(emb_matrix(spark, sf)))
+
+
+@query("copod_leaderboard", f"""
+WITH {EMB_LONG}, {COPOD_SQL},
+sc AS (SELECT 'COPOD' AS algo, score, y FROM copod),
+{metrics_sql("sc")}
+SELECT algo, {ROUND_METRICS} FROM metrics""")
+def _d3_board(spark, sf):
+    return r6(E.leaderboard(copod_long(spark, sf)))
+
+
+@query("eval_metrics", f"""
+WITH {LI_SCORES_SQL}, {metrics_sql("li_scores")}
+SELECT algo, {ROUND_METRICS} FROM metrics""")
+def _e1_4(spark, sf):
+    return r6(E.metrics(lineitem_scores(spark, sf)))
+
+
+@query("eval_thresholds", f"""
+WITH {LI_SCORES_SQL}
+SELECT algo, round(quantile_cont(score, 0.98), 6) AS threshold FROM li_scores GROUP BY algo""")
+def _e1(spark, sf):
+    return r6(E.thresholds(lineitem_scores(spark, sf), 0.98))
+
+
+_CUM_SQL = """ds AS (SELECT algo, score, sum(y) AS pos, sum(1 - y) AS neg FROM li_scores
+       WHERE score IS NOT NULL GROUP BY algo, score),
+cu AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY algo) AS p,
+              sum(neg) OVER (PARTITION BY algo) AS nn
+       FROM ds WINDOW w AS (PARTITION BY algo ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+@query("pr_curve", f"""
+WITH {LI_SCORES_SQL}, {_CUM_SQL}
+SELECT algo, CAST(score AS DOUBLE) AS threshold, round(tp / (tp + fp), 6) AS precision, round(tp / p, 6) AS recall
+FROM cu WHERE p > 0 AND tp - pos < p
+UNION ALL SELECT DISTINCT algo, NULL, 1.0, 0.0 FROM cu WHERE p > 0""")
+def _e5(spark, sf):
+    return r6(E.pr_curve(lineitem_scores(spark, sf)))
+
+
+@query("f1_curve_max", f"""
+WITH {LI_SCORES_SQL}, {_CUM_SQL},
+pts AS (SELECT algo, tp / (tp + fp) AS pr, tp / p AS rc FROM cu WHERE p > 0 AND tp - pos < p
+        UNION ALL SELECT DISTINCT algo, 1.0, 0.0 FROM cu WHERE p > 0)
+SELECT algo, round(max(2 * pr * rc / (pr + rc + 1e-9)), 6) AS max_f1 FROM pts GROUP BY algo""")
+def _e6(spark, sf):
+    _, best = E.f1_curve(E.pr_curve(lineitem_scores(spark, sf)))
+    return r6(best)
+
+
+@query("roc_curve", f"""
+WITH {LI_SCORES_SQL}, {_CUM_SQL}
+SELECT algo, CAST(score AS DOUBLE) AS threshold, round(fp / nn, 6) AS fpr, round(tp / p, 6) AS tpr
+FROM cu WHERE p > 0 AND nn > 0
+UNION ALL SELECT DISTINCT algo, NULL, 0.0, 0.0 FROM cu WHERE p > 0 AND nn > 0""")
+def _e7(spark, sf):
+    pts, _ = E.roc_curve(lineitem_scores(spark, sf))
+    return r6(pts)
+
+
+@query("roc_auc_trapezoid", f"""
+WITH {LI_SCORES_SQL}, {_CUM_SQL}
+SELECT algo, round(sum((neg / nn) * (2 * tp - pos) / (2.0 * p)), 6) AS roc_auc_trapezoid
+FROM cu WHERE p > 0 AND nn > 0 GROUP BY algo""")
+def _e7b(spark, sf):
+    _, auc = E.roc_curve(lineitem_scores(spark, sf))
+    return r6(auc)
+
+
+@query("score_thresholds", """
+WITH b AS (SELECT value AS s FROM events WHERE value IS NOT NULL),
+m AS (SELECT quantile_cont(s, 0.995) AS q, quantile_cont(s, 0.5) AS med, avg(s) + 3 * stddev_pop(s) AS sd FROM b),
+d AS (SELECT quantile_cont(abs(s - med), 0.5) AS mad FROM b, m)
+SELECT round(q, 6) AS thr_quantile, round(sd, 6) AS thr_std, round(med + 3 * 1.4826 * (mad + 1e-12), 6) AS thr_mad
+FROM m, d""")
+def _e12(spark, sf):
+    ev = t(spark, sf, "events").select(F.col("value").alias("score"))
+    return r6(E.score_thresholds(ev, "score", 0.995, 3.0))
+
+
+@query("pot_threshold")
+def _e13(spark, sf):
+    ev = t(spark, sf, "events").select(F.col("value").alias("score"))
+    return E.pot_threshold(ev, "score")
