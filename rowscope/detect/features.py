@@ -109,3 +109,12 @@ def standard_scale(fm: DataFrame, fit_on: DataFrame | None = None) -> DataFrame:
 def robust_scale(fm: DataFrame, fit_on: DataFrame | None = None) -> DataFrame:
     """M2: (x − median) / IQR."""
     return apply_scaling(fm, feature_stats(fit_on if fit_on is not None else fm, robust=True))
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin rows over at least ``defaultParallelism`` partitions before a
+    CPU-heavy Python step (per-row cost there dwarfs the cost of one shuffle)."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)

@@ -194,3 +194,71 @@ def _e12(spark, sf):
 def _e13(spark, sf):
     ev = t(spark, sf, "events").select(F.col("value").alias("score"))
     return E.pot_threshold(ev, "score")
+
+
+# ---------------------------------------------------------------- INNE
+
+from rowscope.detect.inne import EPS as _INNE_EPS, inne_scores  # noqa: E402
+from rowscope.detect.sampling import sample_sql  # noqa: E402
+
+EMB_SRC = ("src AS (SELECT vec_id AS row_id, CAST(label = 0 AS INTEGER) AS y, "
+           "CAST(embedding AS DOUBLE[]) AS x FROM embeddings)")
+
+
+def inne_sql(T: int = 200, psi: int = 256) -> str:
+    return f"""samp AS {sample_sql("src", T, psi)},
+ipairs AS (SELECT a.tree, a.rank, b.rank AS rank2, list_distance(a.x, b.x) AS d
+           FROM samp a JOIN samp b ON a.tree = b.tree AND a.rank <> b.rank),
+irad AS (SELECT tree, rank, min(d) AS rd, arg_min(rank2, (d, rank2)) AS nn FROM ipairs GROUP BY tree, rank),
+icen AS (SELECT r.tree, r.rank, r.rd, 1 - (r2.rd * r2.rd + {_INNE_EPS!r}) / (r.rd * r.rd + {_INNE_EPS!r}) AS ratio, s.x
+         FROM irad r JOIN irad r2 ON r.tree = r2.tree AND r.nn = r2.rank
+         JOIN samp s ON s.tree = r.tree AND s.rank = r.rank),
+icov AS (SELECT p.row_id, c.tree, arg_min(c.ratio, (c.rd, c.rank)) AS r
+         FROM src p, icen c WHERE list_distance(p.x, c.x) <= c.rd GROUP BY p.row_id, c.tree),
+inne AS (SELECT src.row_id, any_value(src.y) AS y,
+                (coalesce(sum(icov.r), 0) + ({T} - count(icov.r))) / {T} AS score
+         FROM src LEFT JOIN icov USING (row_id) GROUP BY src.row_id)"""
+
+
+@query("inne_scores", f"""
+WITH {EMB_SRC}, {inne_sql()}
+SELECT row_id, round(score, 6) AS score FROM inne""")
+def _d4(spark, sf):
+    return r6(inne_scores(emb_matrix(spark, sf)))
+
+
+# ---------------------------------------------------------------- LOF
+
+from rowscope.detect.lof import knn as _knn, lof_scores  # noqa: E402
+
+SCALED_SQL = """st AS (SELECT j, avg(v) AS m, stddev_pop(v) AS sd FROM emb_long GROUP BY j),
+z AS (SELECT row_id, j, (v - m) / CASE WHEN sd = 0 OR sd IS NULL THEN 1 ELSE sd END AS z
+      FROM emb_long JOIN st USING (j)),
+pr AS (SELECT a.row_id AS p, b.row_id AS o, sum(abs(a.z - b.z)) AS d
+       FROM z a JOIN z b ON a.j = b.j AND a.row_id <> b.row_id GROUP BY a.row_id, b.row_id)"""
+
+
+def lof_sql(k: int = 75) -> str:
+    return f"""{SCALED_SQL},
+knn AS (SELECT p, o, d FROM pr QUALIFY row_number() OVER (PARTITION BY p ORDER BY d, o) <= {k}),
+kd AS (SELECT p AS o, max(d) AS kdist FROM knn GROUP BY p),
+lrd AS (SELECT p, 1 / (avg(greatest(kdist, d)) + 1e-10) AS lrd FROM knn JOIN kd USING (o) GROUP BY p),
+lof AS (SELECT knn.p AS row_id, avg(l2.lrd) / any_value(l1.lrd) AS score
+        FROM knn JOIN lrd l2 ON knn.o = l2.p JOIN lrd l1 ON knn.p = l1.p GROUP BY knn.p)"""
+
+
+@query("knn_manhattan", f"""
+WITH {EMB_LONG}, {SCALED_SQL}
+SELECT p AS row_id, o AS nbr_id, round(d, 6) AS dist,
+       row_number() OVER (PARTITION BY p ORDER BY d, o) AS rank
+FROM pr QUALIFY rank <= 10""")
+def _j4(spark, sf):
+    fm = M.standard_scale(emb_matrix(spark, sf))
+    return r6(_knn(fm, 10, "manhattan", block_rows=128))
+
+
+@query("lof_scores", f"""
+WITH {EMB_LONG}, {lof_sql()}
+SELECT row_id, round(score, 6) AS score FROM lof""")
+def _d2(spark, sf):
+    return r6(lof_scores(M.standard_scale(emb_matrix(spark, sf)), k=75))
