@@ -24,16 +24,20 @@ def unit_hash(*parts) -> F.Column:
 
 
 def tree_samples(fm: DataFrame, n_trees: int, psi: int, n: int | None = None,
-                 salt: str = "pool") -> tuple[DataFrame, int]:
+                 salt: str = "pool", tag: str | None = None) -> tuple[DataFrame, int]:
     """``(tree, rank, row_id, x)`` — ψ rows per tree (ψ clipped to n). Returns the
-    samples and the effective ψ."""
+    samples and the effective ψ. ``tag`` salts the per-tree hash so that two
+    ensembles over the same rows draw independent samples."""
     n = n if n is not None else fm.count()
     psi = int(min(psi, n))
     frac = POOL_FACTOR * n_trees * psi / max(n, 1)
     pool = fm
     if frac < 1.0:
         pool = fm.where(unit_hash(F.col("row_id"), F.lit(salt)) < F.lit(frac))
-    h = F.md5(F.concat(F.col("row_id").cast("string"), F.lit("|"), F.col("tree").cast("string")))
+    parts = [F.col("row_id").cast("string"), F.lit("|"), F.col("tree").cast("string")]
+    if tag:
+        parts += [F.lit("|"), F.lit(tag)]
+    h = F.md5(F.concat(*parts))
     pairs = (pool.select("row_id", "x", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
              .withColumn("_h", h))
     w = Window.partitionBy("tree").orderBy("_h", "row_id")

@@ -57,6 +57,7 @@ def _register_all():
     from rowscope.plans import queries_sequence  # noqa: F401
     from rowscope.plans import queries_detect  # noqa: F401
     from rowscope.plans import queries_text  # noqa: F401
+    from rowscope.plans import queries_benchmark  # noqa: F401
 
 
 _register_all()

@@ -262,3 +262,26 @@ WITH {EMB_LONG}, {lof_sql()}
 SELECT row_id, round(score, 6) AS score FROM lof""")
 def _d2(spark, sf):
     return r6(lof_scores(M.standard_scale(emb_matrix(spark, sf)), k=75))
+
+
+# ---------------------------------------------------------------- isolation forest (rows-only check)
+
+from rowscope.detect.iforest import iforest_scores  # noqa: E402
+
+
+@query("iforest_scores")
+def _d1(spark, sf):
+    """Factory setting: 300 trees, sample auto, ndim 1, depth scoring."""
+    return iforest_scores(emb_matrix(spark, sf), n_trees=300, sample_size="auto", ndim=1, metric="depth")
+
+
+@query("eif_density_scores")
+def _d1b(spark, sf):
+    """Pipeline default: 900 trees, ndim 1, sample 128, density scoring."""
+    return iforest_scores(emb_matrix(spark, sf), n_trees=900, sample_size=128, ndim=1, metric="density")
+
+
+@query("eif_hyperplane_scores")
+def _d1x(spark, sf):
+    """run_algo default: 500 trees, ndim 2, depth scoring, on standard-scaled input."""
+    return iforest_scores(M.standard_scale(emb_matrix(spark, sf)), n_trees=500, ndim=2, metric="depth")
