@@ -1 +1,114 @@
-"""Registered queries (filled in below)."""
+"""Registered queries for the text and vector operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rowscope.detect import features as M
+from rowscope.operators import text as X
+from rowscope.plans.catalog import query, r6, t
+
+_TOK = X.TOKEN_PATTERN
+
+
+def _emb(spark, sf):
+    return M.from_array(t(spark, sf, "embeddings"), "vec_id", "embedding", label=F.col("label") == 0)
+
+
+@query("retrieval_topk", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_cosine_similarity(q.x, d.x) AS sim
+      FROM e q, e d WHERE q.label = 0)
+SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(sim, 6) AS sim FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS rank FROM s)
+WHERE rank <= 8""")
+def _r1(spark, sf):
+    fm = _emb(spark, sf)
+    return r6(X.retrieve_topk(fm.select("row_id", "x"), fm.where(F.col("y") == 1).select("row_id", "x"), k=8))
+
+
+_FUZZY_SQL = f"""l AS (SELECT DISTINCT lower(trim(w)) AS token FROM (
+        SELECT unnest(regexp_extract_all(text, '{_TOK}')) AS w FROM benchmark) WHERE length(trim(w)) > 0),
+r AS (SELECT DISTINCT lower(trim(w)) AS match FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part)
+      WHERE length(trim(w)) > 0),
+fp AS (SELECT token, match, 1.0 - levenshtein(token, match) / greatest(length(token), length(match)) AS sim
+       FROM l, r),
+fz AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY sim DESC, match) AS rank
+                      FROM fp WHERE sim >= 0.8 - 1e-12) WHERE rank <= 3)"""
+
+
+def _fuzzy_inputs(spark, sf):
+    left = t(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(f"({_TOK})"), 1)).alias("w"))
+    right = t(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("w"))
+    return left, right
+
+
+@query("fuzzy_match", f"""
+WITH {_FUZZY_SQL}
+SELECT token, match, round(sim, 6) AS sim, CAST(rank AS INTEGER) AS rank FROM fz""")
+def _r2(spark, sf):
+    left, right = _fuzzy_inputs(spark, sf)
+    return r6(X.fuzzy_match(left, right, "w", "w", 0.8, 3))
+
+
+@query("correct_tokens", f"""
+WITH {_FUZZY_SQL},
+toks AS (SELECT item_id, unnest(regexp_extract_all(text, '{_TOK}')) AS w,
+                unnest(generate_series(1, len(regexp_extract_all(text, '{_TOK}')))) AS pos FROM benchmark)
+SELECT item_id, string_agg(coalesce(fz.match, toks.w), ' ' ORDER BY pos) AS corrected
+FROM toks LEFT JOIN fz ON lower(toks.w) = fz.token AND fz.rank = 1 GROUP BY item_id""")
+def _r2b(spark, sf):
+    _, right = _fuzzy_inputs(spark, sf)
+    return X.correct_tokens(t(spark, sf, "benchmark"), "item_id", "text", right, "w", 0.8)
+
+
+def _kw(word):
+    return f"regexp_matches(lower(text), '(^|[^a-z0-9_]){word}([^a-z0-9_]|$)')"
+
+
+@query("keyword_tags", f"""
+SELECT conv_id, turn,
+       ({' OR '.join(_kw(w) for w in X.QT_WORDS)}) AS need_qt,
+       ({' OR '.join(_kw(w) for w in X.ANOMALY_WORDS)}) AS need_anomaly,
+       concat_ws(',', {', '.join(f"CASE WHEN {_kw(a.lower())} THEN '{a}' END" for a in X.DETECTORS)}) AS algorithms,
+       regexp_extract(text, '{X.CSV_PATTERN}', 1) AS csv_path
+FROM conversations""")
+def _r3(spark, sf):
+    out = X.keyword_tags(t(spark, sf, "conversations"), "text")
+    return out.select("conv_id", "turn", "need_qt", "need_anomaly",
+                      F.array_join("algorithms", ",").alias("algorithms"), "csv_path")
+
+
+def _param(aliases):
+    alt = "|".join(aliases)
+    return (f"list_last(regexp_extract_all(regexp_extract(lower(text), 'eif\\s*\\((.*?)\\)', 1), "
+            f"'(?:^|[,\\s]+)(?:{alt})=([^,\\s]*)', 1))")
+
+
+@query("extract_params", f"""
+SELECT conv_id, turn, regexp_extract(text, '{X.CSV_PATTERN}', 1) AS csv_path,
+       TRY_CAST(nullif({_param(['ndim', 'n'])}, NULL) AS INTEGER) AS ndim,
+       {_param(['sample_size', 'ss'])} AS sample_size,
+       TRY_CAST({_param(['ntrees', 'trees', 't'])} AS INTEGER) AS ntrees,
+       {_param(['scoring_metric', 'metric'])} AS scoring_metric
+FROM conversations""")
+def _r4(spark, sf):
+    out = X.extract_params(t(spark, sf, "conversations"), "text")
+    return out.select("conv_id", "turn", "csv_path", "ndim", "sample_size", "ntrees", "scoring_metric")
+
+
+@query("action_slice", """
+SELECT page_id, CASE WHEN strpos(html, '{') > 0 AND strpos(html, '}') > 0
+                      AND length(html) - strpos(reverse(html), '}') + 1 >= strpos(html, '{')
+                     THEN substr(html, strpos(html, '{'), length(html) - strpos(reverse(html), '}') + 1 - strpos(html, '{') + 1)
+                END AS raw_action
+FROM pages""")
+def _r5(spark, sf):
+    return X.parse_actions(t(spark, sf, "pages"), "html").select("page_id", "raw_action")
+
+
+@query("action_parse")
+def _r5b(spark, sf):
+    out = X.parse_actions(t(spark, sf, "pages"), "html")
+    return out.select("page_id", F.col("action.function").alias("function"), "args",
+                      F.col("action._corrupt").isNotNull().alias("corrupt"))
