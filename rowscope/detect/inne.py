@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowscope.detect.features import spread
 from rowscope.detect.sampling import tree_samples
@@ -53,8 +54,9 @@ def fit(fm: DataFrame, n_estimators: int = 200, max_samples: int = 256) -> DataF
         _fit_tree, "tree int, rank int, x array<double>, radius double, ratio double")
 
 
-def score(fm: DataFrame, model: DataFrame) -> DataFrame:
-    """``(row_id, score)`` for every row of ``fm``."""
+def score(fm: DataFrame, model: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(row_id, *keep, score)`` for every row of ``fm``; map-only, so it also runs
+    on a streaming DataFrame with a model fitted in batch."""
     m = model.toPandas().sort_values(["tree", "rank"])  # T·ψ rows: bounded by parameters
     trees = []
     for _, g in m.groupby("tree", sort=True):
@@ -74,9 +76,17 @@ def score(fm: DataFrame, model: DataFrame) -> DataFrame:
                 best = cover.argmin(axis=1)
                 covered = np.isfinite(cover[np.arange(len(X)), best])
                 total += np.where(covered, ratio[best], 1.0)
-            yield pd.DataFrame({"row_id": pdf["row_id"].to_numpy(), "score": total / len(forest)})
-
-    return spread(fm.select("row_id", "x")).mapInPandas(run, "row_id long, score double")
+            out = {"row_id": pdf["row_id"].to_numpy()}
+            out.update({k: pdf[k] for k in keep})
+            out["score"] = total / len(forest)
+            yield pd.DataFrame(out)
+
+    schema = T.StructType([T.StructField("row_id", T.LongType())] + [fm.schema[k] for k in keep]
+                          + [T.StructField("score", T.DoubleType())])
+    src = fm.select("row_id", "x", *keep)
+    if not fm.isStreaming:
+        src = spread(src)
+    return src.mapInPandas(run, schema)
 
 
 def inne_scores(fm: DataFrame, n_estimators: int = 200, max_samples: int = 256) -> DataFrame:
