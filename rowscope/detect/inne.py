@@ -36,6 +36,25 @@ def _sqdist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _covered(X: np.ndarray, sqx: np.ndarray, C: np.ndarray, rad: np.ndarray) -> np.ndarray:
+    """``Σ(x−c)² <= r(c)`` for all pairs, exactly as ``_sqdist`` decides it.
+
+    The BLAS form ‖x‖² + ‖c‖² − 2x·c decides every pair whose distance is
+    farther than a rounding bound from the radius; the few pairs inside the bound
+    are recomputed with the per-pair sum, so the result equals the exact test.
+    """
+    sqc = (C * C).sum(axis=1)
+    approx = sqx[:, None] + sqc[None, :] - 2.0 * (X @ C.T)
+    tol = 1e-9 * (sqx[:, None] + sqc[None, :] + 1.0)
+    inside = approx <= rad[None, :] - tol
+    unsure = np.abs(approx - rad[None, :]) <= tol
+    if unsure.any():
+        ri, ci = np.nonzero(unsure)
+        diff = X[ri] - C[ci]
+        inside[ri, ci] = (diff * diff).sum(axis=1) <= rad[ci]
+    return inside
+
+
 def _fit_tree(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("rank")
     X = np.stack(pdf["x"].to_numpy()).astype(float)
@@ -70,9 +89,10 @@ def score(fm: DataFrame, model: DataFrame, keep: tuple[str, ...] = ()) -> DataFr
                 continue
             X = np.stack(pdf["x"].to_numpy()).astype(float)
             total = np.zeros(len(X))
+            sqx = (X * X).sum(axis=1)
             for C, rad, ratio in forest:
-                d = _sqdist(X, C)
-                cover = np.where(d <= rad[None, :], rad[None, :], np.inf)
+                cover_mask = _covered(X, sqx, C, rad)
+                cover = np.where(cover_mask, rad[None, :], np.inf)
                 best = cover.argmin(axis=1)
                 covered = np.isfinite(cover[np.arange(len(X)), best])
                 total += np.where(covered, ratio[best], 1.0)

@@ -193,12 +193,16 @@ def keyword_tags(df: DataFrame, text_col: str, substring: bool = False) -> DataF
     """Adds ``need_qt``, ``need_anomaly``, ``algorithms`` (array) and ``csv_path``.
     Word-bounded matching by default; ``substring=True`` is the reference rule."""
     t = F.lower(col(text_col))
-    qt = F.lit(False)
-    for w in QT_WORDS:
-        qt = qt | _has(t, w, substring)
-    an = F.lit(False)
-    for w in ANOMALY_WORDS:
-        an = an | _has(t, w, substring)
+    if substring:
+        qt = F.lit(False)
+        for w in QT_WORDS:
+            qt = qt | _has(t, w, True)
+        an = F.lit(False)
+        for w in ANOMALY_WORDS:
+            an = an | _has(t, w, True)
+    else:  # one regex pass per flag: the alternation of its words
+        qt = _has(t, "(" + "|".join(QT_WORDS) + ")", False)
+        an = _has(t, "(" + "|".join(ANOMALY_WORDS) + ")", False)
     algos = F.array_compact(F.array(*[F.when(_has(t, a.lower(), substring), F.lit(a)) for a in DETECTORS]))
     return df.withColumns({"need_qt": qt, "need_anomaly": an, "algorithms": algos,
                            "csv_path": F.regexp_extract(col(text_col), CSV_PATTERN, 1)})

@@ -38,15 +38,22 @@ def default_buckets(df: DataFrame) -> int:
     return max(8, min(1024, 2 * shuffle_partitions(df.sparkSession)))
 
 
+ROWS_PER_BUCKET = 1 << 18
+
+
 def prefix_sums(df: DataFrame, key: str, sums: Sequence[str], group: Sequence[str] = (),
                 descending: bool = False, buckets: int | None = None,
-                bounded_groups: bool = False, prefix: str = "cum_") -> DataFrame:
+                bounded_groups: bool = False, prefix: str = "cum_",
+                rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add ``{prefix}{c}``: inclusive running sum of ``c`` in key order per group.
 
-    ``key`` must be unique within each group. ``bounded_groups=True`` states that
-    the number of groups is a small parameter (algorithms, features), which makes
-    the cut-point and offset tables safe to broadcast; otherwise AQE decides from
-    their measured size.
+    ``key`` must be unique within each group. Only groups with more than
+    ``rows_per_bucket`` keys are cut into buckets (hot groups; there are at most
+    total/rows_per_bucket of them, so their cut table is small); every other group
+    is one window partition. An explicit ``buckets`` cuts every group.
+    ``bounded_groups=True`` states that the number of groups is a small
+    parameter (algorithms, features), which makes the cut-point and offset
+    tables safe to broadcast; otherwise AQE decides from their measured size.
     """
     group = list(group)
     if not group:
@@ -55,19 +62,26 @@ def prefix_sums(df: DataFrame, key: str, sums: Sequence[str], group: Sequence[st
         bounded_groups = True
     else:
         grp = group
+    # cut points only balance the buckets: an approximate sketch (rank error about
+    # 1/(20·b)) is enough, and keeps the per-group sketch small
     b = buckets or default_buckets(df)
     probs = [i / b for i in range(1, b)]
     k = F.col(key)
     if b > 1:
+        # one aggregation gives each group's size and cut points; only groups
+        # larger than rows_per_bucket use them (others stay one bucket, and skip
+        # the per-row cut search)
         cuts = df.groupBy(*grp).agg(
-            F.percentile_approx(k, probs, max(10000, 20 * b)).alias("_rs_cuts"))
+            F.count(F.lit(1)).alias("_rs_n"),
+            F.percentile_approx(k, probs, max(200, 20 * b)).alias("_rs_cuts"))
         cuts_side = F.broadcast(cuts) if bounded_groups else cuts
         rows = df.join(cuts_side, grp, "left")
         if descending:
             bucket = F.size(F.filter("_rs_cuts", lambda c: c >= k))
         else:
             bucket = F.size(F.filter("_rs_cuts", lambda c: c < k))
-        rows = rows.withColumn("_rs_b", bucket).drop("_rs_cuts")
+        split = F.lit(True) if buckets is not None else (F.col("_rs_n") > rows_per_bucket)
+        rows = rows.withColumn("_rs_b", F.when(split, bucket).otherwise(F.lit(0))).drop("_rs_cuts", "_rs_n")
     else:
         rows = df.withColumn("_rs_b", F.lit(0))
     order = k.desc() if descending else k.asc()
@@ -80,7 +94,7 @@ def prefix_sums(df: DataFrame, key: str, sums: Sequence[str], group: Sequence[st
              .rowsBetween(Window.unboundedPreceding, -1))
     offs = tot.select(*grp, "_rs_b", *[
         F.coalesce(F.sum(f"_rs_t_{c}").over(w_off), F.lit(0)).alias(f"_rs_o_{c}") for c in sums])
-    offs_side = F.broadcast(offs) if bounded_groups else offs
+    offs_side = F.broadcast(offs) if (bounded_groups and not group) else offs
     out = rows.join(offs_side, [*grp, "_rs_b"], "left")
     for c in sums:
         out = out.withColumn(f"{prefix}{c}", F.col(f"_rs_o_{c}") + F.col(f"_rs_l_{c}"))
