@@ -285,3 +285,41 @@ def _d1b(spark, sf):
 def _d1x(spark, sf):
     """run_algo default: 500 trees, ndim 2, depth scoring, on standard-scaled input."""
     return iforest_scores(M.standard_scale(emb_matrix(spark, sf)), n_trees=500, ndim=2, metric="depth")
+
+
+# ---------------------------------------------------------------- PCA, quantile transform, EIF grid (rows-only)
+
+@query("pca_variance_share")
+def _m4(spark, sf):
+    """M4: components keeping 95 % of the variance (signs are free: rows-only check)."""
+    out = M.pca(M.standard_scale(emb_matrix(spark, sf)), 0.95)
+    return out.select("row_id", F.size("x").alias("k"), F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
+                      .alias("sq_norm"))
+
+
+@query("pca_fixed_dims")
+def _m5(spark, sf):
+    """M5/M6: 64 requested → clipped to min(n, d) − 1, whitened."""
+    out = M.pca(M.standard_scale(emb_matrix(spark, sf)), 64, whiten=True)
+    return out.select("row_id", F.size("x").alias("k"))
+
+
+@query("quantile_normal")
+def _m3(spark, sf):
+    return M.quantile_normal(emb_matrix(spark, sf)).select("row_id", "x")
+
+
+@query("eif_grid_best")
+def _d1c(spark, sf):
+    """D1c on a reduced grid: every setting scored, AP per setting, best first."""
+    from rowscope.detect.iforest import grid as eif_grid
+
+    fm = emb_matrix(spark, sf)
+    rows = []
+    for params, s in eif_grid(fm, trees=(50, 100), samples=(128,), ndims=(1,), metrics=("depth", "density")):
+        m = E.metrics(s.join(fm.select("row_id", "y"), "row_id").withColumn("algo", F.lit(str(params))))
+        rows.append(m)
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.orderBy(F.desc_nulls_last("pr_auc"), "algo")
