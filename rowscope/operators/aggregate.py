@@ -88,36 +88,29 @@ def percentiles(df: DataFrame, column: str | Column, qs: Sequence[float],
         v = v.where(F.col(g).isNotNull())
     counts = v.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
     cum = prefix_sums(counts, "_v", ["_c"], group, buckets=buckets, bounded_groups=bounded_groups)
-    tot = counts.groupBy(*group).agg(F.sum("_c").alias("_n")) if group else \
-        counts.agg(F.sum("_c").alias("_n"))
-    # ranks needed per group: floor and ceil of (n-1)q
-    wanted = tot.select(*group, "_n", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("qi"), F.lit(float(q)).alias("q")) for i, q in enumerate(qs)])).alias("_q"))
-    pos = (F.col("_n") - 1) * F.col("_q.q")
-    wanted = wanted.select(*group, F.col("_q.qi").alias("qi"), pos.alias("pos"),
-                           F.floor(pos).cast("long").alias("lo"), F.ceil(pos).cast("long").alias("hi"))
-    ranks = wanted.select(*group, "qi", "pos", F.explode(F.array(
-        F.struct(F.lit("lo").alias("side"), F.col("lo").alias("r")),
-        F.struct(F.lit("hi").alias("side"), F.col("hi").alias("r")))).alias("_r"))
-    ranks = ranks.select(*[F.col(g).alias(f"_rk_{g}") for g in group], "qi", "pos",
-                         F.col("_r.side").alias("side"), F.col("_r.r").alias("r"))
-    # value at rank r: the distinct value whose running-count interval holds r
-    cond = [F.col(g) == F.col(f"_rk_{g}") for g in group] + [
-        (F.col("cum__c") - F.col("_c") <= F.col("r")), (F.col("cum__c") - 1 >= F.col("r"))]
-    # the condition contains an equality on the group keys (a hash/sort join);
-    # without groups the rank side holds 2 rows per quantile and is broadcast.
-    r_side = ranks if group else F.broadcast(ranks)
-    hit = cum.join(r_side, cond).select(*group, "qi", "pos", "side", "_v")
-    piv = hit.groupBy(*group, "qi", "pos").agg(
-        F.max(F.when(F.col("side") == "lo", F.col("_v"))).alias("vlo"),
-        F.max(F.when(F.col("side") == "hi", F.col("_v"))).alias("vhi"))
-    val = F.col("vlo") + (F.col("vhi") - F.col("vlo")) * (F.col("pos") - F.floor("pos"))
-    res = piv.groupBy(*group).agg(*[F.max(F.when(F.col("qi") == i, val)).alias(n)
-                                    for i, n in enumerate(names)])
-    if not group:
-        # an empty input still yields one row of NULLs (like an ungrouped aggregate)
-        res = df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(n) for n in names]) \
-            .unionByName(res).agg(*[F.max(n).alias(n) for n in names])
+    # the one or two distinct values around rank (n-1)q: the value whose running
+    # count interval [cum - c, cum - 1] holds the rank
+    if group:
+        tot = counts.groupBy(*group).agg(F.sum("_c").alias("_n"))
+        j = cum.join(tot, group)  # one row per group on the right
+        n = F.col("_n")
+    else:
+        n_val = counts.agg(F.sum("_c")).first()[0] or 0
+        j = cum
+        n = F.lit(int(n_val))
+    lo_edge = F.col("cum__c") - F.col("_c")
+    hi_edge = F.col("cum__c") - 1
+    aggs = []
+    for i, q in enumerate(qs):
+        pos = (n - 1) * F.lit(float(q))
+        lo, hi = F.floor(pos), F.ceil(pos)
+        aggs += [F.max(F.when((lo_edge <= lo) & (hi_edge >= lo), F.col("_v"))).alias(f"_lo{i}"),
+                 F.max(F.when((lo_edge <= hi) & (hi_edge >= hi), F.col("_v"))).alias(f"_hi{i}"),
+                 F.max(pos).alias(f"_pos{i}")]
+    piv = j.groupBy(*group).agg(*aggs)
+    res = piv.select(*group, *[
+        (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (F.col(f"_pos{i}") - F.floor(f"_pos{i}")))
+        .alias(nm) for i, nm in enumerate(names)])
     return res
 
 

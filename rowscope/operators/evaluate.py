@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowscope.operators.aggregate import percentiles
@@ -30,15 +30,24 @@ def _dbl(c):
     return F.col(c).cast("double")
 
 
+def _algo_map(df: DataFrame, algo: str, value: str) -> Column:
+    """Per-algorithm scalar as a literal map (one entry per detector: bounded)."""
+    rows = df.select(algo, value).collect()
+    if not rows:
+        return F.lit(None).cast("double")
+    return F.create_map(*[x for r in rows for x in (F.lit(r[0]), F.lit(r[1]))])
+
+
 def thresholds(scores: DataFrame, q: float = 0.98, algo: str = "algo", score: str = "score") -> DataFrame:
     """Per-algorithm quantile threshold."""
     return percentiles(scores, F.col(score), [q], [algo], names=["threshold"], bounded_groups=True)
 
 
 def flags(scores: DataFrame, q: float = 0.98, algo: str = "algo", score: str = "score") -> DataFrame:
-    """Rows with ``pred = score >= threshold`` (threshold table is one row per algorithm)."""
-    thr = thresholds(scores, q, algo, score)
-    return scores.join(F.broadcast(thr), algo).withColumn(
+    """Rows with ``pred = score >= threshold``; the thresholds (one per detector)
+    are applied as a literal map, not joined."""
+    thr = F.element_at(_algo_map(thresholds(scores, q, algo, score), algo, "threshold"), F.col(algo))
+    return scores.withColumn("threshold", thr).withColumn(
         "pred", (F.col(score) >= F.col("threshold")).cast("int"))
 
 
@@ -55,31 +64,38 @@ def cumulative(scores: DataFrame, algo: str = "algo", score: str = "score", y: s
 
 def metrics(scores: DataFrame, top_q: float = 0.02, algo: str = "algo", score: str = "score",
             y: str = "y") -> DataFrame:
-    """E1-E4 per algorithm: precision, recall, f1, pr_auc, roc_auc."""
+    """E1-E4 per algorithm: precision, recall, f1, pr_auc, roc_auc.
+
+    The thresholded counts and the cumulative-table sums are two per-algorithm
+    aggregates merged by union + groupBy. ROC-AUC uses the ascending mid-rank sum
+    Σ pos·midrank = N·P − Σ pos·(cc − (c+1)/2) (cc = rows scoring at least s), so
+    no row needs the total count joined in.
+    """
     fl = flags(scores, round(1 - top_q, 12), algo, score)
+    nul = F.lit(None).cast("double")
     cls = fl.groupBy(algo).agg(
-        F.sum(F.col("pred") * F.col(y)).alias("tp"),
-        F.sum(F.col("pred") * (1 - F.col(y))).alias("fp"),
-        F.sum(F.col(y)).alias("p"),
-        F.sum(1 - F.col(y)).alias("nn"))
-    prec = F.when(F.col("tp") + F.col("fp") > 0, _dbl("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
-    rec = F.when(F.col("p") > 0, _dbl("tp") / F.col("p")).otherwise(0.0)
-    cls = cls.select(algo, "p", "nn", prec.alias("precision"), rec.alias("recall"))
+        F.sum(F.col("pred") * F.col(y)).cast("double").alias("tp"),
+        F.sum(F.col("pred") * (1 - F.col(y))).cast("double").alias("fp"),
+        F.sum(F.col(y)).cast("double").alias("p"),
+        F.sum(1 - F.col(y)).cast("double").alias("nn"),
+        nul.alias("ap_sum"), nul.alias("s1"))
+    cum = cumulative(scores, algo, score, y)
+    rk = cum.groupBy(algo).agg(
+        nul.alias("tp"), nul.alias("fp"), nul.alias("p"), nul.alias("nn"),
+        F.sum(F.col("pos") * _dbl("tp") / (F.col("tp") + F.col("fp"))).alias("ap_sum"),
+        F.sum(F.col("pos") * (F.col("cc") - (F.col("c") + 1) / 2.0)).alias("s1"))
+    m = cls.unionByName(rk).groupBy(algo).agg(*[F.max(c).alias(c) for c in ("tp", "fp", "p", "nn", "ap_sum", "s1")])
+    prec = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
+    rec = F.when(F.col("p") > 0, F.col("tp") / F.col("p")).otherwise(0.0)
+    m = m.withColumn("precision", prec).withColumn("recall", rec)
     f1 = F.when(F.col("precision") + F.col("recall") > 0,
                 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
-    cls = cls.withColumn("f1", f1)
-    cum = cumulative(scores, algo, score, y)
-    n_all = scores.where(F.col(score).isNotNull()).groupBy(algo).agg(F.count(F.lit(1)).alias("n_all"))
-    # mid-rank (ascending) of a distinct score: rows below it + (c + 1) / 2
-    mid = (F.col("n_all") - F.col("cc")) + (F.col("c") + 1) / 2.0
-    rank = (cum.join(F.broadcast(n_all), algo)
-            .groupBy(algo).agg(F.sum(F.col("pos") * _dbl("tp") / (F.col("tp") + F.col("fp"))).alias("ap_sum"),
-                               F.sum(F.col("pos") * mid).alias("rank_sum")))
-    out = cls.join(rank, algo, "left")
+    n_all = F.col("p") + F.col("nn")
+    rank_sum = n_all * F.col("p") - F.col("s1")
     ap = F.when(F.col("p") > 0, F.col("ap_sum") / F.col("p"))
     auc = F.when((F.col("p") > 0) & (F.col("nn") > 0),
-                 (F.col("rank_sum") - F.col("p") * (F.col("p") + 1) / 2.0) / (_dbl("p") * F.col("nn")))
-    return out.select(algo, "precision", "recall", "f1", ap.alias("pr_auc"), auc.alias("roc_auc"))
+                 (rank_sum - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * F.col("nn")))
+    return m.select(algo, "precision", "recall", f1.alias("f1"), ap.alias("pr_auc"), auc.alias("roc_auc"))
 
 
 def leaderboard(scores: DataFrame, top_q: float = 0.02, seconds: DataFrame | None = None,
@@ -96,7 +112,7 @@ def pr_curve(scores: DataFrame, algo: str = "algo", score: str = "score", y: str
     point of full recall, plus the closing point (precision 1, recall 0)."""
     cum = cumulative(scores, algo, score, y)
     p = scores.groupBy(algo).agg(F.sum(F.col(y)).alias("p")).where(F.col("p") > 0)
-    pts = (cum.join(F.broadcast(p), algo)
+    pts = (cum.withColumn("p", F.element_at(_algo_map(p, algo, "p"), F.col(algo))).where(F.col("p").isNotNull())
            .where(F.col("tp") - F.col("pos") < F.col("p"))
            .select(algo, F.col(score).cast("double").alias("threshold"),
                    (_dbl("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
@@ -121,7 +137,9 @@ def roc_curve(scores: DataFrame, algo: str = "algo", score: str = "score",
     cum = cumulative(scores, algo, score, y)
     pn = (scores.groupBy(algo).agg(F.sum(F.col(y)).alias("p"), F.sum(1 - F.col(y)).alias("nn"))
           .where((F.col("p") > 0) & (F.col("nn") > 0)))
-    c = cum.join(F.broadcast(pn), algo)
+    c = (cum.withColumn("p", F.element_at(_algo_map(pn, algo, "p"), F.col(algo)))
+           .withColumn("nn", F.element_at(_algo_map(pn, algo, "nn"), F.col(algo)))
+           .where(F.col("p").isNotNull()))
     pts = c.select(algo, F.col(score).cast("double").alias("threshold"),
                    (_dbl("fp") / F.col("nn")).alias("fpr"), (_dbl("tp") / F.col("p")).alias("tpr"))
     start = pn.select(algo, F.lit(None).cast("double").alias("threshold"),
@@ -170,23 +188,27 @@ def score_thresholds(scores: DataFrame, score: str = "score", q: float = 0.995,
                      group: Sequence[str] = ()) -> DataFrame:
     """Quantile, mean + k·std (population), median + k·1.4826·MAD (+1e-12).
 
-    Without groups a constant key stands in, so every step is a keyed join of
-    one-row-per-group tables.
+    Grouped: per-group tables joined on the group keys. Ungrouped: the quantile
+    and median are two numbers, applied as literals to one aggregate pass.
     """
-    user_group = list(group)
-    base = scores.select(*user_group, F.col(score).cast("double").alias("_s")).where(F.col("_s").isNotNull())
-    if not user_group:
-        base = base.withColumn("_rs_g", F.lit(0))
-    g = user_group or ["_rs_g"]
-    qs = percentiles(base, F.col("_s"), [q, 0.5], g, names=["thr_quantile", "_med"], bounded_groups=not user_group)
-    mom = base.groupBy(*g).agg((F.avg("_s") + k * F.stddev_pop("_s")).alias("thr_std"))
-    med = qs.select(*g, "_med")
-    dev = base.join(F.broadcast(med) if not user_group else med, g)
-    mad = percentiles(dev.select(*g, F.abs(F.col("_s") - F.col("_med")).alias("_d")), F.col("_d"), [0.5],
-                      g, names=["_mad"], bounded_groups=not user_group)
-    out = qs.join(mom, g).join(mad, g)
-    return out.select(*user_group, "thr_quantile", "thr_std",
-                      (F.col("_med") + k * 1.4826 * (F.col("_mad") + 1e-12)).alias("thr_mad"))
+    group = list(group)
+    base = scores.select(*group, F.col(score).cast("double").alias("_s")).where(F.col("_s").isNotNull())
+    if group:
+        qs = percentiles(base, F.col("_s"), [q, 0.5], group, names=["thr_quantile", "_med"])
+        mom = base.groupBy(*group).agg((F.avg("_s") + k * F.stddev_pop("_s")).alias("thr_std"))
+        dev = base.join(qs.select(*group, "_med"), group)
+        mad = percentiles(dev.select(*group, F.abs(F.col("_s") - F.col("_med")).alias("_d")), F.col("_d"),
+                          [0.5], group, names=["_mad"])
+        out = qs.join(mom, group).join(mad, group)
+        return out.select(*group, "thr_quantile", "thr_std",
+                          (F.col("_med") + k * 1.4826 * (F.col("_mad") + 1e-12)).alias("thr_mad"))
+    qv, med = percentiles(base, F.col("_s"), [q, 0.5], names=["a", "b"]).first()
+    mad = percentiles(base.select(F.abs(F.col("_s") - F.lit(med)).alias("_d")), F.col("_d"), [0.5],
+                      names=["m"]).first()[0] if med is not None else None
+    thr_mad = None if med is None else med + k * 1.4826 * ((mad or 0.0) + 1e-12)
+    return base.agg(F.lit(qv).cast("double").alias("thr_quantile"),
+                    (F.avg("_s") + k * F.stddev_pop("_s")).alias("thr_std"),
+                    F.lit(thr_mad).cast("double").alias("thr_mad"))
 
 
 def pot_threshold(scores: DataFrame, score: str = "score", base_q: float = 0.98,
@@ -195,24 +217,21 @@ def pot_threshold(scores: DataFrame, score: str = "score", base_q: float = 0.98,
     generalized Pareto fit by the method of moments (declared deviation from a
     likelihood fit); threshold ``t + σ/ξ((risk·n/N_t)^(−ξ) − 1)``. Falls back to
     the ``fallback_q`` quantile when fewer than 10 excesses or the fit is invalid.
+    The two quantiles are literals; the moments are one aggregate pass.
     """
-    base = (scores.select(F.col(score).cast("double").alias("_s")).where(F.col("_s").isNotNull())
-            .withColumn("_rs_g", F.lit(0)))
-    qs = percentiles(base, F.col("_s"), [base_q, fallback_q], ["_rs_g"], names=["_t", "_fb"],
-                     bounded_groups=True)
-    ex = base.join(F.broadcast(qs), "_rs_g").where(F.col("_s") > F.col("_t")).select(
-        "_rs_g", (F.col("_s") - F.col("_t")).alias("_y"))
-    mom = ex.groupBy("_rs_g").agg(F.count(F.lit(1)).alias("_nt"), F.avg("_y").alias("_m"),
-                                  F.var_pop("_y").alias("_v"))
-    n = base.groupBy("_rs_g").agg(F.count(F.lit(1)).alias("_n"))
-    d = qs.join(mom, "_rs_g", "left").join(n, "_rs_g")
+    base = scores.select(F.col(score).cast("double").alias("_s")).where(F.col("_s").isNotNull())
+    t, fb = percentiles(base, F.col("_s"), [base_q, fallback_q], names=["t", "fb"]).first()
+    t_l = F.lit(t).cast("double")
+    ex = F.when(F.col("_s") > t_l, F.col("_s") - t_l)
+    d = base.agg(F.count(F.lit(1)).alias("_n"), F.count(ex).alias("_nt"), F.avg(ex).alias("_m"),
+                 F.var_pop(ex).alias("_v"))
     xi = 0.5 * (1 - F.col("_m") * F.col("_m") / F.col("_v"))
     sigma = 0.5 * F.col("_m") * (F.col("_m") * F.col("_m") / F.col("_v") + 1)
     d = d.withColumn("xi", xi).withColumn("sigma", sigma)
     r = risk * F.col("_n") / F.col("_nt")
-    z = F.when(F.abs(F.col("xi")) < 1e-9, F.col("_t") - F.col("sigma") * F.log(r)) \
-        .otherwise(F.col("_t") + F.col("sigma") / F.col("xi") * (F.pow(r, -F.col("xi")) - 1))
+    z = F.when(F.abs(F.col("xi")) < 1e-9, t_l - F.col("sigma") * F.log(r)) \
+        .otherwise(t_l + F.col("sigma") / F.col("xi") * (F.pow(r, -F.col("xi")) - 1))
     ok = F.coalesce((F.col("_nt") >= 10) & (F.col("_v") > 0) & (F.col("sigma") > 0), F.lit(False))
-    return d.select(F.when(ok, z).otherwise(F.col("_fb")).alias("thr_pot"),
+    return d.select(F.when(ok, z).otherwise(F.lit(fb).cast("double")).alias("thr_pot"),
                     F.when(ok, F.lit("gpd_moments")).otherwise(F.lit("quantile_fallback")).alias("method"),
                     "xi", "sigma")
