@@ -55,12 +55,26 @@ def parse_algos(names: Sequence[str] | str | None) -> list[str]:
     return list(dict.fromkeys(out)) or list(ALGORITHMS)
 
 
+# LOF PCA presets (name → number of components; None = off).
+LOF_PCA_PRESETS = {"off": None, "var95": 0.95, "dim64": 64, "rand64": 64}
+
+
 def _eif(fm, train=None):
     return iforest_scores(M.standard_scale(fm), n_trees=900, sample_size=128, ndim=1, metric="density")
 
 
+def lof_with_preset(fm, preset: str = "rand64"):
+    """D2 as the benchmark runs it: standard scale, PCA preset (exact SVD in Spark ML
+    also for ``rand64``), LOF k=75 Manhattan."""
+    x = M.standard_scale(fm)
+    comps = LOF_PCA_PRESETS[preset]
+    if comps is not None:
+        x = M.pca(x, comps)
+    return lof_scores(x, k=75, metric="manhattan")
+
+
 def _lof(fm, train=None):
-    return lof_scores(M.standard_scale(fm), k=75, metric="manhattan")
+    return lof_with_preset(fm, "rand64")
 
 
 def _copod(fm, train=None):
@@ -83,6 +97,40 @@ def _ae(fm, train=None):
 
 SCORERS: dict[str, Callable[..., DataFrame]] = {
     "EIF": _eif, "LOF": _lof, "COPOD": _copod, "INNE": _inne, "OCSVM": _ocsvm, "AE": _ae}
+# Smoothing width applied to a detector's scores in row order.
+SMOOTH = {"EIF": 11, "AE": 11}
+
+
+def smooth_scores(scores: DataFrame, fm: DataFrame, k: int) -> DataFrame:
+    """W2 on a score series: order by ``time_stamp`` when the matrix carries one,
+    then ``row_id``."""
+    from rowscope.operators.sequence import smooth
+    if k <= 1:
+        return scores
+    order = ["row_id"]
+    base = scores
+    if "time_stamp" in fm.columns:
+        base = scores.join(fm.select("row_id", "time_stamp"), "row_id")
+        order = ["time_stamp", "row_id"]
+    return smooth(base, "score", order, k=k, name="_sm").select("row_id", F.col("_sm").alias("score"))
+
+
+def tuned_eif(fm: DataFrame, trees=(200, 400, 800), samples=(256, 512, "auto"), ndims=(1, 3),
+              metrics=("depth", "density")) -> tuple[DataFrame, DataFrame]:
+    """D1c with labels: score every grid setting, keep the best AP. Returns the best
+    scores and the whole grid table (uses labels to choose: reported, opt-in)."""
+    from rowscope.detect.iforest import grid
+    x = M.standard_scale(fm)
+    boards, best, best_ap = [], None, -1.0
+    for params, s in grid(x, trees=trees, samples=samples, ndims=ndims, metrics=metrics):
+        s = reliable_checkpoint(s)
+        m = E.metrics(s.join(fm.select("row_id", "y"), "row_id").withColumn("algo", F.lit(str(params))))
+        row = m.first()
+        boards.append((str(params), row["pr_auc"], row["roc_auc"]))
+        if (row["pr_auc"] or -1.0) > best_ap:
+            best, best_ap = s, row["pr_auc"] or -1.0
+    table = fm.sparkSession.createDataFrame(boards, "params string, pr_auc double, roc_auc double")
+    return best, table
 
 
 @dataclass
@@ -94,7 +142,8 @@ class BenchmarkResult:
 
 def run_benchmark(fm: DataFrame, algos: Sequence[str] | str | None = None, top_q: float = 0.02,
                   train: DataFrame | None = None, orient: bool = False,
-                  scorers: dict[str, Callable[..., DataFrame]] | None = None) -> BenchmarkResult:
+                  scorers: dict[str, Callable[..., DataFrame]] | None = None,
+                  smooth: dict[str, int] | None = None, eif_tune: bool = False) -> BenchmarkResult:
     """D11/E14. ``fm`` = ``(row_id, x[, y])``. Without labels (no ``y`` or all NULL)
     metrics use the ensemble pseudo-labels (E8/E9)."""
     names = parse_algos(algos)
@@ -105,7 +154,12 @@ def run_benchmark(fm: DataFrame, algos: Sequence[str] | str | None = None, top_q
     for name in names:
         t0 = time.perf_counter()
         try:
-            s = reliable_checkpoint(scorers[name](fm, train).select("row_id", "score"))
+            if name == "EIF" and eif_tune and "y" in fm.columns:
+                raw, _ = tuned_eif(fm)
+            else:
+                raw = scorers[name](fm, train)
+            raw = smooth_scores(raw.select("row_id", "score"), fm, (SMOOTH if smooth is None else smooth).get(name, 1))
+            s = reliable_checkpoint(raw.select("row_id", "score"))
             status.append((name, "ok", round(time.perf_counter() - t0, 3), None))
             parts.append(s.withColumn("algo", F.lit(name)))
         except Exception as e:  # noqa: BLE001 - recorded per detector
