@@ -207,7 +207,7 @@ def quantile_normal(fm: DataFrame, n_quantiles: int = 1000, subsample: int = 10_
         rr = qq * qq
         mid = (((((a[0] * rr + a[1]) * rr + a[2]) * rr + a[3]) * rr + a[4]) * rr + a[5]) * qq / \
               (((((b[0] * rr + b[1]) * rr + b[2]) * rr + b[3]) * rr + b[4]) * rr + 1)
-        lo = np.where(p < 0.5, -tail, tail)
+        lo = np.where(p < 0.5, tail, -tail)  # the rational form is the (negative) lower tail
         return np.where((p >= 0.02425) & (p <= 1 - 0.02425), mid, lo)
 
     def run(batches):
