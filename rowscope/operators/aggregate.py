@@ -246,3 +246,19 @@ def group_mean_desc(df: DataFrame, group_column: str = "Machine_ID",
     g = col(group_column)
     return (df.where(g.isNotNull()).groupBy(g).agg(F.avg(col(metric)).alias(f"avg_{metric}"))
             .orderBy(F.desc_nulls_last(f"avg_{metric}"), g))
+
+
+def grouped_pair_stat(df: DataFrame, group_column: str, x: str, y: str, stat: str = "corr",
+                      keep_all: bool = False) -> DataFrame:
+    """Per-group Pearson correlation (``corr``) or sample covariance (``cov``) of
+    two coerced columns; ``keep_all`` attaches the group value to every row with a
+    window aggregate (no join back)."""
+    from pyspark.sql import Window
+    a, b = as_num(df, x), as_num(df, y)
+    ok = a.isNotNull() & b.isNotNull()
+    fn = F.corr if stat.startswith("corr") else F.covar_samp
+    name = f"{stat[:3]}_{x}"
+    g = col(group_column)
+    if keep_all:
+        return df.withColumn(name, F.when(g.isNotNull(), fn(F.when(ok, a), F.when(ok, b)).over(Window.partitionBy(g))))
+    return df.where(g.isNotNull()).groupBy(g).agg(fn(F.when(ok, a), F.when(ok, b)).alias(name))

@@ -19,7 +19,7 @@ from rowscope.plans.ordering import row_index, with_halo
 DEFAULT_BLOCK = 100_000
 
 
-def rolling_average(df: DataFrame, group_by: str, column: str, order_by: Sequence[str],
+def rolling_average(df: DataFrame, group_by: str | None, column: str, order_by: Sequence[str],
                     window: int = 3, block_rows: int = DEFAULT_BLOCK) -> DataFrame:
     """Trailing mean over ``window`` rows per group, ``min_periods=1``.
 
@@ -35,12 +35,13 @@ def rolling_average(df: DataFrame, group_by: str, column: str, order_by: Sequenc
     name = f"{column}_rollavg_{w}"
     x = as_num(df, column)
     base = df.withColumn("_rs_x", x)
-    idx = row_index(base, [F.asc_nulls_first(group_by), *[F.asc_nulls_last(c) for c in order_by]],
-                    name="_rs_i")
+    lead = [F.asc_nulls_first(group_by)] if group_by else []  # None: one global series (Z7)
+    idx = row_index(base, [*lead, *[F.asc_nulls_last(c) for c in order_by]], name="_rs_i")
     blk = with_halo(idx, "_rs_i", max(block_rows, w), before=w - 1, after=0)
-    frame = (Window.partitionBy("_rs_blk", group_by).orderBy("_rs_i")
-             .rowsBetween(-(w - 1), Window.currentRow))
-    out = (blk.withColumn(name, F.when(col(group_by).isNotNull(), F.avg("_rs_x").over(frame)))
+    parts = ["_rs_blk", group_by] if group_by else ["_rs_blk"]
+    frame = Window.partitionBy(*parts).orderBy("_rs_i").rowsBetween(-(w - 1), Window.currentRow)
+    keep = col(group_by).isNotNull() if group_by else F.lit(True)
+    out = (blk.withColumn(name, F.when(keep, F.avg("_rs_x").over(frame)))
            .where(~F.col("_rs_halo")))
     return out.drop("_rs_x", "_rs_i", "_rs_blk", "_rs_halo")
 

@@ -250,7 +250,7 @@ lof AS (SELECT knn.p AS row_id, avg(l2.lrd) / any_value(l1.lrd) AS score
 @query("knn_manhattan", f"""
 WITH {EMB_LONG}, {SCALED_SQL}
 SELECT p AS row_id, o AS nbr_id, round(d, 6) AS dist,
-       row_number() OVER (PARTITION BY p ORDER BY d, o) AS rank
+       CAST(row_number() OVER (PARTITION BY p ORDER BY d, o) AS INTEGER) AS rank
 FROM pr QUALIFY rank <= 10""")
 def _j4(spark, sf):
     fm = M.standard_scale(emb_matrix(spark, sf))
@@ -323,3 +323,14 @@ def _d1c(spark, sf):
     for r in rows[1:]:
         out = out.unionByName(r)
     return out.orderBy(F.desc_nulls_last("pr_auc"), "algo")
+
+
+@query("self_reference_metrics", f"""
+WITH {LI_SCORES_SQL},
+t0 AS (SELECT algo, quantile_cont(score, 0.98) AS t0 FROM li_scores GROUP BY algo),
+sr AS (SELECT s.algo, s.score, CAST(s.score >= t0.t0 AS INTEGER) AS y FROM li_scores s JOIN t0 USING (algo)),
+{metrics_sql("sr")}
+SELECT algo, {ROUND_METRICS} FROM metrics""")
+def _e11(spark, sf):
+    """E11 documented: labels = own top 2 %, so AP is 1.0 by construction."""
+    return r6(E.self_reference(lineitem_scores(spark, sf).drop("y")))

@@ -148,3 +148,13 @@ def _idx(spark, sf):
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
              "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
     return row_index(li, order).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "row_idx")
+
+
+@query("rolling_average_global", """
+SELECT event_id, round(avg(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6)
+       AS value_rollavg_5
+FROM events""")
+def _z7(spark, sf):
+    ev = t(spark, sf, "events")
+    out = W.rolling_average(ev, None, "value", order_by=["ts", "event_id"], window=5, block_rows=1000)
+    return r6(out.select("event_id", "value_rollavg_5"))

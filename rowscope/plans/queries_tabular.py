@@ -292,3 +292,29 @@ def _a1skew(spark, sf):
 
 
 __all__ = ["F"]
+
+
+@query("clip_text", """
+SELECT doc_id, CASE WHEN length(text) > 200 THEN concat(substring(text, 1, 200), '...') ELSE text END AS clipped,
+       length(text) AS n_chars_text
+FROM documents""")
+def _f10(spark, sf):
+    from rowscope.functions.scalars import clip_text
+    d = t(spark, sf, "documents")
+    return d.select("doc_id", clip_text("text", 200, "...").alias("clipped"), F.length("text").cast("long").alias("n_chars_text"))
+
+
+@query("grouped_correlation", """
+SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS cor_l_quantity FROM lineitem
+WHERE l_returnflag IS NOT NULL GROUP BY l_returnflag""")
+def _z8(spark, sf):
+    return r6(A.grouped_pair_stat(t(spark, sf, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice", "corr"))
+
+
+@query("grouped_covariance_keep_all", """
+SELECT l_orderkey, l_linenumber, l_suppkey,
+       round(covar_samp(l_quantity, l_tax) OVER (PARTITION BY l_suppkey), 6) AS cov_l_quantity
+FROM lineitem""")
+def _z8b(spark, sf):
+    out = A.grouped_pair_stat(t(spark, sf, "lineitem"), "l_suppkey", "l_quantity", "l_tax", "cov", keep_all=True)
+    return r6(out.select("l_orderkey", "l_linenumber", "l_suppkey", "cov_l_quantity"))
