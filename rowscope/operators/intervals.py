@@ -82,7 +82,7 @@ def concurrency(df: DataFrame, start: str = "Actual_Start", end: str = "Actual_E
     origin = ev.agg(F.date_trunc("day", F.min("t")).alias("o")).first()["o"]
     if origin is None:
         return df.sparkSession.createDataFrame([], "bucket timestamp_ntz, concurrent double")
-    o_lit = F.lit(origin).cast("timestamp_ntz")
+    o_lit = F.lit(str(origin)).cast("timestamp_ntz")  # text form: independent of time zones
     k = F.floor(F.timestamp_diff("MICROSECOND", o_lit, F.col("t")) / F.lit(f_us)).cast("long")
     per_b = (cum.select(k.alias("k"), step_sum.alias("v"), (s + e).alias("c"))
              .groupBy("k").agg((F.sum("v") / F.sum("c")).alias("m")))
