@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from rowscope.functions.scalars import as_num, as_time, col, time_diff
 from rowscope.plans.ordering import prefix_sums
+from rowscope.session import reliable_checkpoint
 
 # Aggregation names accepted by group_by_aggregate (pandas names
 # plus the avg/variance/percentile spellings).
@@ -87,7 +88,10 @@ def percentiles(df: DataFrame, column: str | Column, qs: Sequence[float],
     for g in group:
         v = v.where(F.col(g).isNotNull())
     counts = v.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    cum = prefix_sums(counts, "_v", ["_c"], group, buckets=buckets, bounded_groups=bounded_groups)
+    if bounded_groups or not group:
+        counts = reliable_checkpoint(counts)  # read by the totals and the running counts
+    cum = prefix_sums(counts, "_v", ["_c"], group, buckets=buckets, bounded_groups=bounded_groups,
+                      checkpoint=False)
     # the one or two distinct values around rank (n-1)q: the value whose running
     # count interval [cum - c, cum - 1] holds the rank
     if group:

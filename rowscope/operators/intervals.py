@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from rowscope.functions.scalars import as_time
 from rowscope.plans.ordering import prefix_sums
+from rowscope.session import reliable_checkpoint
 
 # Pandas offset aliases and their length in seconds.
 FREQ_UNITS = {"S": 1, "s": 1, "T": 60, "min": 60, "H": 3600, "h": 3600, "D": 86400, "W": 604800}
@@ -74,12 +75,13 @@ def concurrency(df: DataFrame, start: str = "Actual_Start", end: str = "Actual_E
     ev = interval_events(df, start, end)
     per_t = ev.groupBy("t").agg(F.count_if(F.col("delta") > 0).alias("s"),
                                 F.count_if(F.col("delta") < 0).alias("e"))
-    per_t = per_t.withColumn("net", F.col("s") - F.col("e"))
-    cum = prefix_sums(per_t, "t", ["net"])
+    # one row per distinct time: every later step reads this table, not the input
+    per_t = reliable_checkpoint(per_t.withColumn("net", F.col("s") - F.col("e")))
+    cum = prefix_sums(per_t, "t", ["net"], checkpoint=False)
     cb = F.col("cum_net") - F.col("net")  # count before this time
     s, e = F.col("s"), F.col("e")
     step_sum = s * cb + s * (s + 1) / 2 + e * (cb + s) - e * (e + 1) / 2
-    origin = ev.agg(F.date_trunc("day", F.min("t")).alias("o")).first()["o"]
+    origin = per_t.agg(F.date_trunc("day", F.min("t")).alias("o")).first()["o"]
     if origin is None:
         return df.sparkSession.createDataFrame([], "bucket timestamp_ntz, concurrent double")
     o_lit = F.lit(str(origin)).cast("timestamp_ntz")  # text form: independent of time zones

@@ -67,7 +67,7 @@ def _py_str(v) -> str:
 def prefix_sums(df: DataFrame, key: str, sums: Sequence[str], group: Sequence[str] = (),
                 descending: bool = False, buckets: int | None = None,
                 bounded_groups: bool = False, prefix: str = "cum_",
-                rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                rows_per_bucket: int = ROWS_PER_BUCKET, checkpoint: bool = True) -> DataFrame:
     """Add ``{prefix}{c}``: inclusive running sum of ``c`` in key order per group.
 
     ``key`` must be unique within each group. Only groups with more than
@@ -82,6 +82,11 @@ def prefix_sums(df: DataFrame, key: str, sums: Sequence[str], group: Sequence[st
     """
     group = list(group)
     bounded = bounded_groups or not group
+    if bounded and checkpoint:
+        # the bounded path reads its input three times (cut points, bucket totals,
+        # result): cut the (pre-aggregated) input's lineage once instead of
+        # recomputing everything upstream
+        df = reliable_checkpoint(df)
     b = buckets or default_buckets(df)
     probs = [i / b for i in range(1, b)]
     k = F.col(key)
