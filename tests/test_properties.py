@@ -138,3 +138,48 @@ def test_fuzzy_prefix_blocking_is_exact(spark, threshold):
     exp = {(a, b) for a in set(words[:90]) for b in set(words[60:])
            if 1 - lev(a, b) / max(len(a), len(b)) >= threshold - 1e-12}
     assert got == exp
+
+
+@pytest.mark.parametrize("grouped", [True, False])
+def test_prefix_sums_literal_path_with_cuts(spark, grouped):
+    """Bounded groups (or none) with forced cut points: cut points and offsets as literal maps."""
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b", "c"], 400), "k": rng.permutation(400).astype(float),
+                        "v": rng.integers(0, 10, 400)})
+    df = spark.createDataFrame(pdf).repartition(3)
+    group = ["g"] if grouped else []
+    got = prefix_sums(df, "k", ["v"], group, buckets=6, bounded_groups=True).toPandas()
+    got = got.sort_values(group + ["k"])
+    base = pdf.sort_values(group + ["k"])
+    exp = base.groupby("g")["v"].cumsum() if grouped else base["v"].cumsum()
+    assert got["cum_v"].tolist() == exp.tolist()
+    # hot-group rule: only groups above rows_per_bucket are cut; results are the same
+    small = prefix_sums(df, "k", ["v"], group, bounded_groups=True, rows_per_bucket=50).toPandas()
+    assert small.sort_values(group + ["k"])["cum_v"].tolist() == exp.tolist()
+
+
+def test_prefix_sums_timestamp_key_cuts(spark):
+    rng = np.random.default_rng(13)
+    ts = pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.permutation(300), unit="s")
+    pdf = pd.DataFrame({"t": ts.astype("datetime64[us]"), "v": rng.integers(0, 5, 300)})
+    df = spark.createDataFrame(pdf).select(F.col("t").cast("timestamp_ntz").alias("t"), "v")
+    got = prefix_sums(df, "t", ["v"], buckets=7).toPandas().sort_values("t")
+    assert got["cum_v"].tolist() == pdf.sort_values("t")["v"].cumsum().tolist()
+
+
+def test_retrieval_blocked_path_equals_broadcast(spark, monkeypatch):
+    from rowscope.operators import text as X
+    rng = np.random.default_rng(14)
+    C = rng.normal(size=(150, 8))
+    corpus = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(150), "x": list(C)}),
+                                   "row_id long, x array<double>")
+    queries = corpus.where("row_id % 3 = 0")
+    a = sorted(tuple(r) for r in X.retrieve_topk(corpus, queries, k=5).collect())
+    monkeypatch.setattr(X, "MAX_BROADCAST_QUERIES", 10)
+    b = sorted(tuple(r) for r in X.retrieve_topk(corpus, queries, k=5, block_rows=16).collect())
+    assert [r[:3] for r in a] == [r[:3] for r in b]
+    assert np.allclose([r[3] for r in a], [r[3] for r in b])
+    Cn = C / np.linalg.norm(C, axis=1, keepdims=True)
+    S = Cn[::3] @ Cn.T
+    top = np.argsort(-S, axis=1, kind="stable")[:, :5]
+    assert [r[1] for r in sorted(a, key=lambda r: (r[0], r[2])) if r[0] == 0] == list(top[0])
