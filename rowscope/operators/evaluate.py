@@ -17,6 +17,7 @@ ordered inside one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -38,60 +39,95 @@ def _algo_map(df: DataFrame, algo: str, value: str) -> Column:
     return F.create_map(*[x for r in rows for x in (F.lit(r[0]), F.lit(r[1]))])
 
 
+def cumulative(scores: DataFrame, algo: str = "algo", score: str = "score", y: str | None = "y") -> DataFrame:
+    """Per (algo, distinct score), descending: c, cc (rows scoring at least s) and,
+    with labels, pos, neg and running tp, fp. Checkpointed (it is read several times)."""
+    base = scores.where(F.col(score).isNotNull())
+    aggs = [F.count(F.lit(1)).alias("c")]
+    sums = ["c"]
+    if y is not None:
+        aggs = [F.sum(F.col(y)).cast("long").alias("pos"), F.sum(1 - F.col(y)).cast("long").alias("neg")] + aggs
+        sums = ["pos", "neg", "c"]
+    ds = base.groupBy(algo, score).agg(*aggs)
+    cum = prefix_sums(ds, score, sums, [algo], descending=True, bounded_groups=True)
+    cum = cum.withColumnRenamed("cum_c", "cc")
+    if y is not None:
+        cum = cum.withColumnRenamed("cum_pos", "tp").withColumnRenamed("cum_neg", "fp")
+    return cum
+
+
+def _quantile_map(cum: DataFrame, q: float, algo: str = "algo", score: str = "score") -> dict:
+    """Exact linear-interpolation quantile per algorithm from the cumulative table:
+    a distinct score covers ascending ranks [N − cc, N − cc + c − 1]."""
+    n = {r[0]: r[1] for r in cum.groupBy(algo).agg(F.sum("c")).collect()}
+    if not n:
+        return {}
+    nmap = F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(int(v)))])
+    N = F.element_at(nmap, F.col(algo))
+    pos = (N - 1) * F.lit(float(q))
+    lo, hi = F.floor(pos), F.ceil(pos)
+    first = N - F.col("cc")
+    last = first + F.col("c") - 1
+    rows = cum.groupBy(algo).agg(
+        F.max(F.when((first <= lo) & (last >= lo), F.col(score))).alias("vlo"),
+        F.max(F.when((first <= hi) & (last >= hi), F.col(score))).alias("vhi"),
+        F.max(pos).alias("pos")).collect()
+    out = {}
+    for r in rows:
+        if r["vlo"] is None:
+            out[r[algo]] = None
+            continue
+        frac = r["pos"] - math.floor(r["pos"])
+        out[r[algo]] = float(r["vlo"]) + (float(r["vhi"]) - float(r["vlo"])) * frac
+    return out
+
+
+def _map_col(values: dict, key: str) -> Column:
+    if not values:
+        return F.lit(None).cast("double")
+    m = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v).cast("double"))])
+    return F.element_at(m, F.col(key))
+
+
 def thresholds(scores: DataFrame, q: float = 0.98, algo: str = "algo", score: str = "score") -> DataFrame:
-    """Per-algorithm quantile threshold."""
-    return percentiles(scores, F.col(score), [q], [algo], names=["threshold"], bounded_groups=True)
+    """Per-algorithm quantile threshold (one row per detector)."""
+    cum = cumulative(scores, algo, score, None)
+    thr = _map_col(_quantile_map(cum, q, algo, score), algo)
+    return cum.groupBy(algo).agg(F.max(thr).alias("threshold"))
 
 
 def flags(scores: DataFrame, q: float = 0.98, algo: str = "algo", score: str = "score") -> DataFrame:
-    """Rows with ``pred = score >= threshold``; the thresholds (one per detector)
-    are applied as a literal map, not joined."""
-    thr = F.element_at(_algo_map(thresholds(scores, q, algo, score), algo, "threshold"), F.col(algo))
+    """Rows with ``pred = score >= threshold``; thresholds applied as a literal map."""
+    thr = _map_col(_quantile_map(cumulative(scores, algo, score, None), q, algo, score), algo)
     return scores.withColumn("threshold", thr).withColumn(
         "pred", (F.col(score) >= F.col("threshold")).cast("int"))
 
 
-def cumulative(scores: DataFrame, algo: str = "algo", score: str = "score", y: str = "y") -> DataFrame:
-    """Per (algo, distinct score), descending: pos, neg, c and running tp, fp, cc."""
-    ds = (scores.where(F.col(score).isNotNull()).groupBy(algo, score)
-          .agg(F.sum(F.col(y)).cast("long").alias("pos"),
-               F.sum(1 - F.col(y)).cast("long").alias("neg"),
-               F.count(F.lit(1)).alias("c")))
-    cum = prefix_sums(ds, score, ["pos", "neg", "c"], [algo], descending=True, bounded_groups=True)
-    return cum.withColumnRenamed("cum_pos", "tp").withColumnRenamed("cum_neg", "fp") \
-              .withColumnRenamed("cum_c", "cc")
-
-
 def metrics(scores: DataFrame, top_q: float = 0.02, algo: str = "algo", score: str = "score",
             y: str = "y") -> DataFrame:
-    """E1-E4 per algorithm: precision, recall, f1, pr_auc, roc_auc.
+    """E1-E4 per algorithm: precision, recall, f1, pr_auc, roc_auc — all from one
+    cumulative table per (algo, distinct score).
 
-    The thresholded counts and the cumulative-table sums are two per-algorithm
-    aggregates merged by union + groupBy. ROC-AUC uses the ascending mid-rank sum
-    Σ pos·midrank = N·P − Σ pos·(cc − (c+1)/2) (cc = rows scoring at least s), so
-    no row needs the total count joined in.
+    Threshold: exact quantile read off the running counts; TP/FP at the threshold
+    are sums over distinct scores ``>=`` it; AP is Σ pos·precision / P; ROC-AUC uses
+    Σ pos·midrank = N·P − Σ pos·(cc − (c+1)/2).
     """
-    fl = flags(scores, round(1 - top_q, 12), algo, score)
-    nul = F.lit(None).cast("double")
-    cls = fl.groupBy(algo).agg(
-        F.sum(F.col("pred") * F.col(y)).cast("double").alias("tp"),
-        F.sum(F.col("pred") * (1 - F.col(y))).cast("double").alias("fp"),
-        F.sum(F.col(y)).cast("double").alias("p"),
-        F.sum(1 - F.col(y)).cast("double").alias("nn"),
-        nul.alias("ap_sum"), nul.alias("s1"))
     cum = cumulative(scores, algo, score, y)
-    rk = cum.groupBy(algo).agg(
-        nul.alias("tp"), nul.alias("fp"), nul.alias("p"), nul.alias("nn"),
+    thr = _map_col(_quantile_map(cum, round(1 - top_q, 12), algo, score), algo)
+    hit = F.col(score) >= thr
+    m = cum.groupBy(algo).agg(
+        F.sum(F.when(hit, F.col("pos")).otherwise(0)).cast("double").alias("tp_t"),
+        F.sum(F.when(hit, F.col("neg")).otherwise(0)).cast("double").alias("fp_t"),
+        F.sum("pos").cast("double").alias("p"),
+        F.sum("neg").cast("double").alias("nn"),
         F.sum(F.col("pos") * _dbl("tp") / (F.col("tp") + F.col("fp"))).alias("ap_sum"),
         F.sum(F.col("pos") * (F.col("cc") - (F.col("c") + 1) / 2.0)).alias("s1"))
-    m = cls.unionByName(rk).groupBy(algo).agg(*[F.max(c).alias(c) for c in ("tp", "fp", "p", "nn", "ap_sum", "s1")])
-    prec = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
-    rec = F.when(F.col("p") > 0, F.col("tp") / F.col("p")).otherwise(0.0)
+    prec = F.when(F.col("tp_t") + F.col("fp_t") > 0, F.col("tp_t") / (F.col("tp_t") + F.col("fp_t"))).otherwise(0.0)
+    rec = F.when(F.col("p") > 0, F.col("tp_t") / F.col("p")).otherwise(0.0)
     m = m.withColumn("precision", prec).withColumn("recall", rec)
     f1 = F.when(F.col("precision") + F.col("recall") > 0,
                 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
-    n_all = F.col("p") + F.col("nn")
-    rank_sum = n_all * F.col("p") - F.col("s1")
+    rank_sum = (F.col("p") + F.col("nn")) * F.col("p") - F.col("s1")
     ap = F.when(F.col("p") > 0, F.col("ap_sum") / F.col("p"))
     auc = F.when((F.col("p") > 0) & (F.col("nn") > 0),
                  (rank_sum - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * F.col("nn")))
