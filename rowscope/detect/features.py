@@ -176,7 +176,6 @@ def quantile_normal(fm: DataFrame, n_quantiles: int = 1000, subsample: int = 10_
     The grid (features × n_quantiles numbers) is the only thing on the driver.
     """
     import numpy as np
-    import pandas as pd
 
     base = fit_on if fit_on is not None else fm
     n = base.count()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowscope.functions.scalars import as_time, col, time_diff, to_time, unit_seconds
+from rowscope.functions.scalars import as_time, col, time_diff, unit_seconds
 
 # Pass-through predicates.
 ALL_ROWS = ("true", "all", "*")
