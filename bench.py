@@ -31,11 +31,12 @@ def main() -> None:
     reps = int(os.environ.get("BENCH_REPS", "3"))
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
 
-    from rowscope.plans.catalog import QUERIES
+    from rowscope.plans.catalog import load
     from rowscope.session import get_spark
 
     spark = get_spark(f"local[{cpus}]", shuffle_partitions=max(8, cpus * 2),
                       extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEM", "16g")})
+    QUERIES = load()[0]
     names = [q for q in (only or HEADLINE) if q in QUERIES]
     times: dict[str, float] = {}
     rows: dict[str, int] = {}

@@ -51,13 +51,11 @@ LINE_ORDERS_SQL = ("(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_sh
                    "JOIN orders ON l_orderkey = o_orderkey)")
 
 
-# Import order matters only for registration; modules add their queries here.
-def _register_all():
+def load() -> tuple[dict, dict]:
+    """Import every query module (each registers its queries) and return the registries."""
     from rowscope.plans import queries_tabular  # noqa: F401
     from rowscope.plans import queries_sequence  # noqa: F401
     from rowscope.plans import queries_detect  # noqa: F401
     from rowscope.plans import queries_text  # noqa: F401
     from rowscope.plans import queries_benchmark  # noqa: F401
-
-
-_register_all()
+    return QUERIES, ORACLE
