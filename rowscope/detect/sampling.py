@@ -38,11 +38,14 @@ def tree_samples(fm: DataFrame, n_trees: int, psi: int, n: int | None = None,
     if tag:
         parts += [F.lit("|"), F.lit(tag)]
     h = F.md5(F.concat(*parts))
-    pairs = (pool.select("row_id", "x", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
+    # rank narrow (row_id, tree, hash) rows; the vectors join back only for the
+    # ψ rows kept per tree
+    pairs = (pool.select("row_id", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
              .withColumn("_h", h))
     w = Window.partitionBy("tree").orderBy("_h", "row_id")
-    out = (pairs.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < psi)
-           .select("tree", "rank", "row_id", "x"))
+    keep = (pairs.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < psi)
+            .select("tree", "rank", "row_id"))
+    out = keep.join(pool.select("row_id", "x"), "row_id").select("tree", "rank", "row_id", "x")
     return out, psi
 
 
