@@ -40,9 +40,41 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``rowscope`` importable by the Python workers (``--py-files`` done from code).
+
+    Functions sent to ``mapInPandas``/``applyInPandas`` are unpickled on the
+    executors, which import this package by name. Once per application the
+    package sources are zipped on the driver and added with ``addPyFile``; Spark
+    ships the file to every executor. Skipped when the workers already import it
+    from a deployed location listed in ``spark.submit.pyFiles``.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED or "rowscope" in (spark.conf.get("spark.submit.pyFiles", "") or ""):
+        return
+    import rowscope
+    root = os.path.dirname(os.path.abspath(rowscope.__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="rowscope-pkg-"), "rowscope.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+        for base, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting a local one only if unset."""
     sc = spark.sparkContext
