@@ -78,3 +78,24 @@ def test_stream_scoring(spark, tmp_path):
     assert out.count() == emb.count()
     assert out.where((F.col("score") < 0) | (F.col("score") > 1)).count() == 0
     assert os.path.isdir(src)
+
+
+def test_entry_works_from_another_directory(tmp_path):
+    """Python workers must import the package even when the driver starts elsewhere."""
+    import subprocess
+    import sys
+    import textwrap
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = textwrap.dedent(f"""
+        import sys
+        sys.path.insert(0, {repo!r})
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+        import __spark_entry__ as e
+        df = e.queries()["inne_scores"](spark, {SF_SMALL!r})
+        print("ROWS", df.count())
+    """)
+    out = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), capture_output=True, text=True,
+                         timeout=600)
+    assert "ROWS 500" in out.stdout, out.stderr[-2000:]
