@@ -97,3 +97,31 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20,
+                 vector_width: int = 64) -> dict[str, str]:
+    """Settings for a large run, derived from the input size and the cluster's cores.
+
+    * shuffle partitions: enough that each holds about ``target_partition_bytes``
+      of shuffled data (at least 2 waves of tasks); AQE coalesces small ones and
+      splits skewed ones (a key with a third of the rows) at run time.
+    * file splits of the same size, so scan tasks match shuffle tasks.
+    * Arrow batches sized so one batch of ``vector_width`` doubles stays a few MB in
+      the Python worker (Python workers do not spill).
+    """
+    parts = max(2 * total_cores, int(input_bytes // target_partition_bytes) + 1)
+    batch_rows = max(1000, min(10_000, (4 << 20) // max(8 * vector_width, 1)))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_rows),
+        "spark.sql.session.timeZone": "UTC",
+    }
