@@ -22,8 +22,9 @@ from rowscope.sources.tables import nan_to_null
 
 # The job-table time columns parsed as datetimes.
 JOB_TIME_COLUMNS = ["Scheduled_Start", "Scheduled_End", "Actual_Start", "Actual_End"]
-# Named sensor-run groups.
+# Named sensor-run groups, and the words that select the whole tree.
 RUN_GROUPS = ["valve1", "valve2", "anomaly-free", "other"]
+WHOLE_TREE_WORDS = ("skab", "all", "")
 
 
 def sniff_delimiter(first_line: str) -> str:
@@ -110,9 +111,9 @@ def read_csv_dir(spark: SparkSession, path: str, infer_schema: bool = True,
 
 
 def read_run_group(spark: SparkSession, root: str, group: str) -> DataFrame:
-    """Named group resolution (S6): ``skab`` → whole tree, else one sub-directory."""
+    """Named group resolution (S6): a whole-tree word → every group, else one sub-directory."""
     df = read_csv_dir(spark, root)
-    if group.lower() in ("skab", "all", ""):
+    if group.lower() in WHOLE_TREE_WORDS:
         return df
     if group not in RUN_GROUPS:
         raise ValueError(f"unknown run group {group!r}; expected one of {RUN_GROUPS}")
