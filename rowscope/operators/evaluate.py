@@ -189,11 +189,13 @@ def pseudo_labels(scores: DataFrame, top_q: float = 0.02, key: str = "row_id",
                   algo: str = "algo", score: str = "score") -> DataFrame:
     """Per-algorithm top ``top_q`` flags; ``ensemble = votes >= (k+1) div 2``.
 
-    Returns ``(row_id, votes, ensemble)``; k = number of algorithms.
+    Returns ``(row_id, votes, ensemble)``; k = number of algorithms (the size of
+    the per-algorithm threshold map).
     """
-    fl = flags(scores, round(1 - top_q, 12), algo, score)
-    k = scores.select(algo).distinct().count()
-    return (fl.groupBy(key).agg(F.sum("pred").alias("votes"))
+    tmap = _quantile_map(cumulative(scores, algo, score, None), round(1 - top_q, 12), algo, score)
+    k = len(tmap)
+    pred = (F.col(score) >= _map_col(tmap, algo)).cast("int")
+    return (scores.withColumn("pred", pred).groupBy(key).agg(F.sum("pred").alias("votes"))
             .withColumn("ensemble", (F.col("votes") >= (k + 1) // 2).cast("int")))
 
 
