@@ -25,10 +25,10 @@ def query(name: str, sql: str | None = None):
 DECONTAMINATION_SQL = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS uid, list_filter(string_split_regex(
          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT cast(item_id AS VARCHAR) AS item_id, list_filter(string_split_regex(
          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
       FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
 p AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
       FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
