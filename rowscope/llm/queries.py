@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowscope.llm import decontaminate, quality, tokens
+from rowscope.llm import decontaminate, language, quality, tokens
 from rowscope.llm._text import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule-ensemble quality score of every whole document."""
     return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op3_language_mixture")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language mixture and main language of every whole document."""
+    return language.languages(read(spark, sf_dir, "documents"))
