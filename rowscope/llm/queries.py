@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowscope.llm import decontaminate, language, quality, tokens
+from rowscope.llm import decontaminate, language, ppm, quality, tokens
 from rowscope.llm._text import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language mixture and main language of every whole document."""
     return language.languages(read(spark, sf_dir, "documents"))
+
+
+@query("op5_ppm_scores")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial-matching and word-baseline scores of every whole document."""
+    return ppm.corpus_scores(read(spark, sf_dir, "documents"))
