@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowscope.llm import decontaminate, language, ppm, quality, tokens
+from rowscope.llm import decontaminate, fingerprints, language, ppm, quality, tokens
 from rowscope.llm._text import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partial-matching and word-baseline scores of every whole document."""
     return ppm.corpus_scores(read(spark, sf_dir, "documents"))
+
+
+@query("op4_weighted_fingerprints")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consistent-weighted-sampling fingerprints of every whole document and its edited text."""
+    return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
