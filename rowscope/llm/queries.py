@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowscope.llm import decontaminate, fingerprints, language, ppm, quality, tokens
+from rowscope.llm import decontaminate, fingerprints, language, linededup, ppm, quality, tokens
 from rowscope.llm._text import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,36 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consistent-weighted-sampling fingerprints of every whole document and its edited text."""
     return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
+
+
+LINE_SQL = r"""
+WITH d AS (SELECT doc_id, text, md5(text) AS key FROM documents),
+t AS (SELECT key, any_value(text) AS text FROM d WHERE text IS NOT NULL GROUP BY key),
+l AS (SELECT key, pos, regexp_replace(line, '^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+$', '', 'g') AS line
+      FROM (SELECT key, unnest(range(len(a))) AS pos, unnest(a) AS line
+            FROM (SELECT key, string_split(text, chr(10)) AS a FROM t))),
+k AS (SELECT key, pos, list_transform(string_split_regex(line, '[ \t\x0B\f\r]+'),
+             lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS toks FROM l WHERE line <> ''),
+f AS (SELECT key, pos, toks, len(toks) AS n, toks[1:3] AS lead FROM k),
+v AS (SELECT n, lead FROM f GROUP BY n, lead HAVING count(DISTINCT key) >= 10),
+o AS (SELECT f.* FROM f JOIN v ON f.n = v.n AND f.lead = v.lead),
+x AS (SELECT key, pos, n, lead, unnest(range(n)) AS place, unnest(toks) AS tok FROM o),
+h AS (SELECT n, lead, place, tok FROM x WHERE tok <> '<*>' GROUP BY ALL HAVING count(*) >= 10),
+m AS (SELECT x.key, x.pos, x.n, x.lead, list(struct_pack(place := x.place, tok := x.tok) ORDER BY x.place) AS fixed
+      FROM x JOIN h ON x.n = h.n AND x.lead = h.lead AND x.place = h.place AND x.tok = h.tok
+      GROUP BY x.key, x.pos, x.n, x.lead HAVING count(*) >= 0.6 * x.n),
+r AS (SELECT n, lead, fixed FROM m GROUP BY ALL HAVING count(DISTINCT key) >= 10),
+p AS (SELECT m.key, m.pos FROM m JOIN r ON m.n = r.n AND m.lead = r.lead AND m.fixed = r.fixed),
+z AS (SELECT key, list(pos) AS gone FROM p GROUP BY key),
+q AS (SELECT doc_id, text, coalesce(gone, []::BIGINT[]) AS gone, string_split(text, chr(10)) AS a
+      FROM d LEFT JOIN z ON d.key = z.key),
+c AS (SELECT doc_id, coalesce(len(a), 0) AS n_lines, len(gone) AS n_dropped,
+             coalesce(array_to_string(list_filter(a, lambda e, i: NOT list_contains(gone, i - 1)), chr(10)), '') AS kept FROM q)
+SELECT doc_id, cast(n_lines AS BIGINT) AS n_lines, cast(n_dropped AS BIGINT) AS n_dropped,
+       cast(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS kept_sha256 FROM c"""
+
+
+@query("op8_line_templates", LINE_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates dropped from every whole document."""
+    return linededup.digest(read(spark, sf_dir, "documents"))
