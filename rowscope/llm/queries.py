@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowscope.llm import decontaminate, fingerprints, language, linededup, ppm, quality, tokens
+from rowscope.llm import decontaminate, fingerprints, language, linededup, ppm, quality, substrings, tokens
 from rowscope.llm._text import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,9 @@ SELECT doc_id, cast(n_lines AS BIGINT) AS n_lines, cast(n_dropped AS BIGINT) AS
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of recurring templates dropped from every whole document."""
     return linededup.digest(read(spark, sf_dir, "documents"))
+
+
+@query("op7_suffix_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of repeated 200-byte strings removed from every whole document."""
+    return substrings.digest(read(spark, sf_dir, "documents"))
