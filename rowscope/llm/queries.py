@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowscope.llm import decontaminate, fingerprints, language, linededup, ppm, quality, substrings, tokens
+from rowscope.llm import decontaminate, fingerprints, language, linededup, neardup, ppm, quality, substrings, tokens
 from rowscope.llm._text import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of repeated 200-byte strings removed from every whole document."""
     return substrings.digest(read(spark, sf_dir, "documents"))
+
+
+@query("op1_order_minhash")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate group of every whole document."""
+    return neardup.groups(read(spark, sf_dir, "documents"))
