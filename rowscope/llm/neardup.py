@@ -11,7 +11,9 @@ edited copies these are the least edited), not with each other: a bucket of b me
 gives at most LEADERS x b candidates, and one of up to LEADERS + 1 members gives all
 its pairs. A candidate pair is linked if the alignment of its shingle sequences, in a
 band as wide as the allowed distance, costs at most (1 - ``SIMILARITY``) x the longer
-length. Groups are the connected components of the links.
+length, and their distinct shingles agree as much as this asks of texts without repeats
+(Jaccard SIMILARITY / (2 - SIMILARITY)), so that one phrase repeated through two texts
+does not link them. Groups are the connected components of the links.
 
 Equal texts are one class and are represented once per task and once after the shuffle.
 Token sequences move for texts with a shared sketch only: a table of ``FILTER_BITS``
@@ -138,7 +140,7 @@ def banded_distance(a: list, b: list, most: int) -> int:
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether the sequences' edit similarity reaches ``similarity``."""
+    """Whether the sequences' edit similarity reaches ``similarity``, and their sets of shingles what follows from it."""
     longer = max(len(a), len(b))
     most = int((1 - similarity) * longer + 1e-9)
     if abs(len(a) - len(b)) > most:
@@ -148,7 +150,10 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     ua, ca = np.unique(a, return_counts=True)
     ub, cb = np.unique(b, return_counts=True)
     at = np.minimum(np.searchsorted(ub, ua), len(ub) - 1)
-    if np.where(ub[at] == ua, np.minimum(ca, cb[at]), 0).sum() < longer - most:  # cannot be reached
+    shared = ub[at] == ua
+    if np.where(shared, np.minimum(ca, cb[at]), 0).sum() < longer - most:  # cannot be reached
+        return False
+    if shared.sum() * (2 - similarity) < similarity * (len(ua) + len(ub) - shared.sum()) - 1e-9:
         return False
     return banded_distance(a.tolist(), b.tolist(), most) <= most
 
