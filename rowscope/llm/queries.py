@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowscope.llm import decontaminate, fingerprints, language, linededup, neardup, ppm, quality, substrings, tokens
+from rowscope.llm import decontaminate, fingerprints, language, linededup, neardup, passages, ppm, quality, substrings, tokens
 from rowscope.llm._text import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate group of every whole document."""
     return neardup.groups(read(spark, sf_dir, "documents"))
+
+
+@query("op6_compact_windows")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that repeat across documents."""
+    return passages.repeated_passages(read(spark, sf_dir, "documents"))
