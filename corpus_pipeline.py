@@ -1,14 +1,33 @@
 """Corpus pipeline: filter, clean, deduplicate, decontaminate and tokenise ``documents``.
 
-Each stage takes (spark, docs, sf_dir) and works on all documents its predecessor kept.
+Each stage takes (spark, docs, sf_dir), works on all documents that its predecessor
+kept and returns the columns of ``documents``; the last returns the token digest.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from rowscope.llm import decontaminate, tokens
+from rowscope.llm import decontaminate, linededup, neardup, quality, tokens
 from rowscope.llm._text import read
+from rowscope.session import checkpoint_dir, ship_package
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble rejects go."""
+    return quality.keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of templates that recur across documents go; every document stays."""
+    return linededup.clean_documents(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return neardup.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,23 +41,27 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
     ("bpe_encoding", bpe_encoding),
 ]
 
-#: Stages 1, 3 and 5 have no SQL form (see the tests against brute force).
+#: The first, third and last stage have no SQL form (see the tests against brute force).
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written and read again by the next."""
-    from rowscope.session import reliable_checkpoint
-
+    """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
+    ship_package(spark)
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = reliable_checkpoint(docs)
+            docs.write.parquet(f"{folder}/{i}-{name}")
+            docs = spark.read.parquet(f"{folder}/{i}-{name}")
     return docs
 
 
