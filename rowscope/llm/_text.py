@@ -28,6 +28,17 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many leading underscores as set it apart from the frame's columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def with_uid(df: DataFrame) -> DataFrame:
     """A row number that is a function of the input split and the row's place in it, so
     repeated ids stay apart and a recomputed task gives the same numbers."""

@@ -133,7 +133,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ids = source.select(F.col("doc_id").cast("double").alias("at"))
     cuts = ids.dropna().approxQuantile("at", [i / (_PER_TASK * parts) for i in range(1, _PER_TASK * parts)], 1 / (8 * _PER_TASK * parts))
-    cuts = sorted(set(cuts))
+    cuts = sorted(set(cuts)) or [0.0]
     place = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="at", outputCol="bucket", handleInvalid="keep")
     last = float(len(cuts) + 1)  # where rows without id go; counted down, they come last
     rank = F.when(F.col("at").isNull(), F.lit(last)).otherwise(F.lit(float(len(cuts))) - F.col("bucket")).cast("int")

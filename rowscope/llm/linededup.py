@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowscope.llm._text import fresh
 from rowscope.session import reliable_checkpoint
 
 DEPTH = 3
@@ -71,33 +72,35 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, m
     return template.join(recurring, "template", "left_semi").select("key", "pos")
 
 
-def cleaned(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """All columns of the documents with ``text_col`` cleaned, and the columns _n_lines and _n_dropped."""
-    drops = dropped_lines(docs, text_col, **options).groupBy("key").agg(F.collect_set("pos").alias("_drop"))
-    all_lines = F.split(F.col(f"`{text_col}`").cast("string"), "\n")
-    kept = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains(F.col("_drop"), i)), "\n")
-    key = F.unhex(F.md5(F.col(f"`{text_col}`").cast("string").cast("binary")))
-    out = docs.withColumn("_key", key).join(drops.withColumnRenamed("key", "_key"), "_key", "left")
+def cleaned(docs: DataFrame, text_col: str = "text", **options) -> tuple[DataFrame, str, str]:
+    """All columns of the documents with ``text_col`` cleaned, and the names of two new columns: the
+    number of lines and of dropped lines."""
+    key, drop, n_lines, n_dropped = fresh(docs, "key", "drop", "n_lines", "n_dropped")
+    drops = dropped_lines(docs, text_col, **options).groupBy(F.col("key").alias(key)).agg(F.collect_set("pos").alias(drop))
+    text = F.col(f"`{text_col}`").cast("string")
+    lines = F.split(text, "\n")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(drop), i)), "\n")
+    out = docs.withColumn(key, F.unhex(F.md5(text.cast("binary")))).join(drops, key, "left")
     return out.select(
-        *[F.when(F.col("_drop").isNull(), F.col(f"`{c}`")).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`")
+        *[F.when(F.col(drop).isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`")
           for c in docs.columns],
-        F.coalesce(F.size(all_lines), F.lit(0)).alias("_n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).alias("_n_dropped"))
+        F.when(text.isNull(), 0).otherwise(F.size(lines)).alias(n_lines),
+        F.coalesce(F.size(drop), F.lit(0)).alias(n_dropped)), n_lines, n_dropped
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_chars and the hash of the kept text of every document."""
-    own = cleaned(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", **options)
+    own, n_lines, n_dropped = cleaned(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", **options)
     return own.select(
-        "doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("_n_lines")).cast("bigint").alias("n_lines"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.col("_n_dropped")).cast("bigint").alias("n_dropped"),
+        "doc_id", F.col(n_lines).cast("bigint").alias("n_lines"), F.greatest(F.col(n_dropped), F.lit(0)).cast("bigint").alias("n_dropped"),
         F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("kept_chars"),
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def clean_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
     """The documents with recurring lines removed; ``chars_col``, if present, follows the new text."""
-    own = cleaned(docs, text_col, **options)
+    own, _, n_dropped = cleaned(docs, text_col, **options)
     if chars_col in docs.columns:
-        own = own.withColumn(chars_col, F.when(F.col("_n_dropped") > 0, F.length(text_col).cast(
+        own = own.withColumn(chars_col, F.when(F.col(n_dropped) > 0, F.length(text_col).cast(
             docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
     return own.select(*[F.col(f"`{c}`") for c in docs.columns])

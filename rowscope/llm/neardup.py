@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowscope.llm._graph import components
-from rowscope.llm._text import U, mix, shingles, slices, utf8, words
+from rowscope.llm._text import U, fresh, mix, shingles, slices, utf8, words
 from rowscope.session import reliable_checkpoint
 
 SKETCHES = 24
@@ -267,12 +267,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each group, that of the least id, with all columns unchanged."""
     known = reliable_checkpoint(classes(docs, id_col, text_col, **options))
+    key, head, least = fresh(docs, "key", "head", "least")
     # the class of the least id (null after all others), the first by key if ids repeat over texts
     heads = known.groupBy("group_key").agg(F.min(F.struct(F.col("class_id").isNull(), "class_id", "key")).alias("h")).select(
-        F.col("h.key").alias("_head"), F.col("h.class_id").alias("_id"))
-    own = docs.withColumn("_key", text_key(F.col(f"`{text_col}`")))
-    kept = own.join(heads, (F.col("_key") == F.col("_head")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_id")), "left_semi")
+        F.col("h.key").alias(head), F.col("h.class_id").alias(least))
+    own = docs.withColumn(key, text_key(F.col(f"`{text_col}`")))
+    kept = own.join(heads, (F.col(key) == F.col(head)) & F.col(f"`{id_col}`").eqNullSafe(F.col(least)), "left_semi")
     if (known.agg(F.max("copies")).first()[0] or 0) > 1:
-        kept = kept.dropDuplicates(["_key"])  # rows of one id and text
+        kept = kept.dropDuplicates([key])  # rows of one id and text
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
-

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowscope.llm._text import SPACE, fold, id_text, shingles, slices, utf8, words
+from rowscope.llm._text import SPACE, fold, fresh, id_text, shingles, slices, utf8, words
 
 MAX_LABELLED = 20_000
 TREES = 12
@@ -81,9 +81,7 @@ def statistics(col: pa.Array) -> np.ndarray:
 
 def with_stats(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
     """All columns of the documents and the statistics as one array column; returns its name too."""
-    name = "stats"
-    while name in docs.columns:
-        name = "_" + name
+    (name,) = fresh(docs, "stats")
 
     def run(batches):
         for batch in batches:
