@@ -18,6 +18,9 @@ from rowscope.functions.scalars import as_num, col
 from rowscope.operators.aggregate import percentiles
 
 
+EPS = 2.0 ** -52
+
+
 def from_array(df: DataFrame, id_col: str, array_col: str, label: Column | None = None) -> DataFrame:
     cols = [col(id_col).cast("long").alias("row_id"),
             F.transform(col(array_col), lambda v: v.cast("double")).alias("x")]
@@ -77,7 +80,8 @@ def _per_feature(fm: DataFrame, stat: str) -> list[float]:
 def feature_stats(fm: DataFrame, robust: bool = False) -> dict[str, list[float]]:
     """Per-feature centre and scale as driver lists (one entry per feature).
 
-    standard: mean and population std (sklearn ``StandardScaler``), std 0 → 1.
+    standard: mean and population std (sklearn ``StandardScaler``), std 0 → 1; a variance
+    within the rounding error of summing n values about the mean counts as 0.
     robust: median and IQR (q75 − q25), IQR 0 → 1.
     """
     lg = to_long(fm)
@@ -86,7 +90,9 @@ def feature_stats(fm: DataFrame, robust: bool = False) -> dict[str, list[float]]
         tab = percentiles(lg, F.col("v"), [0.25, 0.5, 0.75], ["j"], names=["q1", "c", "q3"],
                           bounded_groups=True).select("j", "c", (F.col("q3") - F.col("q1")).alias("s"))
     else:
-        tab = lg.groupBy("j").agg(F.avg("v").alias("c"), F.stddev_pop("v").alias("s"))
+        var, mean, n = F.var_pop("v"), F.avg("v"), F.count("v")
+        noise = n * EPS * var + F.pow(n * EPS * mean, F.lit(2.0))
+        tab = lg.groupBy("j").agg(mean.alias("c"), F.when(var <= noise, 0.0).otherwise(F.sqrt(var)).alias("s"))
     got = {r["j"]: (r["c"], r["s"]) for r in tab.collect()}
     centre = [got.get(j, (0.0, 1.0))[0] for j in range(d)]
     scale = [got.get(j, (0.0, 1.0))[1] for j in range(d)]
@@ -167,22 +173,18 @@ def pca(fm: DataFrame, n_components: int | float | None, fit_on: DataFrame | Non
     return out
 
 
-def quantile_normal(fm: DataFrame, n_quantiles: int = 1000, subsample: int = 10_000, seed: int = 42,
-                    fit_on: DataFrame | None = None) -> DataFrame:
-    """M3: map each feature through its empirical CDF (quantile grid from a seeded
-    subsample of about ``subsample`` rows, linear interpolation) and then the
-    standard normal inverse CDF (rational approximation; no scipy).
+def quantile_normal(fm: DataFrame, n_quantiles: int = 1000, fit_on: DataFrame | None = None) -> DataFrame:
+    """M3: map each feature through its empirical CDF (quantile grid from all rows by
+    a mergeable sketch, linear interpolation) and then the standard normal inverse CDF
+    (Acklam's rational approximation; no scipy).
 
     The grid (features × n_quantiles numbers) is the only thing on the driver.
     """
     import numpy as np
 
     base = fit_on if fit_on is not None else fm
-    n = base.count()
-    frac = min(1.0, subsample / max(n, 1))
-    samp = base.sample(False, frac, seed) if frac < 1 else base
     qs = [i / (n_quantiles - 1) for i in range(n_quantiles)]
-    grid = (to_long(samp).groupBy("j").agg(F.percentile_approx("v", qs, 10 * n_quantiles).alias("g"))
+    grid = (to_long(base).groupBy("j").agg(F.percentile_approx("v", qs, 10 * n_quantiles).alias("g"))
             .collect())
     table = {r["j"]: np.asarray(r["g"], dtype=float) for r in grid}
     refs = np.asarray(qs)

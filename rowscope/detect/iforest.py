@@ -29,6 +29,8 @@ from rowscope.detect.features import spread
 from rowscope.detect.sampling import tree_samples
 
 EULER = 0.5772156649015329
+#: Fixed value: rows per tree under the setting "auto" (a tree is a sample by definition).
+AUTO_SAMPLE = 10_000
 _SCHEMA = ("tree int, node int, left int, right int, feats array<int>, coefs array<double>, "
            "thresh double, size long, depth int, logvol double")
 
@@ -86,10 +88,10 @@ def _grow(X: np.ndarray, rng: np.random.Generator, ndim: int, max_depth: int) ->
 
 def fit(fm: DataFrame, n_trees: int = 300, sample_size: int | str = "auto", ndim: int = 1,
         seed: int = 42, n: int | None = None) -> tuple[DataFrame, int]:
-    """Node table of the forest and the effective ψ."""
+    """Node table of the forest and the effective ψ (``auto``: ``AUTO_SAMPLE`` rows)."""
     n = n if n is not None else fm.count()
-    psi = min(n, 10_000) if sample_size == "auto" else int(sample_size)
-    samples, psi = tree_samples(fm, n_trees, psi, n=n, salt=f"iforest{seed}", tag=f"if{seed}")
+    psi = AUTO_SAMPLE if sample_size == "auto" else int(sample_size)
+    samples, psi = tree_samples(fm, n_trees, psi, n=n, tag=f"if{seed}")
     max_depth = max(1, math.ceil(math.log2(max(psi, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -159,28 +161,57 @@ def score(fm: DataFrame, model: DataFrame, psi: int, metric: str = "depth",
     return spread(fm.select("row_id", "x")).mapInPandas(run, "row_id long, score double")
 
 
+def score_settings(fm: DataFrame, model: DataFrame, psi: int, counts: list[int], metrics: list[str]) -> DataFrame:
+    """``(row_id, ntrees, metric, score)`` for every count of first trees and every metric, in one pass."""
+    bc = fm.sparkSession.sparkContext.broadcast(_pack(model.toPandas()))  # bounded by T × 2ψ nodes
+    cpsi = float(c_factor(psi)) if psi > 1 else 1.0
+
+    def run(batches):
+        forest = bc.value
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            X = np.stack(pdf["x"].to_numpy()).astype(float)
+            acc = {m: np.zeros(len(X)) for m in metrics}
+            for i, (left, right, Fm, Cm, th, size, depth, logvol) in enumerate(forest, 1):
+                node = np.zeros(len(X), dtype=int)
+                a = np.arange(len(X))[left[node] >= 0]
+                while len(a):
+                    nd = node[a]
+                    proj = (X[a[:, None], Fm[nd]] * Cm[nd]).sum(axis=1)
+                    node[a] = np.where(proj <= th[nd], left[nd], right[nd])
+                    a = a[left[node[a]] >= 0]
+                for m in metrics:
+                    acc[m] += depth[node] + c_factor(size[node]) if m == "depth" else np.log(size[node] / psi) - logvol[node]
+                if i in counts:
+                    for m in metrics:
+                        mean = acc[m] / i
+                        yield pd.DataFrame({"row_id": pdf["row_id"].to_numpy(), "ntrees": i, "metric": m,
+                                            "score": np.power(2.0, -mean / cpsi) if m == "depth" else -mean})
+
+    return spread(fm.select("row_id", "x")).mapInPandas(run, "row_id long, ntrees int, metric string, score double")
+
+
 def iforest_scores(fm: DataFrame, n_trees: int = 300, sample_size: int | str = "auto", ndim: int = 1,
                    metric: str = "depth", seed: int = 42) -> DataFrame:
     model, psi = fit(fm, n_trees, sample_size, ndim, seed)
     return score(fm, model, psi, metric)
 
 
-def grid(fm: DataFrame, labels: DataFrame | None = None, trees=(200, 400, 800), samples=(256, 512, "auto"),
-         ndims=(1, 3), metrics=("depth", "density"), seed: int = 42) -> list[tuple[dict, DataFrame]]:
-    """Every (trees, sample, ndim, metric) setting; the largest forest per
-    (sample, ndim) is grown once and smaller counts score its first trees.
-    Samples larger than n are skipped. Returns (params, scores) pairs."""
+def grid(fm: DataFrame, trees=(200, 400, 800), samples=(256, 512, "auto"), ndims=(1, 3), metrics=("depth", "density"),
+         seed: int = 42) -> DataFrame:
+    """``(row_id, ntrees, metric, score, sample_size, ndim)`` of every setting. The largest forest per
+    (sample, ndim) is grown once; smaller counts score its first trees in the same pass."""
+    from pyspark.sql import functions as F
+
+    from rowscope.session import reliable_checkpoint
+
     n = fm.count()
-    out = []
+    out = None
     for ss in samples:
-        if ss != "auto" and int(ss) > n:
-            continue
         for nd in ndims:
             model, psi = fit(fm, max(trees), ss, nd, seed, n=n)
-            from rowscope.session import reliable_checkpoint
-            model = reliable_checkpoint(model)
-            for t in trees:
-                for m in metrics:
-                    out.append(({"ntrees": t, "sample_size": ss, "ndim": nd, "scoring_metric": m},
-                                score(fm, model, psi, m, n_trees_used=t)))
+            part = score_settings(fm, reliable_checkpoint(model), psi, list(trees), list(metrics)).withColumns(
+                {"sample_size": F.lit(str(ss)), "ndim": F.lit(nd)})
+            out = part if out is None else out.unionByName(part)
     return out

@@ -4,7 +4,7 @@ The exact quadratic program does not distribute. The RBF kernel is replaced by
 random Fourier features z(x) = √(2/D)·cos(Wx + b), W ~ N(0, 2γ), γ = "scale" =
 1 / (d · Var(X)), and the linear one-class objective
 ½‖w‖² + 1/(νn) Σ max(0, ρ − w·z(x)) − ρ is minimised by mini-batch subgradient
-steps with parameter averaging across partitions (``iterative.average_fit``).
+steps with parameter averaging across partitions (``iterative.average_fit``), on all rows.
 Score = ρ − w·z(x) (larger = more anomalous).
 """
 
@@ -49,12 +49,8 @@ def ocsvm_scores(fm: DataFrame, nu: float = 0.05, gamma: float | str = "scale",
             loss += float((0.5 * w @ w - rho) * len(zb) + np.maximum(0, rho - m).sum() / nu)
         return {"w": w, "rho": np.array([rho])}, loss
 
-    def val_loss(p, X):
-        m = _features(X, W, b) @ p["w"]
-        return 0.5 * p["w"] @ p["w"] - p["rho"][0] + np.maximum(0, p["rho"][0] - m) / nu
-
     p0 = {"w": np.full(n_features, 1.0 / np.sqrt(n_features)), "rho": np.array([0.0])}
-    params, _ = average_fit(fm, p0, step, rounds=rounds, loss_fn=val_loss, seed=seed)
+    params, _ = average_fit(fm, p0, step, rounds=rounds, seed=seed)
     bc = fm.sparkSession.sparkContext.broadcast((W, b, params["w"], float(params["rho"][0])))
 
     def run(batches):

@@ -1,62 +1,74 @@
 """Seeded per-tree samples without any global order (pattern shared by INNE and
 the isolation forest).
 
-Tree t's sample is the ψ rows with the smallest ``md5(row_id|t)``: deterministic
-under any partitioning and reproducible in SQL. Hashing every (row, tree) pair
-would cost n·T hashes, so rows first pass a pool filter — a second hash
-``u(row) < 4·T·ψ / n`` keeps about 4·T·ψ rows — and only the pool is paired
-with the trees. Each tree's sample is uniform over the pool, the pool uniform
-over the data. The pool size is bounded by the parameters, not by n.
+Every (row, tree) pair has one hash, a fixed arithmetic function that SQL computes too.
+A row is a candidate of a tree if the pair's hash is below the share
+``(ψ + 6√ψ + 20) / n`` (at most 1), so a tree has a little over ψ candidates, whatever n
+is, and fewer than ψ with a chance below 10⁻⁸. Its sample is the ψ candidates of
+smallest hash: a uniform sample, the same under any partitioning. Only about T·ψ narrow
+rows are made; ``row_number() <= ψ`` lets Spark cut them before the shuffle
+(``WindowGroupLimit``; the session allows it for any ψ used here).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+import zlib
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-POOL_FACTOR = 4.0
+#: Fixed value: a prime modulus whose squares fit a 64-bit integer.
+MODULUS = 2147483647
+
+
+def _salt(tag: str | None) -> int:
+    return zlib.crc32((tag or "").encode()) % MODULUS
+
+
+def pair_hash(row_id: Column, tree: Column, tag: str | None = None) -> Column:
+    """Hash of a (row, tree) pair in 0..MODULUS-1."""
+    m = F.lit(MODULUS)
+    a = (F.pmod(row_id.cast("long"), m) * 48271 + tree.cast("long") * 69621 + F.lit(_salt(tag))) % m
+    b = (a * a % m * 16807 + a * 39373 + 12345) % m
+    return (b * b % m * 48271 + b) % m
 
 
-def unit_hash(*parts) -> F.Column:
-    """Uniform [0, 1) from the first 32 bits of md5 of the '|'-joined parts."""
-    s = F.concat_ws("|", *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+def pair_hash_sql(row_id: str, tree: str, tag: str | None = None) -> str:
+    a = f"((({row_id} % {MODULUS} + {MODULUS}) % {MODULUS}) * 48271 + {tree}::BIGINT * 69621 + {_salt(tag)}) % {MODULUS}"
+    b = f"(({a}) * ({a}) % {MODULUS} * 16807 + ({a}) * 39373 + 12345) % {MODULUS}"
+    return f"(({b}) * ({b}) % {MODULUS} * 48271 + ({b})) % {MODULUS}"
+
+
+def _limit(psi: int, n: int) -> float:
+    return min(1.0, (psi + 6.0 * math.sqrt(psi) + 20.0) / max(n, 1)) * MODULUS
 
 
 def tree_samples(fm: DataFrame, n_trees: int, psi: int, n: int | None = None,
-                 salt: str = "pool", tag: str | None = None) -> tuple[DataFrame, int]:
+                 tag: str | None = None) -> tuple[DataFrame, int]:
     """``(tree, rank, row_id, x)`` — ψ rows per tree (ψ clipped to n). Returns the
-    samples and the effective ψ. ``tag`` salts the per-tree hash so that two
-    ensembles over the same rows draw independent samples."""
+    samples and the effective ψ. ``tag`` salts the hash so that two ensembles over
+    the same rows draw independent samples."""
     n = n if n is not None else fm.count()
     psi = int(min(psi, n))
-    frac = POOL_FACTOR * n_trees * psi / max(n, 1)
-    pool = fm
-    if frac < 1.0:
-        pool = fm.where(unit_hash(F.col("row_id"), F.lit(salt)) < F.lit(frac))
-    parts = [F.col("row_id").cast("string"), F.lit("|"), F.col("tree").cast("string")]
-    if tag:
-        parts += [F.lit("|"), F.lit(tag)]
-    h = F.md5(F.concat(*parts))
-    # rank narrow (row_id, tree, hash) rows; the vectors join back only for the
-    # ψ rows kept per tree
-    pairs = (pool.select("row_id", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-             .withColumn("_h", h))
-    w = Window.partitionBy("tree").orderBy("_h", "row_id")
-    keep = (pairs.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < psi)
-            .select("tree", "rank", "row_id"))
-    out = keep.join(pool.select("row_id", "x"), "row_id").select("tree", "rank", "row_id", "x")
-    return out, psi
-
-
-def sample_sql(src: str, n_trees: int, psi: int) -> str:
-    """DuckDB CTE body producing ``(tree, rank, row_id, x)`` from ``src(row_id, x)``."""
+    limit = _limit(psi, n)
+    row = F.col("row_id")
+    own = F.filter(F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)),
+                               lambda t: F.struct(t.alias("tree"), pair_hash(row, t, tag).alias("h"))),
+                   lambda p: p["h"] < F.lit(limit))
+    pairs = fm.select("row_id", F.inline(own))
+    w = Window.partitionBy("tree").orderBy("h", "row_id")
+    keep = pairs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= psi).select(
+        "tree", (F.col("rn") - 1).alias("rank"), "row_id")
+    return keep.join(fm.select("row_id", "x"), "row_id").select("tree", "rank", "row_id", "x"), psi
+
+
+def sample_sql(src: str, n_trees: int, psi: int, tag: str | None = None) -> str:
+    """DuckDB subquery producing ``(tree, rank, row_id, x)`` from ``src(row_id, x)``."""
     return f"""(SELECT tree, rank, row_id, x FROM (
-  SELECT s.row_id, s.x, tr.tree,
-         row_number() OVER (PARTITION BY tr.tree ORDER BY md5(CAST(s.row_id AS VARCHAR) || '|' || CAST(tr.tree AS VARCHAR)), s.row_id) - 1 AS rank
-  FROM (SELECT * FROM {src}
-        WHERE {POOL_FACTOR} * {n_trees} * least({psi}, (SELECT count(*) FROM {src})) / (SELECT count(*) FROM {src}) >= 1
-           OR ('0x' || substr(md5(CAST(row_id AS VARCHAR) || '|pool'), 1, 8))::BIGINT / 4294967296.0
-              < {POOL_FACTOR} * {n_trees} * least({psi}, (SELECT count(*) FROM {src})) / (SELECT count(*) FROM {src})) s,
-       (SELECT range AS tree FROM range({n_trees})) tr)
- WHERE rank < least({psi}, (SELECT count(*) FROM {src})))"""
+  SELECT p.*, row_number() OVER (PARTITION BY tree ORDER BY h, row_id) - 1 AS rank FROM (
+    SELECT s.row_id, s.x, tr.tree, k.psi, k.n, {pair_hash_sql("s.row_id", "tr.tree", tag)} AS h
+    FROM {src} s, (SELECT range AS tree FROM range({n_trees})) tr,
+         (SELECT least({psi}, count(*)) AS psi, count(*) AS n FROM {src}) k) p
+  WHERE h < least(1.0::DOUBLE, (psi::DOUBLE + 6.0::DOUBLE * sqrt(psi::DOUBLE) + 20.0::DOUBLE) / n::DOUBLE) * {MODULUS}::DOUBLE)
+ WHERE rank < (SELECT least({psi}, count(*)) FROM {src}))"""

@@ -46,7 +46,8 @@ def cumulative(scores: DataFrame, algo: str = "algo", score: str = "score", y: s
     aggs = [F.count(F.lit(1)).alias("c")]
     sums = ["c"]
     if y is not None:
-        aggs = [F.sum(F.col(y)).cast("long").alias("pos"), F.sum(1 - F.col(y)).cast("long").alias("neg")] + aggs
+        aggs = [F.coalesce(F.sum(F.col(y)), F.lit(0)).cast("long").alias("pos"),
+                F.coalesce(F.sum(1 - F.col(y)), F.lit(0)).cast("long").alias("neg")] + aggs
         sums = ["pos", "neg", "c"]
     ds = base.groupBy(algo, score).agg(*aggs)
     cum = prefix_sums(ds, score, sums, [algo], descending=True, bounded_groups=True)
@@ -110,7 +111,8 @@ def metrics(scores: DataFrame, top_q: float = 0.02, algo: str = "algo", score: s
 
     Threshold: exact quantile read off the running counts; TP/FP at the threshold
     are sums over distinct scores ``>=`` it; AP is Σ pos·precision / P; ROC-AUC uses
-    Σ pos·midrank = N·P − Σ pos·(cc − (c+1)/2).
+    mid-ranks among the labelled rows, Σ pos·midrank = (P+N)·P − Σ pos·(tp + fp −
+    (pos + neg + 1)/2). Rows without a label count for the threshold only.
     """
     cum = cumulative(scores, algo, score, y)
     thr = _map_col(_quantile_map(cum, round(1 - top_q, 12), algo, score), algo)
@@ -120,8 +122,8 @@ def metrics(scores: DataFrame, top_q: float = 0.02, algo: str = "algo", score: s
         F.sum(F.when(hit, F.col("neg")).otherwise(0)).cast("double").alias("fp_t"),
         F.sum("pos").cast("double").alias("p"),
         F.sum("neg").cast("double").alias("nn"),
-        F.sum(F.col("pos") * _dbl("tp") / (F.col("tp") + F.col("fp"))).alias("ap_sum"),
-        F.sum(F.col("pos") * (F.col("cc") - (F.col("c") + 1) / 2.0)).alias("s1"))
+        F.sum(F.when(F.col("pos") > 0, F.col("pos") * _dbl("tp") / (F.col("tp") + F.col("fp")))).alias("ap_sum"),
+        F.sum(F.col("pos") * (F.col("tp") + F.col("fp") - (F.col("pos") + F.col("neg") + 1) / 2.0)).alias("s1"))
     prec = F.when(F.col("tp_t") + F.col("fp_t") > 0, F.col("tp_t") / (F.col("tp_t") + F.col("fp_t"))).otherwise(0.0)
     rec = F.when(F.col("p") > 0, F.col("tp_t") / F.col("p")).otherwise(0.0)
     m = m.withColumn("precision", prec).withColumn("recall", rec)
@@ -147,9 +149,9 @@ def pr_curve(scores: DataFrame, algo: str = "algo", score: str = "score", y: str
     """E5: ``(algo, threshold, precision, recall)`` per distinct score down to the first
     point of full recall, plus the closing point (precision 1, recall 0)."""
     cum = cumulative(scores, algo, score, y)
-    p = scores.groupBy(algo).agg(F.sum(F.col(y)).alias("p")).where(F.col("p") > 0)
+    p = cum.groupBy(algo).agg(F.sum("pos").alias("p")).where(F.col("p") > 0)
     pts = (cum.withColumn("p", F.element_at(_algo_map(p, algo, "p"), F.col(algo))).where(F.col("p").isNotNull())
-           .where(F.col("tp") - F.col("pos") < F.col("p"))
+           .where((F.col("tp") - F.col("pos") < F.col("p")) & (F.col("pos") + F.col("neg") > 0))
            .select(algo, F.col(score).cast("double").alias("threshold"),
                    (_dbl("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
                    (_dbl("tp") / F.col("p")).alias("recall")))
@@ -171,7 +173,7 @@ def roc_curve(scores: DataFrame, algo: str = "algo", score: str = "score",
     """ROC points ``(algo, threshold, fpr, tpr)`` with the (0, 0) start, and the
     trapezoid AUC per algorithm (each step's area needs only its own counts)."""
     cum = cumulative(scores, algo, score, y)
-    pn = (scores.groupBy(algo).agg(F.sum(F.col(y)).alias("p"), F.sum(1 - F.col(y)).alias("nn"))
+    pn = (cum.groupBy(algo).agg(F.sum("pos").alias("p"), F.sum("neg").alias("nn"))
           .where((F.col("p") > 0) & (F.col("nn") > 0)))
     c = (cum.withColumn("p", F.element_at(_algo_map(pn, algo, "p"), F.col(algo)))
            .withColumn("nn", F.element_at(_algo_map(pn, algo, "nn"), F.col(algo)))
@@ -251,11 +253,12 @@ def score_thresholds(scores: DataFrame, score: str = "score", q: float = 0.995,
 
 def pot_threshold(scores: DataFrame, score: str = "score", base_q: float = 0.98,
                   risk: float = 1e-3, fallback_q: float = 0.995) -> DataFrame:
-    """Peaks over threshold. Excesses over the ``base_q`` quantile get a
+    """Peaks over threshold. Excesses over the ``base_q`` quantile t get a
     generalized Pareto fit by the method of moments (declared deviation from a
-    likelihood fit); threshold ``t + σ/ξ((risk·n/N_t)^(−ξ) − 1)``. Falls back to
-    the ``fallback_q`` quantile when fewer than 10 excesses or the fit is invalid.
-    The two quantiles are literals; the moments are one aggregate pass.
+    likelihood fit); the threshold is t plus the fit's 1 − ``risk`` quantile,
+    ``t + σ/ξ(risk^(−ξ) − 1)``. Falls back to the ``fallback_q`` quantile only when
+    the fit is impossible (no spread among the excesses). The two quantiles are
+    literals; the moments are one aggregate pass.
     """
     base = scores.select(F.col(score).cast("double").alias("_s")).where(F.col("_s").isNotNull())
     t, fb = percentiles(base, F.col("_s"), [base_q, fallback_q], names=["t", "fb"]).first()
@@ -266,10 +269,10 @@ def pot_threshold(scores: DataFrame, score: str = "score", base_q: float = 0.98,
     xi = 0.5 * (1 - F.col("_m") * F.col("_m") / F.col("_v"))
     sigma = 0.5 * F.col("_m") * (F.col("_m") * F.col("_m") / F.col("_v") + 1)
     d = d.withColumn("xi", xi).withColumn("sigma", sigma)
-    r = risk * F.col("_n") / F.col("_nt")
+    r = F.lit(float(risk))
     z = F.when(F.abs(F.col("xi")) < 1e-9, t_l - F.col("sigma") * F.log(r)) \
         .otherwise(t_l + F.col("sigma") / F.col("xi") * (F.pow(r, -F.col("xi")) - 1))
-    ok = F.coalesce((F.col("_nt") >= 10) & (F.col("_v") > 0) & (F.col("sigma") > 0), F.lit(False))
+    ok = F.coalesce((F.col("_v") > 0) & (F.col("sigma") > 0), F.lit(False))
     return d.select(F.when(ok, z).otherwise(F.lit(fb).cast("double")).alias("thr_pot"),
                     F.when(ok, F.lit("gpd_moments")).otherwise(F.lit("quantile_fallback")).alias("method"),
                     "xi", "sigma")

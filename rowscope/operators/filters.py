@@ -25,6 +25,11 @@ _DURATION = re.compile(
     r"(seconds?|secs?|s|minutes?|mins?|m|hours?|h)\s*$", re.IGNORECASE)
 
 
+# Text literals are matched first, so nothing inside them is rewritten.
+_NOT_EQUAL = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`?\b([A-Za-z_]\w*)`?\s*!=\s*"""
+                        r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?\b|true\b|false\b)""")
+
+
 def select_rows(df: DataFrame, query: str, missing_matches_ne: bool = False) -> DataFrame:
     """Keep rows matching a Spark SQL predicate.
 
@@ -32,8 +37,8 @@ def select_rows(df: DataFrame, query: str, missing_matches_ne: bool = False) ->
     * ``A - B <op> N unit`` with unit s/min/h → duration predicate on any two time
       columns and any comparator (P3); N may be fractional.
     * anything else is a Spark SQL boolean expression (P1). SQL semantics: a NULL
-      comparison drops the row. ``missing_matches_ne=True`` rewrites a single
-      ``col != v`` into ``NOT (col <=> v)`` (pandas keeps missing rows there).
+      comparison drops the row. ``missing_matches_ne=True`` rewrites every
+      ``col != literal`` into ``NOT (col <=> literal)`` (pandas keeps missing rows there).
     """
     q = str(query).strip()
     if not q:
@@ -46,9 +51,7 @@ def select_rows(df: DataFrame, query: str, missing_matches_ne: bool = False) ->
         d = F.timestamp_diff("MICROSECOND", as_time(df, b), as_time(df, a)).cast("double")
         return df.where(_CMP[op](d, F.lit(float(n) * unit_seconds(unit) * 1e6)))
     if missing_matches_ne:
-        ne = re.fullmatch(r"\s*`?(\w+)`?\s*!=\s*(.+)", q)
-        if ne:
-            return df.where(~col(ne.group(1)).eqNullSafe(F.expr(ne.group(2))))
+        q = _NOT_EQUAL.sub(lambda n: f"(NOT `{n[1]}` <=> {n[2]})" if n[1] else n[0], q)
     return df.where(F.expr(q))
 
 
@@ -88,8 +91,9 @@ def add_derived_column(df: DataFrame, name: str, formula: str, unit: str = "minu
 
     ``A - B`` of two time columns → difference in ``unit`` (minutes default);
     of two numeric columns → plain subtraction (declared deviation). Any other
-    formula is a Spark SQL expression; ``safe=True`` evaluates ``/`` with
-    ``try_divide`` so a zero divisor gives NULL instead of an ANSI error.
+    formula is a Spark SQL expression; ``safe=True`` resolves it with ANSI mode off,
+    so a zero divisor (of any ``/`` or ``%``, however nested) or a bad cast gives NULL
+    instead of an error, and integer overflow wraps.
     """
     m = _DIFF.match(formula)
     if m and m.group(1) in df.columns and m.group(2) in df.columns:
@@ -98,22 +102,15 @@ def add_derived_column(df: DataFrame, name: str, formula: str, unit: str = "minu
         if isinstance(ta, T.NumericType) and isinstance(tb, T.NumericType):
             return df.withColumn(name, col(a) - col(b))
         return df.withColumn(name, time_diff(as_time(df, a), as_time(df, b), unit))
-    expr = formula
-    if safe:
-        expr = _safe_division(formula)
-    return df.withColumn(name, F.expr(expr))
-
-
-def _safe_division(formula: str) -> str:
-    """Rewrite ``x / y`` chains into ``try_divide`` calls (operands are simple terms)."""
-    term = r"(\([^()]*\)|`[^`]+`|[\w.]+)"
-    pat = re.compile(term + r"\s*/\s*" + term)
-    prev = None
-    out = formula
-    while prev != out:
-        prev = out
-        out = pat.sub(r"try_divide(CAST(\1 AS DOUBLE), CAST(\2 AS DOUBLE))", out, count=1)
-    return out
+    if not safe:
+        return df.withColumn(name, F.expr(formula))
+    conf = df.sparkSession.conf
+    ansi = conf.get("spark.sql.ansi.enabled")
+    conf.set("spark.sql.ansi.enabled", "false")  # read where the expression is resolved, which is here
+    try:
+        return df.withColumn(name, F.expr(formula))
+    finally:
+        conf.set("spark.sql.ansi.enabled", ansi)
 
 
 def delay(df: DataFrame, column1: str, column2: str, name: str = "delay",

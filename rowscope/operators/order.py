@@ -49,13 +49,13 @@ def sort_rows(df: DataFrame, column: str, order: str = "asc",
 
 def top_n(df: DataFrame, n: int = 5, column: str | None = None,
           columns: Sequence[str] | str | None = None, tiebreak: Sequence[str] = (),
-          order_by: Sequence[str] = ()) -> DataFrame:
-    """O2/O3: n rows with the largest ``column`` (always descending), optional
+          order_by: Sequence[str] = (), order: str | None = None) -> DataFrame:
+    """O2/O3: n rows with the largest ``column`` (the smallest with ``order`` ascending: Z9), optional
     projection after the sort; without a column the first n rows of ``order_by``
     (arbitrary n rows when no order is given)."""
     n = int(n)
     if column:
-        out = df.orderBy(*_keys(column, False, tiebreak)).limit(n)
+        out = df.orderBy(*_keys(column, is_ascending(order, False), tiebreak)).limit(n)
     elif order_by:
         out = df.orderBy(*[F.asc_nulls_last(c) for c in order_by]).limit(n)
     else:

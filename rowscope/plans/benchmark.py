@@ -30,7 +30,7 @@ ALGORITHMS = ["EIF", "LOF", "COPOD", "INNE", "OCSVM", "AE"]
 ALIASES = {"autoencoder": "AE", "ae": "AE", "eif": "EIF", "isolationforest": "EIF", "lof": "LOF",
            "knnlof": "LOF", "copod": "COPOD", "inne": "INNE", "ocsvm": "OCSVM"}
 # Words that select every detector.
-ALL_WORDS = ("all", "全部", "所有")
+ALL_WORDS = ("全部", "所有", "all")
 # Detectors whose sign the optional orientation check may flip.
 ORIENTABLE = ("EIF", "AE")
 
@@ -92,7 +92,7 @@ def _ocsvm(fm, train=None):
 
 def _ae(fm, train=None):
     from rowscope.detect.autoencoder import autoencoder_scores
-    return autoencoder_scores(fm, train=train)
+    return autoencoder_scores(fm, train=train, preset="deep")
 
 
 SCORERS: dict[str, Callable[..., DataFrame]] = {
@@ -118,19 +118,15 @@ def smooth_scores(scores: DataFrame, fm: DataFrame, k: int) -> DataFrame:
 def tuned_eif(fm: DataFrame, trees=(200, 400, 800), samples=(256, 512, "auto"), ndims=(1, 3),
               metrics=("depth", "density")) -> tuple[DataFrame, DataFrame]:
     """D1c with labels: score every grid setting, keep the best AP. Returns the best
-    scores and the whole grid table (uses labels to choose: reported, opt-in)."""
+    scores and the grid table (uses labels to choose: reported, opt-in)."""
     from rowscope.detect.iforest import grid
-    x = M.standard_scale(fm)
-    boards, best, best_ap = [], None, -1.0
-    for params, s in grid(x, trees=trees, samples=samples, ndims=ndims, metrics=metrics):
-        s = reliable_checkpoint(s)
-        m = E.metrics(s.join(fm.select("row_id", "y"), "row_id").withColumn("algo", F.lit(str(params))))
-        row = m.first()
-        boards.append((str(params), row["pr_auc"], row["roc_auc"]))
-        if (row["pr_auc"] or -1.0) > best_ap:
-            best, best_ap = s, row["pr_auc"] or -1.0
-    table = fm.sparkSession.createDataFrame(boards, "params string, pr_auc double, roc_auc double")
-    return best, table
+    setting = F.concat_ws("/", "ntrees", "sample_size", "ndim", "metric")
+    s = reliable_checkpoint(grid(M.standard_scale(fm), trees, samples, ndims, metrics).withColumn("algo", setting)
+                            .select("row_id", "algo", "score"))
+    table = E.leaderboard(s.join(fm.select("row_id", "y"), "row_id")).select(
+        F.col("algo").alias("params"), "pr_auc", "roc_auc")
+    best = table.first()["params"]
+    return s.where(F.col("algo") == best).select("row_id", "score"), table
 
 
 @dataclass
@@ -143,13 +139,17 @@ class BenchmarkResult:
 def run_benchmark(fm: DataFrame, algos: Sequence[str] | str | None = None, top_q: float = 0.02,
                   train: DataFrame | None = None, orient: bool = False,
                   scorers: dict[str, Callable[..., DataFrame]] | None = None,
-                  smooth: dict[str, int] | None = None, eif_tune: bool = False) -> BenchmarkResult:
+                  smooth: dict[str, int] | None = None, eif_tune: bool = False, missing: str = "error") -> BenchmarkResult:
     """D11/E14. ``fm`` = ``(row_id, x[, y])``. Without labels (no ``y`` or all NULL)
-    metrics use the ensemble pseudo-labels (E8/E9)."""
+    metrics use the ensemble pseudo-labels (E8/E9). ``missing`` is M7's policy for NULL
+    or NaN features, applied before any detector sees the rows."""
     names = parse_algos(algos)
     scorers = scorers or SCORERS
     spark = fm.sparkSession
-    fm = reliable_checkpoint(fm)  # prepared once; every detector reads the same rows
+    # prepared once; every detector reads the same rows
+    fm = reliable_checkpoint(M.missing_policy(fm, missing))
+    if train is not None:
+        train = reliable_checkpoint(M.missing_policy(train, missing))
     parts, status = [], []
     for name in names:
         t0 = time.perf_counter()
@@ -163,7 +163,7 @@ def run_benchmark(fm: DataFrame, algos: Sequence[str] | str | None = None, top_q
             status.append((name, "ok", round(time.perf_counter() - t0, 3), None))
             parts.append(s.withColumn("algo", F.lit(name)))
         except Exception as e:  # noqa: BLE001 - recorded per detector
-            status.append((name, "failed", round(time.perf_counter() - t0, 3), f"{type(e).__name__}: {e}"[:500]))
+            status.append((name, "failed", round(time.perf_counter() - t0, 3), f"{type(e).__name__}: {e}"))
     stat = spark.createDataFrame(status, "algo string, status string, seconds double, error string")
     if not parts:
         raise RuntimeError(f"every detector failed: {status}")
@@ -178,21 +178,35 @@ def run_benchmark(fm: DataFrame, algos: Sequence[str] | str | None = None, top_q
             scores, flips = orientation_check(scores)
         board = E.metrics(scores, top_q)
     else:
-        ok_names = [n for n, st, _, _ in status if st == "ok"]
         ens = E.pseudo_labels(scores, top_q).select("row_id", F.col("ensemble").alias("y"))
         scores = scores.join(ens, "row_id")
         board = E.metrics(scores, top_q)
         flips = None
-        _ = ok_names
     board = stat.join(board, "algo", "left")
     if flips is not None:
         board = board.join(F.broadcast(flips), "algo", "left")
     board = board.orderBy(F.desc_nulls_last("pr_auc"), "algo")
-    best = board.where(F.col("status") == "ok").agg(
-        F.max_by("algo", F.struct(F.coalesce("pr_auc", F.lit(-1.0)), -F.hash("algo"))).alias("best_algo"))
+    best = board.where(F.col("status") == "ok").orderBy(F.desc(F.coalesce("pr_auc", F.lit(-1.0))), "algo").limit(1).select(
+        F.col("algo").alias("best_algo"))
     return BenchmarkResult(scores, board, best)
 
 
+def benchmark_table(df: DataFrame, id_col: str, features: Sequence[str] | None = None, label: str | None = None,
+                    train: DataFrame | None = None, **options) -> BenchmarkResult:
+    """``run_benchmark`` on a plain table: features default to its numeric and boolean columns
+    (P10), and with a training table to those that both have (P11)."""
+    from rowscope.operators.filters import align_features, numeric_features
+
+    names = list(features) if features else numeric_features(df, ids=[id_col, *([label] if label else [])])
+    if train is not None:
+        names = align_features(train.columns, names)
+    if not names:
+        raise ValueError("no feature columns")
+    fm = M.from_columns(df, id_col, names, F.col(label) if label else None)
+    fit = M.from_columns(train, id_col, names) if train is not None else None
+    return run_benchmark(fm, train=fit, **options)
+
+
 def orientation_check(scores: DataFrame) -> tuple[DataFrame, DataFrame]:
     """D8 (opt-in, uses labels): negate EIF/AE scores whose ROC-AUC is below 0.5.
     Returns the adjusted scores and ``(algo, flipped)`` for the report."""

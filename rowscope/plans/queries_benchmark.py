@@ -40,9 +40,8 @@ def _d11(spark, sf):
 
 @query("benchmark_best", f"""
 WITH {SCORES3_SQL}, {metrics_sql("sc")}
-SELECT arg_max(algo, (coalesce(pr_auc, -1), algo)) AS best_algo FROM metrics""")
+SELECT algo AS best_algo FROM metrics ORDER BY coalesce(pr_auc, -1) DESC, algo LIMIT 1""")
 def _o6(spark, sf):
-    # ties on AP (none here) fall to the detector's hash order on the Spark side
     return three(spark, sf).best
 
 
@@ -50,8 +49,8 @@ def _o6(spark, sf):
 WITH {EMB_LONG}, {COPOD_SQL}
 SELECT row_id, round(score, 6) AS score FROM copod ORDER BY score DESC, row_id LIMIT 5""")
 def _o5(spark, sf):
-    res = three(spark, sf)
-    return r6(B.top_rows(res.scores, "COPOD", 5))
+    scores = B.SCORERS["COPOD"](emb_matrix(spark, sf)).withColumn("algo", F.lit("COPOD"))
+    return r6(B.top_rows(scores, "COPOD", 5))
 
 
 @query("pseudo_labels", f"""
@@ -95,6 +94,12 @@ def _d7(spark, sf):
     return autoencoder_scores(emb_matrix(spark, sf), preset="simple")
 
 
+@query("autoencoder_deep_scores")
+def _d6_deep(spark, sf):
+    """PCA, batch normalisation, absolute error, plateau schedule, early stopping."""
+    return autoencoder_scores(emb_matrix(spark, sf), preset="deep")
+
+
 @query("benchmark_all_detectors")
 def _d11_all(spark, sf):
     res = B.run_benchmark(emb_matrix(spark, sf), "all", orient=True)
@@ -107,5 +112,5 @@ def _d6(spark, sf):
     reference's anomaly-free files; here rows whose label is not the anomaly class),
     every row is scored, and scores are smoothed in row order (width 11)."""
     fm = emb_matrix(spark, sf)
-    scores = autoencoder_scores(fm, train=fm.where(F.col("y") == 0), preset="simple")
+    scores = autoencoder_scores(fm, train=fm.where(F.col("y") == 0), preset="deep")
     return B.smooth_scores(scores, fm, 11)

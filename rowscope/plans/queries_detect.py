@@ -190,10 +190,68 @@ def _e12(spark, sf):
     return r6(E.score_thresholds(ev, "score", 0.995, 3.0))
 
 
-@query("pot_threshold")
+@query("pot_threshold", """
+WITH b AS (SELECT value AS s FROM events WHERE value IS NOT NULL),
+q AS (SELECT quantile_cont(s, 0.98) AS t, quantile_cont(s, 0.995) AS fb FROM b),
+m AS (SELECT avg(s - t) AS m, var_pop(s - t) AS v FROM b, q WHERE s > t),
+f AS (SELECT 0.5 * (1 - m * m / v) AS xi, 0.5 * m * (m * m / v + 1) AS sigma, v FROM m),
+z AS (SELECT *, coalesce(v > 0 AND sigma > 0, false) AS ok FROM f, q)
+SELECT round(CASE WHEN NOT ok THEN fb WHEN abs(xi) < 1e-9 THEN t - sigma * ln(1e-3)
+                  ELSE t + sigma / xi * (pow(1e-3, -xi) - 1) END, 6) AS thr_pot,
+       CASE WHEN ok THEN 'gpd_moments' ELSE 'quantile_fallback' END AS method, round(xi, 6) AS xi, round(sigma, 6) AS sigma
+FROM z""")
 def _e13(spark, sf):
     ev = t(spark, sf, "events").select(F.col("value").alias("score"))
-    return E.pot_threshold(ev, "score")
+    return r6(E.pot_threshold(ev, "score"))
+
+
+@query("roc_auc_partial_labels", """
+WITH sc AS (SELECT d.n_chars AS score, l.quality AS y FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+thr AS (SELECT quantile_cont(score, 0.98) AS t FROM sc),
+c AS (SELECT sum(CASE WHEN score >= t AND y = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN score >= t AND y = 0 THEN 1 ELSE 0 END) AS fp,
+             sum(y) AS p, sum(1 - y) AS nn FROM sc, thr),
+ds AS (SELECT score, sum(y) AS pos, sum(1 - y) AS neg FROM sc WHERE y IS NOT NULL GROUP BY score),
+cu AS (SELECT *, sum(pos) OVER w AS tpc, sum(neg) OVER w AS fpc FROM ds
+       WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+a AS (SELECT sum(pos * tpc / (tpc + fpc)) AS ap, sum(neg * (tpc - pos / 2.0)) AS area FROM cu)
+SELECT 'n_chars' AS algo, round(tp / (tp + fp), 6) AS precision, round(tp / p, 6) AS recall,
+       round(2 * (tp / (tp + fp)) * (tp / p) / (tp / (tp + fp) + tp / p), 6) AS f1,
+       round(ap / p, 6) AS pr_auc, round(area / (p * nn), 6) AS roc_auc FROM c, a""")
+def _e4(spark, sf):
+    """Labels cover only some documents: rows without one count for the threshold alone."""
+    docs = t(spark, sf, "documents").select("doc_id", F.col("n_chars").cast("double").alias("score"))
+    labels = t(spark, sf, "labels").select("doc_id", F.col("quality").alias("y"))
+    return r6(E.metrics(docs.join(labels, "doc_id", "left").withColumn("algo", F.lit("n_chars"))))
+
+
+_GAPS_SQL = """gaps AS (SELECT l_orderkey * 8 + l_linenumber AS row_id, l_quantity AS a, nullif(l_discount, 0) AS b,
+       CASE WHEN l_tax > 0.06 THEN NULL ELSE l_tax END AS c FROM lineitem)"""
+
+
+def _gaps(spark, sf):
+    """All lineitem rows as a matrix in which two features have missing values."""
+    li = t(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), F.col("l_quantity").alias("a"),
+        F.nullif(F.col("l_discount"), F.lit(0.0)).alias("b"), F.when(~(F.col("l_tax") > 0.06), F.col("l_tax")).alias("c"))
+    return M.from_columns(li, "row_id", ["a", "b", "c"])
+
+
+def _abc(fm):
+    return r6(fm.select("row_id", *[F.col("x")[i].alias(n) for i, n in enumerate("abc")]))
+
+
+@query("missing_drop", f"""
+WITH {_GAPS_SQL} SELECT row_id, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c FROM gaps
+WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL""")
+def _m7_drop(spark, sf):
+    return _abc(M.missing_policy(_gaps(spark, sf), "drop"))
+
+
+@query("missing_impute_median", f"""
+WITH {_GAPS_SQL}, med AS (SELECT quantile_cont(a, 0.5) AS ma, quantile_cont(b, 0.5) AS mb, quantile_cont(c, 0.5) AS mc FROM gaps)
+SELECT row_id, round(coalesce(a, ma), 6) AS a, round(coalesce(b, mb), 6) AS b, round(coalesce(c, mc), 6) AS c FROM gaps, med""")
+def _m7_impute(spark, sf):
+    return _abc(M.missing_policy(_gaps(spark, sf), "impute_median"))
 
 
 # ---------------------------------------------------------------- INNE
@@ -299,9 +357,9 @@ def _m4(spark, sf):
 
 @query("pca_fixed_dims")
 def _m5(spark, sf):
-    """M5/M6: 64 requested → clipped to min(n, d) − 1, whitened."""
+    """M5/M6: 64 requested → clipped to min(n, d) − 1, whitened (signs are free: rows-only check)."""
     out = M.pca(M.standard_scale(emb_matrix(spark, sf)), 64, whiten=True)
-    return out.select("row_id", F.size("x").alias("k"))
+    return out.select("row_id", F.size("x").alias("k"), "x")
 
 
 @query("quantile_normal")
@@ -311,18 +369,10 @@ def _m3(spark, sf):
 
 @query("eif_grid_best")
 def _d1c(spark, sf):
-    """D1c on a reduced grid: every setting scored, AP per setting, best first."""
-    from rowscope.detect.iforest import grid as eif_grid
+    """AP of all 36 settings, best first; one scoring pass for each of the six forests."""
+    from rowscope.plans.benchmark import tuned_eif
 
-    fm = emb_matrix(spark, sf)
-    rows = []
-    for params, s in eif_grid(fm, trees=(50, 100), samples=(128,), ndims=(1,), metrics=("depth", "density")):
-        m = E.metrics(s.join(fm.select("row_id", "y"), "row_id").withColumn("algo", F.lit(str(params))))
-        rows.append(m)
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.orderBy(F.desc_nulls_last("pr_auc"), "algo")
+    return tuned_eif(emb_matrix(spark, sf))[1]
 
 
 @query("self_reference_metrics", f"""

@@ -21,6 +21,8 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Arrow batches bound the memory of Python workers (they do not spill).
     "spark.sql.execution.arrow.maxRecordsPerBatch": "5000",
+    # per-tree samples keep row_number() <= psi rows: cut them before the shuffle for large psi too
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -76,14 +78,16 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder, setting a local one only if unset."""
+    """Return the reliable checkpoint folder. Where it is unset, local runs and tests get a
+    scratch folder; on a cluster that would be one machine's disk, so it is an error."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        # Only reached when nothing is configured (local runs and tests).
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="rowscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d

@@ -46,8 +46,9 @@ def _is_time_name(c: str) -> bool:
 
 
 def _headers(spark: SparkSession, path: str) -> DataFrame:
-    """First line of every file: (file, line). Reads one line per file, not the data."""
-    lines = (spark.read.text(path)
+    """First line of every ``*.csv`` file at or below ``path``: (file, line). The text of
+    each file's first split is read for it."""
+    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
              .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"),
                      F.col("_metadata.file_block_start").alias("blk"),
                      F.monotonically_increasing_id().alias("pos")))
@@ -84,13 +85,13 @@ def read_csv(spark: SparkSession, path: str, header_line: str | None = None,
 
 def read_csv_dir(spark: SparkSession, path: str, infer_schema: bool = True,
                  with_group: bool = True) -> DataFrame:
-    """All ``*.csv`` below ``path``; differing headers are unioned by name.
+    """All ``*.csv`` at any depth below ``path`` (or that one file); differing headers are
+    unioned by name (S4, S6).
 
-    The header table has one row per file (it is small metadata); each distinct
-    header is read as one Spark scan over its files.
+    The header table has one row per file (the driver lists the files anyway); each
+    distinct header is read as one Spark scan over its files.
     """
-    pattern = path.rstrip("/") + "/**/*.csv" if not path.endswith(".csv") else path
-    heads = _headers(spark, pattern).collect()
+    heads = _headers(spark, path).collect()
     by_header: dict[str, list[str]] = {}
     for r in heads:
         by_header.setdefault(r["line"], []).append(r["file"])
