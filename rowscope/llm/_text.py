@@ -15,7 +15,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch: texts can be long, and a batch is held whole by Spark and by the Python worker.
+BATCH_ROWS = 1000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 U = np.uint64
 
 
@@ -23,9 +26,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Lower the session's rows per Arrow batch to BATCH_ROWS, unless it is lower already."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_ARROW_ROWS)) <= BATCH_ROWS:
+        conf.set(_ARROW_ROWS, str(BATCH_ROWS))
+    return df
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator needs; other columns, clashing names included, stay outside."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -84,6 +95,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", budget: int = SLICE_BYTES)
         stop = max(start + 1, int(np.searchsorted(ends, base + budget, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -130,6 +142,16 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return mix((prefix[end] - prefix[start]) * inv[start] + (end - start).astype(np.uint64) * U(0xA24BAED4963EE407))
 
 
+def sliding(x: np.ndarray, width: int, op) -> np.ndarray:
+    """op (minimum or maximum) of every ``width`` consecutive values, by doubling."""
+    have = 1
+    while 2 * have <= width:
+        x = op(x[:-have], x[have:])
+        have *= 2
+    more = width - have
+    return op(x[: len(x) - more], x[more:]) if more else x
+
+
 #: ASCII white space separates words; everything else belongs to one.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True

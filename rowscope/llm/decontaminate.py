@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowscope.llm._text import id_text, with_uid
+from rowscope.llm._text import bounded_batches, id_text, with_uid
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -175,7 +175,7 @@ def digest(hits: DataFrame) -> DataFrame:
 def remove_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id",
                         item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents without any occurrence, all columns unchanged: one filtering pass per block, no shuffle."""
-    out = docs
+    out = bounded_batches(docs)
     for sets in _blocks(docs.sparkSession, items, item_id, item_text, window, block_bytes):
 
         def keep(batches, sets=sets):

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowscope.llm._text import fold, id_text, slices, utf8
+from rowscope.llm._text import bounded_batches, fold, id_text, slices, utf8
 
 GRAMS = 1 << 16
 SMOOTHING = 0.2
@@ -56,7 +56,7 @@ def grams(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
     """Language names and the (GRAMS, languages) table of log probabilities."""
-    own = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
+    own = bounded_batches(docs).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
         "lang is not null and text is not null")
 
     def count(batches):

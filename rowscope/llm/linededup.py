@@ -41,13 +41,17 @@ def _key(text: str) -> Column:
 
 
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
-    """key, pos, n, toks, leaf of every non-blank line."""
-    line = F.regexp_replace("line", r"^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+$", "")
-    masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", _VARIABLE, "<*>")).otherwise(F.col("line"))
+    """key, pos, toks, leaf of every line that is not empty. Lines with other white space than single
+    spaces, and lines with a digit, are rare: only they go through a regular expression."""
+    line = F.col("line")
+    odd = F.lit(False)
+    for space in ("  ", "\t", "\x0B", "\f", "\r"):
+        odd = odd | line.contains(space)
+    plain = F.trim(F.when(odd, F.regexp_replace(line, r"[ \t\x0B\f\r]+", " ")).otherwise(line))
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(plain, _VARIABLE, "<*>")).otherwise(plain)
     return (docs.select(_key("text").alias("key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-            .withColumn("line", F.when(F.col("line").rlike(r"^[ \t\x0B\f\r]|[ \t\x0B\f\r]$"), line).otherwise(F.col("line")))
-            .where("line <> ''")
-            .select("key", "pos", F.split(masked, r"[ \t\x0B\f\r]+").alias("toks"))
+            .where(F.length(F.trim("line")) > 0)
+            .select("key", "pos", F.split(masked, " ").alias("toks"))
             .withColumn("leaf", F.xxhash64(F.size("toks"), F.slice("toks", 1, depth))))
 
 
@@ -61,7 +65,7 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, m
     own = lines.join(F.broadcast(leaves) if small else leaves, "leaf", "left_semi")
     own = reliable_checkpoint(own.dropDuplicates(["key", "pos"]))
     tokens = own.select("key", "pos", "leaf", F.size("toks").alias("n"), F.posexplode("toks").alias("at", "tok"))
-    held = tokens.where("tok <> '<*>'").groupBy("leaf", "at", "tok").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs)
+    held = tokens.where("tok not in ('<*>', '')").groupBy("leaf", "at", "tok").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs)
     # a line's template: the places and hashes of its constants, summed in any order
     template = (tokens.join(held, ["leaf", "at", "tok"], "left_semi").groupBy("key", "pos", "leaf", "n")
                 .agg(F.count("*").alias("fixed"), F.sum(F.xxhash64("at", "tok").cast("decimal(38,0)")).alias("sum"))

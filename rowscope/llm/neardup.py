@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowscope.llm._graph import components
-from rowscope.llm._text import U, fresh, mix, shingles, slices, utf8, words
+from rowscope.llm._text import U, bounded_batches, fresh, mix, shingles, slices, utf8, words
 from rowscope.session import reliable_checkpoint
 
 SKETCHES = 24
@@ -200,7 +200,7 @@ def links(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARIT
           leaders: int = LEADERS, bits: int = FILTER_BITS) -> DataFrame:
     """a, b: keys of linked pairs of different texts."""
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = bounded_batches(docs).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = sketch_rows(texts, count, pick)
     # members of buckets with two different texts or more; equal rows of copies fall together
     sizes = rows.groupBy("sketch").agg(F.min("key").alias("x"), F.max("key").alias("y"), F.count("*").alias("size")).where(

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowscope.llm._text import SPACE, fold, fresh, id_text, shingles, slices, utf8, words
+from rowscope.llm._text import SPACE, bounded_batches, fold, fresh, id_text, shingles, slices, utf8, words
 
 MAX_LABELLED = 20_000
 TREES = 12
@@ -92,7 +92,7 @@ def with_stats(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]
                 yield pa.RecordBatch.from_arrays([*part.columns, col], names=[*part.schema.names, name])
 
     schema = docs.select("*", F.array(F.lit(0.0)).alias(name)).schema
-    return docs.mapInArrow(run, schema), name
+    return bounded_batches(docs).mapInArrow(run, schema), name
 
 
 def rule_paths(debug: str) -> list[tuple]:

@@ -10,9 +10,9 @@ anchor at the same place in each of its occurrences: no repeated string is misse
    tells which grams occur at two positions or more. They set bits of a table of
    ``FILTER_BITS``; a bit set by chance only costs work.
 2. A second pass emits the suffix of each anchor whose bit is set (the LENGTH bytes
-   after it and the bytes before it). Sampled splitters range-partition the suffixes by
-   their leading bytes, so suffixes that can match meet in one bucket and no match
-   crosses a boundary. A bucket is read in order, some ten thousand suffixes at a time
+   after it and the bytes before it), one for each different context of the task.
+   Splitters sampled from the grams range-partition the suffixes by their leading bytes,
+   so suffixes that can match meet in one bucket and no match crosses a boundary. A bucket is read in order, some ten thousand suffixes at a time
    (whole groups of a leading gram), and sorted by a multikey quicksort on 8-byte symbols.
    Neighbours' common prefixes, and those of the reversed left contexts, give for every
    offset o the classes of equal LENGTH - o bytes to the right and o bytes to the left:
@@ -29,57 +29,51 @@ texts under LENGTH bytes; positions are bytes of UTF-8; repeated rows count as r
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowscope.llm._text import U, id_text, mix, prefix_hash, slices, span_hash, utf8
+from rowscope.llm._text import U, bounded_batches, id_text, mix, powers, prefix_hash, slices, sliding, span_hash, utf8
 
 LENGTH = 200
 GRAM = 20
 FILTER_BITS = 1 << 27
 HOT = 200_000
+SAMPLED = 256
 CHUNK = 20_000
 
 
-def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
-    """op (minimum or maximum) of every ``width`` consecutive values; length len(x) - width + 1."""
-    n = len(x)
-    blocks = -(-n // width)
-    fill = x.dtype.type(np.iinfo(x.dtype).max if op is np.minimum else 0)
-    padded = np.full(blocks * width, fill, x.dtype)
-    padded[:n] = x
-    grid = padded.reshape(blocks, width)
-    ahead = op.accumulate(grid, axis=1).ravel()
-    back = op.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return op(back[: n - width + 1], ahead[width - 1: n])
-
-
-def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor positions, their rows and gram hashes, over the rows of a slice."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none, np.zeros(0, np.uint64)
-    prefix = prefix_hash(data)
-    at = np.arange(len(data) - gram + 1)
-    h = span_hash(prefix, at, at + gram)
+    _, inverse = powers(len(data))
+    with np.errstate(over="ignore"):
+        h = prefix[gram:] - prefix[:-gram]
+        h *= inverse[: len(h)]
+        order = h ^ (h >> U(29))
+        order *= U(0xC4CEB9FE1A85EC53)
+        order >>= U(32)
+    order = order.astype(np.uint32) | np.uint32(1)
     width = length - gram + 1
-    least = _sliding(h, width, np.minimum)  # for every start of a string of `length` bytes
+    least = sliding(order, width, np.minimum)  # for every start of a string of `length` bytes
     whole = np.zeros(len(least) + 1, np.int32)
     long_rows = np.flatnonzero(np.diff(off) >= length)
     np.add.at(whole, off[:-1][long_rows], 1)
     np.add.at(whole, np.minimum(off[1:][long_rows] - length + 1, len(least)), -1)
-    inside = np.cumsum(whole[:-1]) > 0
-    least = np.where(inside, least, U(0))
-    most = _sliding(np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]), width, np.maximum)
-    pos = np.flatnonzero((most[: len(h)] == h) & (h > 0))
-    return pos, np.searchsorted(off, pos, side="right") - 1, h[pos]
+    least[np.cumsum(whole[:-1]) <= 0] = 0
+    edge = np.zeros(width - 1, np.uint32)
+    most = sliding(np.concatenate([edge, least, edge]), width, np.maximum)
+    pos = np.flatnonzero(most[: len(order)] == order)
+    return pos, np.searchsorted(off, pos, side="right") - 1, mix(h[pos])
 
 
 def _slice_anchors(part: pa.RecordBatch, length: int, gram: int, seen: set):
-    """Bytes, offsets, anchors, rows, gram hashes and text hashes of the texts new to this task."""
+    """Bytes, offsets, prefix sums, anchors, rows, gram hashes and text hashes of the texts new to this task."""
     data, off = utf8(part.column("text"))
     raw = data.tobytes()
     keys, new = [], np.zeros(len(off) - 1, bool)
@@ -89,26 +83,44 @@ def _slice_anchors(part: pa.RecordBatch, length: int, gram: int, seen: set):
         keys.append(key)
         new[i] = size >= length and key not in seen
         seen.add(key)
-    pos, row, h = anchors(data, off, length, gram)
+    prefix = prefix_hash(data)
+    pos, row, h = anchors(data, off, length, gram, prefix)
     keep = new[row] if len(row) else np.zeros(0, bool)
-    return data, off, pos[keep], row[keep], h[keep], keys
+    return raw, off, prefix, pos[keep], row[keep], h[keep], keys
 
 
 def repeated_grams(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """gram (hash) and anchors of every gram with two different positions or more."""
+    """gram (hash), anchors and, for one gram in ``SAMPLED``, the bytes of every gram with two positions or more."""
 
     def run(batches):
         seen: set = set()
         for batch in batches:
             for part in slices(batch):
-                data, off, pos, row, h, keys = _slice_anchors(part, length, gram, seen)
+                raw, off, _, pos, row, h, keys = _slice_anchors(part, length, gram, seen)
                 own = np.array([int.from_bytes(k[:8], "little") for k in keys], np.uint64)
                 place = mix(own[row] ^ mix((pos - off[row]).astype(np.uint64) + U(1))) if len(row) else h
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(place.view(np.int64))], names=["gram", "place"])
-
-    return (texts.mapInArrow(run, "gram bigint, place bigint").groupBy("gram")
-            .agg(F.min("place").alias("a"), F.max("place").alias("b"), F.count("*").alias("anchors"))
-            .where("a <> b").select("gram", "anchors"))
+                lead = [None] * len(pos)
+                for i in np.flatnonzero(h % U(SAMPLED) == 0).tolist():
+                    lead[i] = raw[pos[i]: pos[i] + gram]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(place.view(np.int64)), pa.array(lead, pa.binary())],
+                                                 names=["gram", "place", "lead"])
+
+    return (texts.mapInArrow(run, "gram bigint, place bigint, lead binary").groupBy("gram")
+            .agg(F.min("place").alias("a"), F.max("place").alias("b"), F.count("*").alias("anchors"), F.min("lead").alias("lead"))
+            .where("a <> b").select("gram", "anchors", "lead"))
+
+
+def splitters(grams: DataFrame, buckets: int) -> list[bytes]:
+    """Leading bytes that cut the suffixes into buckets of about equal size, from a bounded sample of grams."""
+    sample = grams.where("lead is not null")
+    thin = int(sample.count() // (32 * buckets)) + 1  # at most about 32 grams for each bucket
+    rows = sample.where(F.pmod(F.xxhash64("gram"), F.lit(thin)) == 0).select("lead", "anchors").orderBy("lead").collect()
+    total, held, out = sum(r["anchors"] for r in rows), 0, []
+    for r in rows:
+        if held * buckets >= total * (len(out) + 1):
+            out.append(bytes(r["lead"]))
+        held += r["anchors"]
+    return out
 
 
 def _bits(grams: DataFrame, bits: int) -> np.ndarray:
@@ -189,13 +201,17 @@ def matched(right: np.ndarray, right_size: np.ndarray, left: np.ndarray, left_si
     return low, high
 
 
+_SUFFIX = pa.schema([("bucket", pa.int32()), ("lead", pa.binary()), ("suffix", pa.binary()), ("before", pa.binary()),
+                     ("key", pa.binary()), ("pos", pa.int64()), ("b", pa.int64())])
+
+
 def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, bits: int = FILTER_BITS,
                    hot: int = HOT) -> DataFrame:
     """key (md5 of the text), a, b: byte spans [a, b) of repeated strings; spans may overlap."""
     from rowscope.session import reliable_checkpoint
 
     spark = docs.sparkSession
-    texts = docs.select(F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") >= length)
+    texts = bounded_batches(docs).select(F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") >= length)
     grams = reliable_checkpoint(repeated_grams(texts, length, gram))
     table = spark.sparkContext.broadcast(_bits(grams, bits))
     # at most (anchors of the corpus) / hot grams
@@ -203,33 +219,54 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
         r["gram"] for r in grams.where(F.col("anchors") > hot).select("gram").toLocalIterator()), np.int64))
     back = length - gram
     wide = -(-length // 8) * 8
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = splitters(grams, buckets)
 
-    def suffixes(batches, want_hot: bool):
+    def suffixes(batches):
+        """The suffixes of the task, one for each different context; a context met again is repeated as a
+        whole, which settles the spans of both places at once."""
         seen: set = set()
+        first: dict[int, tuple] = {}
         for batch in batches:
             for part in slices(batch):
-                data, off, pos, row, h, keys = _slice_anchors(part, length, gram, seen)
-                if not len(pos):
-                    continue
-                is_hot = np.isin(h.view(np.int64), heavy.value)
-                take = is_hot if want_hot else _hit(table.value, h) & ~is_hot
-                pos, row, h = pos[take], row[take], h[take]
-                if not len(pos):
-                    continue
-                if want_hot:
-                    yield from _strings(data, off, pos, row, h, keys)
-                    continue
-                raw = data.tobytes()
+                raw, off, prefix, pos, row, h, keys = _slice_anchors(part, length, gram, seen)
+                take = _hit(table.value, h) & ~np.isin(h.view(np.int64), heavy.value)
+                pos, row = pos[take], row[take]
                 begin, end = np.maximum(off[row], pos - back), np.minimum(off[row + 1], pos + length)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([raw[p:p + gram] for p in pos.tolist()], pa.binary()),
-                    pa.array([raw[p:e] for p, e in zip(pos.tolist(), end.tolist(), strict=True)], pa.binary()),
-                    pa.array([raw[b:p] for b, p in zip(begin.tolist(), pos.tolist(), strict=True)], pa.binary()),
-                    pa.array([keys[r] for r in row.tolist()], pa.binary()),
-                    pa.array((pos - off[row]).astype(np.int64))], names=["lead", "suffix", "before", "key", "pos"])
-
-    def _strings(data, off, pos, row, h, keys):
-        prefix = prefix_hash(data)
+                context = mix(span_hash(prefix, begin, end) ^ mix((pos - begin).astype(np.uint64))) if len(pos) else np.zeros(0, np.uint64)
+                spans: dict[bytes, list] = {}
+                new = []
+                for i, (c, r, b, e) in enumerate(zip(context.tolist(), row.tolist(), begin.tolist(), end.tolist(), strict=True)):
+                    span = (keys[r], b - int(off[r]), e - int(off[r]))
+                    met = first.setdefault(c, span)
+                    if met is span:
+                        new.append(i)
+                    elif e - b >= length:
+                        spans.setdefault(span[0], []).append(span[1:])
+                        if met[1] >= 0:
+                            spans.setdefault(met[0], []).append(met[1:])
+                            first[c] = (met[0], -1, -1)
+                cols: list[list] = [[], [], [], [], [], [], []]
+                for i in new:
+                    p, lead = int(pos[i]), raw[pos[i]: pos[i] + gram]
+                    for col, value in zip(cols, (bisect_right(cuts, lead), lead, raw[p: end[i]], raw[begin[i]: p], keys[row[i]],
+                                                 p - int(off[row[i]]), None), strict=True):
+                        col.append(value)
+                for key, own in spans.items():
+                    for a, b in zip(*merged(*zip(*own, strict=True)), strict=True):
+                        for col, value in zip(cols, (key[0] % buckets, None, None, None, key, int(a), int(b)), strict=True):
+                            col.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SUFFIX, strict=True)], schema=_SUFFIX)
+
+    def hot_strings(batches):
+        seen: set = set()
+        for batch in batches:
+            for part in slices(batch):
+                raw, off, prefix, pos, row, h, keys = _slice_anchors(part, length, gram, seen)
+                take = np.isin(h.view(np.int64), heavy.value)
+                yield from _strings(prefix, off, pos[take], row[take], keys)
+
+    def _strings(prefix, off, pos, row, keys):
         for o in range(back + 1):
             ok = np.flatnonzero((pos - o >= off[row]) & (pos - o + length <= off[row + 1]))
             if len(ok):
@@ -261,7 +298,9 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
                                                pa.array(at - low[hit] + length)], names=["key", "a", "b"])
 
         for batch in batches:
-            t = pa.Table.from_batches([batch])
+            known = batch.filter(batch.column("lead").is_null())
+            yield pa.RecordBatch.from_arrays([known.column(c) for c in ("key", "pos", "b")], names=["key", "a", "b"])
+            t = pa.Table.from_batches([batch.filter(batch.column("lead").is_valid())])
             held.append(t)
             count += t.num_rows
             if count < CHUNK:
@@ -279,11 +318,10 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
         if count:
             yield flush(pa.concat_tables(held))
 
-    rows = texts.mapInArrow(lambda it: suffixes(it, False), "lead binary, suffix binary, before binary, key binary, pos bigint")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spans = rows.repartitionByRange(parts, "lead").sortWithinPartitions("lead").mapInArrow(compare, "key binary, a bigint, b bigint")
+    spans = (texts.mapInArrow(suffixes, "bucket int, lead binary, suffix binary, before binary, key binary, pos bigint, b bigint")
+             .repartition(buckets // 4, "bucket").sortWithinPartitions("bucket", "lead").mapInArrow(compare, "key binary, a bigint, b bigint"))
     if len(heavy.value):
-        strings = reliable_checkpoint(texts.mapInArrow(lambda it: suffixes(it, True), "string bigint, o int, key binary, pos bigint")
+        strings = reliable_checkpoint(texts.mapInArrow(hot_strings, "string bigint, o int, key binary, pos bigint")
                                       .dropDuplicates(["string", "o", "key", "pos"]))
         twice = strings.groupBy("string", "o").agg(F.count("*").alias("c")).where("c > 1").select("string", "o")
         spans = spans.unionByName(strings.join(twice, ["string", "o"], "left_semi").select(

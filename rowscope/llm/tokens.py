@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from rowscope.llm._text import id_text
 
-CACHE_PRETOKENS = 300_000
+CACHE_PRETOKENS = 200_000
 #: Fixed value: the pretoken pattern of this vocabulary family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 INF = np.int64(1) << 60
