@@ -75,7 +75,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tu
                                               pa.array(counts[at], pa.int64())], names=["lang", "cell", "n"])
 
     found = own.mapInArrow(count, "lang string, cell int, n bigint").groupBy("lang", "cell").agg(
-        F.sum("n").alias("n")).toPandas()
+        F.sum("n").alias("n")).toArrow().to_pandas()
     names = sorted(found["lang"].unique().tolist())
     table = np.zeros((GRAMS, len(names)))
     for i, name in enumerate(names):

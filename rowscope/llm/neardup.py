@@ -217,9 +217,9 @@ def links(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARIT
     pairs = reliable_checkpoint(pairs)
     ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
     hashed = (ends.select(F.pmod(F.xxhash64("key"), F.lit(bits)).alias("h")).groupBy(F.expr("shiftright(h, 6)").alias("w"))
-              .agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("v")).toPandas())
+              .agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("v")).toArrow())
     table = np.zeros(bits // 64, np.int64)
-    table[hashed["w"].to_numpy()] = hashed["v"].to_numpy()
+    table[hashed.column("w").to_numpy()] = hashed.column("v").to_numpy()
     wanted = spark.sparkContext.broadcast(table)
 
     def tokens(batches):

@@ -6,7 +6,8 @@ an anchor if the hash of its ``GRAM`` leading bytes is the least of some window
 LENGTH - GRAM + 1 positions. Every string of LENGTH bytes holds such a window, hence an
 anchor at the same place in each of its occurrences: no repeated string is missed.
 
-1. One pass writes (gram hash, position hash) per anchor; a grouped minimum and maximum
+1. One pass writes (gram hash, position hash) for each different context of an anchor in
+   its task (twice if it recurs); a grouped minimum and maximum
    tells which grams occur at two positions or more. They set bits of a table of
    ``FILTER_BITS``; a bit set by chance only costs work.
 2. A second pass emits the suffix of each anchor whose bit is set (the LENGTH bytes
@@ -17,7 +18,7 @@ anchor at the same place in each of its occurrences: no repeated string is misse
    Neighbours' common prefixes, and those of the reversed left contexts, give for every
    offset o the classes of equal LENGTH - o bytes to the right and o bytes to the left:
    a class pair held twice is a repeated string that starts o bytes before the anchor.
-3. A gram with more than ``HOT`` anchors is not gathered: its strings are hashed, one
+3. A gram with more than ``HOT`` suffixes is not gathered: its strings are hashed, one
    row for each offset, and compared by grouped sums with map-side combination.
 4. The spans join the documents by the hash of the text, and the bytes go.
 
@@ -89,46 +90,65 @@ def _slice_anchors(part: pa.RecordBatch, length: int, gram: int, seen: set):
     return raw, off, prefix, pos[keep], row[keep], h[keep], keys
 
 
+def contexts(off, prefix, pos, row, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and hash of every anchor's context: all strings of ``length`` bytes that hold its gram."""
+    begin, end = np.maximum(off[row], pos - (length - gram)), np.minimum(off[row + 1], pos + length)
+    if not len(pos):
+        return begin, end, np.zeros(0, np.uint64)
+    return begin, end, mix(span_hash(prefix, begin, end) ^ mix((pos - begin).astype(np.uint64)))
+
+
 def repeated_grams(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """gram (hash), anchors and, for one gram in ``SAMPLED``, the bytes of every gram with two positions or more."""
+    """gram (hash), suffixes (different contexts, counted by task) and, for one gram in ``SAMPLED``, the bytes of
+    every gram with two positions or more. A context met again in a task sends its second place only."""
 
     def run(batches):
         seen: set = set()
+        met: dict[int, bool] = {}  # whether the second place is known
         for batch in batches:
             for part in slices(batch):
-                raw, off, _, pos, row, h, keys = _slice_anchors(part, length, gram, seen)
+                raw, off, prefix, pos, row, h, keys = _slice_anchors(part, length, gram, seen)
                 own = np.array([int.from_bytes(k[:8], "little") for k in keys], np.uint64)
                 place = mix(own[row] ^ mix((pos - off[row]).astype(np.uint64) + U(1))) if len(row) else h
+                _, _, context = contexts(off, prefix, pos, row, length, gram)
+                take, new = [], []
+                for i, c in enumerate(context.tolist()):
+                    twice = met.get(c)
+                    if not twice:
+                        met[c] = twice is not None
+                        take.append(i)
+                        new.append(int(twice is None))
+                h, place, pos = h[take], place[take], pos[take]
                 lead = [None] * len(pos)
                 for i in np.flatnonzero(h % U(SAMPLED) == 0).tolist():
                     lead[i] = raw[pos[i]: pos[i] + gram]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(place.view(np.int64)), pa.array(lead, pa.binary())],
-                                                 names=["gram", "place", "lead"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(place.view(np.int64)), pa.array(new, pa.int32()),
+                                                  pa.array(lead, pa.binary())], names=["gram", "place", "new", "lead"])
 
-    return (texts.mapInArrow(run, "gram bigint, place bigint, lead binary").groupBy("gram")
-            .agg(F.min("place").alias("a"), F.max("place").alias("b"), F.count("*").alias("anchors"), F.min("lead").alias("lead"))
-            .where("a <> b").select("gram", "anchors", "lead"))
+    return (texts.mapInArrow(run, "gram bigint, place bigint, new int, lead binary").groupBy("gram")
+            .agg(F.min("place").alias("a"), F.max("place").alias("b"), F.sum("new").alias("suffixes"), F.min("lead").alias("lead"))
+            .where("a <> b").select("gram", "suffixes", "lead"))
 
 
 def splitters(grams: DataFrame, buckets: int) -> list[bytes]:
     """Leading bytes that cut the suffixes into buckets of about equal size, from a bounded sample of grams."""
     sample = grams.where("lead is not null")
     thin = int(sample.count() // (32 * buckets)) + 1  # at most about 32 grams for each bucket
-    rows = sample.where(F.pmod(F.xxhash64("gram"), F.lit(thin)) == 0).select("lead", "anchors").orderBy("lead").collect()
-    total, held, out = sum(r["anchors"] for r in rows), 0, []
+    rows = sample.where(F.pmod(F.xxhash64("gram"), F.lit(thin)) == 0).select("lead", "suffixes").orderBy("lead").collect()
+    total, held, out = sum(r["suffixes"] for r in rows), 0, []
     for r in rows:
         if held * buckets >= total * (len(out) + 1):
             out.append(bytes(r["lead"]))
-        held += r["anchors"]
+        held += r["suffixes"]
     return out
 
 
 def _bits(grams: DataFrame, bits: int) -> np.ndarray:
     """The bit table of the grams: at most bits / 64 rows reach the driver."""
     rows = (grams.select(F.expr(f"pmod(gram, {bits}L)").alias("b")).groupBy(F.expr("shiftright(b, 6)").alias("w"))
-            .agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("v")).toPandas())
+            .agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("v")).toArrow())
     table = np.zeros(bits // 64, np.uint64)
-    table[rows["w"].to_numpy()] = rows["v"].to_numpy().astype(np.int64).view(np.uint64)
+    table[rows.column("w").to_numpy()] = rows.column("v").to_numpy().view(np.uint64)
     return table
 
 
@@ -214,9 +234,9 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     texts = bounded_batches(docs).select(F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") >= length)
     grams = reliable_checkpoint(repeated_grams(texts, length, gram))
     table = spark.sparkContext.broadcast(_bits(grams, bits))
-    # at most (anchors of the corpus) / hot grams
+    # at most (suffixes of the corpus) / hot grams
     heavy = spark.sparkContext.broadcast(np.array(sorted(
-        r["gram"] for r in grams.where(F.col("anchors") > hot).select("gram").toLocalIterator()), np.int64))
+        r["gram"] for r in grams.where(F.col("suffixes") > hot).select("gram").toLocalIterator()), np.int64))
     back = length - gram
     wide = -(-length // 8) * 8
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -232,8 +252,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
                 raw, off, prefix, pos, row, h, keys = _slice_anchors(part, length, gram, seen)
                 take = _hit(table.value, h) & ~np.isin(h.view(np.int64), heavy.value)
                 pos, row = pos[take], row[take]
-                begin, end = np.maximum(off[row], pos - back), np.minimum(off[row + 1], pos + length)
-                context = mix(span_hash(prefix, begin, end) ^ mix((pos - begin).astype(np.uint64))) if len(pos) else np.zeros(0, np.uint64)
+                begin, end, context = contexts(off, prefix, pos, row, length, gram)
                 spans: dict[bytes, list] = {}
                 new = []
                 for i, (c, r, b, e) in enumerate(zip(context.tolist(), row.tolist(), begin.tolist(), end.tolist(), strict=True)):

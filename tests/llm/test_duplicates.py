@@ -212,6 +212,22 @@ def test_planted_passages(spark):
     assert all({(r["class_id"], r["start_word"], r["end_word"]) for r in where[90 + i]} == {(90, 0, 60)} for i in range(3))
 
 
+def test_hot_values_are_dealt_out_in_parts(spark):
+    one = prose(7, 60)
+    rows = [(i, prose(100 + i, 20) + " " + one + " " + prose(200 + i, 20)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    whole = passages.passage_pairs(docs).collect()
+    parts = passages.passage_pairs(docs, hot=5).collect()
+    for pairs in (whole, parts):
+        reach = {r["b"]: r["b"] for r in pairs} | {r["a"]: r["a"] for r in pairs}
+        assert len(reach) == 40  # every text has its passage, and all are one group
+        for _ in range(40):
+            for r in pairs:
+                reach[r["a"]] = reach[r["b"]] = min(reach[r["a"]], reach[r["b"]])
+        assert len(set(reach.values())) == 1
+    assert len({r["b"] for r in whole}) < len({r["b"] for r in parts}) and len(parts) < 8 * 40  # not all pairs
+
+
 def test_passages_cover_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     own = {r["doc_id"]: r["text"].lower().split() for r in docs.collect()}
