@@ -152,3 +152,14 @@ def test_checkpoint_folder_is_required_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.checkpoint_dir(Session())
+
+
+def test_autoencoder_windows_score_every_row(spark):
+    from rowscope.detect.autoencoder import autoencoder_scores
+
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(v) for v in rng.normal(size=3) + (9 if 60 <= i < 64 else 0)]) for i in range(120)]
+    fm = spark.createDataFrame(rows, "row_id long, x array<double>")
+    got = {r["row_id"]: r["score"] for r in autoencoder_scores(fm, preset="simple", epochs=10, windows=(4, 1)).collect()}
+    assert sorted(got) == list(range(120))
+    assert max(got, key=got.get) in range(58, 67)
