@@ -245,6 +245,21 @@ def test_passages_cover_brute_force(spark):
     assert covered >= 0.98 * len(hits)
 
 
+def test_representative_holds_passage_twice(spark):
+    one = prose(7, 60)
+    others = [prose(100 + i, 40) + " " + one + " " + prose(200 + i, 30) for i in range(5)]
+    key = lambda t: hashlib.md5(t.encode()).digest()
+    twice = next(t for t in (f"{prose(1000 + i, 30)} {one} {prose(2000 + i, 80)} {one} {prose(3000 + i, 20)}" for i in range(1000))
+                 if key(t) < min(map(key, others)))
+    alone = f"{prose(11, 30)} {prose(12, 60)} {prose(13, 80)} {prose(12, 60)}"
+    docs = spark.createDataFrame(list(enumerate([twice, *others, alone])), "doc_id bigint, text string")
+    got = passages.repeated_passages(docs).collect()
+    for first in (30, 170):
+        assert any(r["doc_id"] == 0 and r["class_id"] == 0 and abs(r["start_word"] - first) <= 5
+                   and abs(r["end_word"] - first - 60) <= 5 for r in got)
+    assert not any(r["doc_id"] == 6 for r in got)  # repeats inside one text alone are no result
+
+
 def test_passage_edges(edge_docs, no_docs):
     rows = {tuple(r) for r in passages.repeated_passages(edge_docs).collect()}
     assert rows == {(5, 0, 80, 5, 0, 80), (6, 0, 80, 5, 0, 80)}
