@@ -245,40 +245,6 @@ def test_passages_cover_brute_force(spark):
     assert covered >= 0.98 * len(hits)
 
 
-@pytest.mark.parametrize("most", [2, 3])
-def test_edited_passages_without_a_clean_copy(spark, most):
-    """Every copy that has a similar partner in two functions or more is reported, by brute force over all pairs."""
-    base = prose(7, 60).split()
-    texts = []
-    for i in range(100):
-        r = random.Random(i)
-        own = list(base)
-        for at in r.sample(range(60), r.randint(1, most)):
-            own[at] = f"edit{i}x{at}"
-        texts.append(f"{prose(100 + i, 20)} {' '.join(own)} {prose(300 + i, 20)}")
-    rows = []
-    for t in texts:
-        data, off = utf8(pa.array([t]))
-        _, _, hashes, woff = words(data, off)
-        sh, soff = shingles(hashes, woff, 5)
-        own = []
-        for k in range(passages.HASHES):
-            v = passages._values(sh, k)
-            c = passages.window_centres(v, soff, 46)
-            left, right = passages.extents(c, v, np.zeros(len(c), np.int64), soff)
-            own += [(k, int(v[x]), int(x), int(y), int(z)) for x, y, z in zip(c, left, right, strict=True)]
-        rows.append(((sh & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), own))
-    want = set()
-    for i, (x, wx) in enumerate(rows):
-        for j, (y, wy) in enumerate(rows[:i]):
-            met = [(k, c, l, r, cb, lb, rb) for k, v, c, l, r in wx for kb, vb, cb, lb, rb in wy if k == kb and v == vb]
-            if any(passages.stretches(x, y, *found, 46, 0.8) for found in passages.candidates(met, 46, 2)):
-                want |= {i, j}
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = {r["doc_id"] for r in passages.repeated_passages(docs).collect()}
-    assert len(want) >= 30 and want <= got
-
-
 def test_representative_holds_passage_twice(spark):
     one = prose(7, 60)
     others = [prose(100 + i, 40) + " " + one + " " + prose(200 + i, 30) for i in range(5)]
