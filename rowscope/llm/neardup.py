@@ -7,9 +7,10 @@ they share those shingles in that order: the chance falls with the edit similari
 
 Texts with one sketch in common form a bucket. The members of a bucket are aligned with
 its ``LEADERS`` most central members (those in the largest buckets; of a group of
-edited copies these are the least edited), not with each other: a bucket of b members
-gives at most LEADERS x b candidates, and one of up to LEADERS + 1 members gives all
-its pairs. A candidate pair is linked if the alignment of its shingle sequences, in a
+edited copies these are the least edited): a bucket of b members gives at most LEADERS x b
+candidates in this step. Then every two members of a bucket that are not yet in one
+component are compared as well, so bucket-mates that are alike always share a group;
+only this step can grow with the square of a bucket, if its members are unlike. A candidate pair is linked if the alignment of its shingle sequences, in a
 band as wide as the allowed distance, costs at most (1 - ``SIMILARITY``) x the longer
 length, and their distinct shingles agree as much as this asks of texts without repeats
 (Jaccard SIMILARITY / (2 - SIMILARITY)), so that one phrase repeated through two texts
@@ -199,7 +200,6 @@ def sketch_rows(texts: DataFrame, count: int = SKETCHES, pick: int = PICK) -> Da
 def links(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY, count: int = SKETCHES, pick: int = PICK,
           leaders: int = LEADERS, bits: int = FILTER_BITS) -> DataFrame:
     """a, b: keys of linked pairs of different texts."""
-    spark = docs.sparkSession
     texts = bounded_batches(docs).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = sketch_rows(texts, count, pick)
     # members of buckets with two different texts or more; equal rows of copies fall together
@@ -215,6 +215,23 @@ def links(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARIT
              .where(F.least("n", "lead_n") >= similarity * F.greatest("n", "lead_n") - 1e-9)
              .select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct())
     pairs = reliable_checkpoint(pairs)
+    linked = reliable_checkpoint(_aligned(texts, pairs, similarity, bits))
+    # bucket-mates that the leaders' links leave in different components
+    roots = components(linked, "a", "b").withColumnRenamed("node", "key")
+    rooted = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    split = rooted.groupBy("sketch").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sketch")
+    rooted = reliable_checkpoint(rooted.join(split, "sketch", "left_semi").select("sketch", "key", "n", "root"))
+    mate = rooted.select("sketch", F.col("key").alias("mate"), F.col("n").alias("mate_n"), F.col("root").alias("mate_root"))
+    rest = (rooted.join(mate, "sketch").where("key < mate and root <> mate_root")
+            .where(F.least("n", "mate_n") >= similarity * F.greatest("n", "mate_n") - 1e-9)
+            .select(F.col("key").alias("a"), F.col("mate").alias("b")).distinct())
+    rest = reliable_checkpoint(rest.join(pairs, ["a", "b"], "left_anti"))
+    return linked.unionByName(_aligned(texts, rest, similarity, bits))
+
+
+def _aligned(texts: DataFrame, pairs: DataFrame, similarity: float, bits: int) -> DataFrame:
+    """The pairs (a, b) of texts, by key, that are alike."""
+    spark = texts.sparkSession
     ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
     hashed = (ends.select(F.pmod(F.xxhash64("key"), F.lit(bits)).alias("h")).groupBy(F.expr("shiftright(h, 6)").alias("w"))
               .agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("v")).toArrow())

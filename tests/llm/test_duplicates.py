@@ -266,6 +266,31 @@ def test_passage_edges(edge_docs, no_docs):
     assert passages.repeated_passages(no_docs).count() == 0
 
 
+def test_bucket_mates_without_a_central_text(spark):
+    """Edited copies without their base: groups are the components of all bucket-mates that are alike."""
+    base = prose(17, 150).split()
+    texts = []
+    for i in range(120):
+        r = random.Random(i)
+        own = list(base)
+        for at in r.sample(range(150), r.randint(3, 5)):
+            own[at] = f"edit{i}x{at}"
+        texts.append(" ".join(own))
+    data, off = utf8(pa.array(texts))
+    _, _, hashes, woff = words(data, off)
+    sh, soff = shingles(hashes, woff)
+    values = [set(row) for row in neardup.sketches(sh, soff).tolist()]
+    seqs = [(sh[soff[i]: soff[i + 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for i in range(len(texts))]
+    head = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if values[i] & values[j] and neardup.alike(seqs[i], seqs[j], 0.8):
+                head = [min(head[i], head[j]) if h in (head[i], head[j]) else h for h in head]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["group_id"] for r in neardup.groups(docs).collect()}
+    assert 1 < len(set(head)) < len(texts) and [got[i] for i in range(len(texts))] == head
+
+
 # --- substrings
 
 def brute_substrings(rows, length):
