@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators: whole tables, production parameters, full results."""
+"""Registered queries of the operators: whole tables, production parameters, full results."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowscope.llm import decontaminate, fingerprints, language, linededup, neardup, passages, ppm, quality, substrings, tokens
+from rowscope.llm import (decontaminate, fingerprints, language, linededup, matching, neardup, passages, ppm, prefixtrie, quality, repair,
+                          substrings, tokens)
 from rowscope.llm._text import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +134,103 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that repeat across documents."""
     return passages.repeated_passages(read(spark, sf_dir, "documents"))
+
+
+def _crc(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII string, bit by bit."""
+    return (f"xor(list_reduce(list_concat([4294967295], list_transform(string_split({text}, ''), lambda x: cast(ascii(x) AS BIGINT))), "
+            "lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]), "
+            "lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)")
+
+
+TRIE_SQL = f"""
+WITH t AS (SELECT conv_id, d, n, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d, n) AS pos
+      FROM (SELECT conv_id, turn, length(coalesce(text, '')) AS n,
+                   md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d
+            FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc("cast(conv_id AS VARCHAR)")} % 6 AS h
+      FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, pos, d, n FROM c JOIN t ON t.conv_id = base AND pos <= h
+      UNION ALL SELECT c.conv_id, pos, d, n FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+p AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(d, '') OVER w AS k, n FROM r
+      WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+      UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+m AS (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(n) AS n,
+             CASE WHEN depth > 0 THEN left(k, 32 * (depth - 1)) END AS up FROM p GROUP BY k, depth),
+f AS (SELECT up, count(*) AS n_children FROM m WHERE up IS NOT NULL GROUP BY up),
+v AS (SELECT m.*, coalesce(n_children, 0) AS n_children FROM m LEFT JOIN f ON f.up = m.k),
+s AS (SELECT left(k, 32 * a) AS k, sum(leaf) AS n_leaves, sum(saving) AS saved_tokens
+      FROM (SELECT k, unnest(range(depth + 1)) AS a, cast(n_children = 0 AS INT) AS leaf, (n_convs - 1) * n AS saving FROM v) GROUP BY 1),
+e AS (SELECT k, string_agg(cast(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+      FROM (SELECT conv_id, arg_max(k, depth) AS k FROM p GROUP BY conv_id) GROUP BY k)
+SELECT v.conv_id, v.depth, m.conv_id AS parent_conv_id, v.n_convs, v.n_children, cast(n_leaves AS BIGINT) AS n_leaves,
+       cast(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM v JOIN s ON s.k = v.k LEFT JOIN m ON m.k = v.up LEFT JOIN e ON e.k = v.k"""
+
+
+@query("op11_prefix_trie", TRIE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations."""
+    return prefixtrie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+def _add(way: str, cost: int | str, letter: str) -> str:
+    """A way (twelve digits of cost, then its audit) with one more edit."""
+    return f"lpad(cast(cast(left({way}, 12) AS BIGINT) + {cost} AS VARCHAR), 12, '0') || substr({way}, 13) || '{letter}'"
+
+
+_INSERTED = (f"[x[1], x[2], least(x[3], {_add('least(x[1], x[2], x[4])', 5, 'I')}), "
+             f"least(x[4], {_add('x[3]', 5, 'I')}, {_add('least(x[1], x[2])', 10, 'II')})]")
+_EDITED = (f"[{_add('x[1]', 2, 'D')}, least({_add('x[2]', 2, 'D')}, CASE WHEN y[1] = 's' THEN {_add('x[1]', 'cast(y[2] AS BIGINT)', 'K')} END), "
+           f"least({_add('x[3]', 2, 'D')}, CASE WHEN y[1] = 'u' THEN {_add('least(x[1], x[2], x[4])', 'cast(y[2] AS BIGINT)', 'K')} END, "
+           f"CASE WHEN y[1] <> 'x' THEN {_add('least(x[1], x[2], x[4])', '1 + cast(y[2] AS BIGINT)', 'R')} END), "
+           f"least({_add('x[4]', 2, 'D')}, CASE WHEN y[1] = 'a' THEN {_add('x[3]', 'cast(y[2] AS BIGINT)', 'K')} END, "
+           f"CASE WHEN y[1] <> 'x' THEN {_add('x[3]', '1 + cast(y[2] AS BIGINT)', 'R')} END)]")
+REPAIR_SQL = f"""
+WITH o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                  {_crc("coalesce(cast(conv_id AS VARCHAR), ' ') || ':' || coalesce(cast(turn AS VARCHAR), ' ')")} % 20 AS hurt
+           FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN hurt = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN hurt = 1 THEN '' WHEN hurt = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+             unnest(range(CASE WHEN hurt = 3 THEN 2 ELSE 1 END)) AS again
+      FROM o WHERE hurt <> 0),
+w AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS pos,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again) AS nth,
+             regexp_replace(text, '[ \t\n\x0B\f\r]+$', '') AS bare FROM d),
+g AS (SELECT *, left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS prev,
+             CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated'
+                  ELSE 'none' END AS fault FROM w),
+a AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+             count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+             count(*) FILTER (prev IS NOT NULL AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal,
+             list([CASE WHEN fault IN ('blank', 'duplicate') THEN 'x' WHEN ini IN ('s', 'u', 'a') THEN ini ELSE 'o' END,
+                   CASE WHEN fault = 'truncated' THEN '5' ELSE '0' END] ORDER BY pos) AS syms
+      FROM g GROUP BY conv_id),
+b AS (SELECT *, list_reduce(list_concat([['000000000000', '100000000000', '100000000000', '100000000000'], ['I']],
+             flatten(list_transform(syms, lambda s: [s, ['I']]))),
+             lambda x, y: CASE WHEN y[1] = 'I' THEN {_INSERTED} ELSE {_EDITED} END) AS ways FROM a),
+z AS (SELECT * EXCLUDE (syms, ways), cast(left(least(ways[1], ways[4]), 12) AS BIGINT) AS cost, substr(least(ways[1], ways[4]), 13) AS audit FROM b),
+u AS (SELECT conv_id, unnest(range(1, length(audit) + 1)) AS i, substr(audit, i, 1) AS x FROM z),
+q AS (SELECT conv_id, i, x, sum(cast(x <> 'I' AS INT)) OVER h AS pos, sum(cast(x <> 'D' AS INT)) OVER h AS nr
+      FROM u WINDOW h AS (PARTITION BY conv_id ORDER BY i)),
+k AS (SELECT q.*, g.role, g.text, max(CASE WHEN nr = 1 AND x = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY q.conv_id) AS led
+      FROM q LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM q.conv_id AND g.pos = q.pos AND x <> 'I' WHERE x <> 'D'),
+l AS (SELECT conv_id, string_agg(CASE WHEN x = 'K' THEN role WHEN (nr - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+             || CASE WHEN x = 'I' THEN '' ELSE text END, chr(10) ORDER BY i) AS body FROM k GROUP BY conv_id)
+SELECT c.conv_id, cast(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id
+     LEFT JOIN l ON l.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+@query("op12_conversation_repair", REPAIR_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    return repair.repaired(read(spark, sf_dir, "conversations"))
+
+
+@query("op13_byte_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE of every whole document by longest matches, and its decoding."""
+    return matching.digest(read(spark, sf_dir, "documents"))
