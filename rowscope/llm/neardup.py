@@ -7,10 +7,15 @@ they share those shingles in that order: the chance falls with the edit similari
 
 Texts with one sketch in common form a bucket. The members of a bucket are aligned with
 its ``LEADERS`` most central members (those in the largest buckets; of a group of
-edited copies these are the least edited): a bucket of b members gives at most LEADERS x b
-candidates in this step. Then every two members of a bucket that are not yet in one
-component are compared as well, so bucket-mates that are alike always share a group;
-only this step can grow with the square of a bucket, if its members are unlike. A candidate pair is linked if the alignment of its shingle sequences, in a
+edited copies these are the least edited), so a bucket of b members gives at most
+LEADERS x b candidates. A bucket that this leaves with members of different components
+is refined, not compared pair by pair: its members meet again in the buckets of two,
+then of three neighbouring sketches (at most ``NEAR`` functions apart) and of nearly
+their own length, where texts that merely share a sentence part and alike ones meet
+many times over (of texts that agree in 0.3 of the sketches, the least that similarity
+0.8 asks, about 98 % share such a triple; of those that agree in half, all but a few in
+10,000). Each refined bucket gets further leaders, twice as many in every round, until
+its members are of one component or every member has led. A pair is linked if the alignment of its shingle sequences, in a
 band as wide as the allowed distance, costs at most (1 - ``SIMILARITY``) x the longer
 length, and their distinct shingles agree as much as this asks of texts without repeats
 (Jaccard SIMILARITY / (2 - SIMILARITY)), so that one phrase repeated through two texts
@@ -28,6 +33,8 @@ take part and their class has the least other id or null; repeated rows share a
 from __future__ import annotations
 
 import hashlib
+import math
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +48,8 @@ from rowscope.session import reliable_checkpoint
 SKETCHES = 24
 PICK = 3
 LEADERS = 4
+#: Refined buckets join sketches of functions at most so far apart: pairs, and then triples.
+NEAR = (3, 5)
 SIMILARITY = 0.8
 FILTER_BITS = 1 << 26
 _THIN = 24
@@ -183,74 +192,120 @@ def _new_texts(batches, seen: set):
 
 
 def sketch_rows(texts: DataFrame, count: int = SKETCHES, pick: int = PICK) -> DataFrame:
-    """sketch, key, n (shingles) of every distinct text with a word; a copy may come from several tasks."""
+    """key, n (shingles) and the sketches of every text with a word; a copy may come from several tasks."""
 
     def run(batches):
         for keys, sh, soff in _new_texts(batches, set()):
             size = np.diff(soff)
             rows = np.flatnonzero(size)
             s = sketches(sh, soff, count, pick)
-            own = [keys[r] for r in rows.tolist() for _ in range(count)]
-            yield pa.RecordBatch.from_arrays([pa.array(s.ravel().view(np.int64)), pa.array(own, pa.binary()),
-                                              pa.array(np.repeat(size[rows], count).astype(np.int32))], names=["sketch", "key", "n"])
-
-    return texts.mapInArrow(run, "sketch bigint, key binary, n int")
+            yield pa.RecordBatch.from_arrays([
+                pa.array([keys[r] for r in rows.tolist()], pa.binary()), pa.array(size[rows].astype(np.int32)),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * count), pa.array(s.ravel().view(np.int64)))],
+                names=["key", "n", "v"])
+
+    return texts.mapInArrow(run, "key binary, n int, v array<bigint>")
+
+
+def _refined(vectors: DataFrame, count: int, near: int, size: int) -> DataFrame:
+    """bucket, key, n, root, at (the functions joined, as bits): every ``size`` neighbouring sketches whose buckets are open
+    in ``mask``, once for each of the two length cells that a text of n shingles belongs to."""
+    joined = sorted({tuple(sorted({i, *((i + d) % count for d in more)}))
+                     for i in range(count) for more in combinations(range(1, near + 1), size - 1)})
+    joined = [j for j in joined if len(j) == size]
+    combos = F.expr("array(" + ", ".join(
+        f"named_struct('at', {sum(1 << p for p in j)}L, 'p', array({', '.join(map(str, j))}))" for j in joined) + ")")
+    taken = F.filter(combos, lambda c: F.col("mask").bitwiseAND(c["at"]) == c["at"])
+    cell = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1 / SIMILARITY)))
+    each = vectors.select("key", "n", "root", "v", cell.alias("cell"), F.explode(taken).alias("j"))
+    return each.select(F.xxhash64("j.at", F.transform("j.p", lambda i: F.get("v", i))).alias("b"), "key", "n", "root",
+                       F.col("j.at").alias("at"), F.explode(F.array("cell", F.col("cell") + 1)).alias("c")).select(
+        F.xxhash64("b", "c").alias("bucket"), "key", "n", "root", "at")
+
+
+def _open_buckets(members: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components."""
+    split = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+    return members.join(split, "bucket", "left_semi")
+
+
+def _with_leaders(members: DataFrame, first: int, most: int, order: list, similarity: float) -> DataFrame:
+    """a, b: members of other components with the bucket's leaders in places first + 1 to first + most."""
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy(*order))
+    top = (members.withColumn("place", place).where(F.col("place").between(first + 1, first + most))
+           .select("bucket", F.col("key").alias("lead"), F.col("n").alias("lead_n"), F.col("root").alias("lead_root")))
+    return (members.join(top, "bucket").where("root <> lead_root")
+            .where(F.least("n", "lead_n") >= similarity * F.greatest("n", "lead_n") - 1e-9)
+            .select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct())
 
 
 def links(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY, count: int = SKETCHES, pick: int = PICK,
           leaders: int = LEADERS, bits: int = FILTER_BITS) -> DataFrame:
     """a, b: keys of linked pairs of different texts."""
     texts = bounded_batches(docs).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = sketch_rows(texts, count, pick)
-    # members of buckets with two different texts or more; equal rows of copies fall together
-    sizes = rows.groupBy("sketch").agg(F.min("key").alias("x"), F.max("key").alias("y"), F.count("*").alias("size")).where(
-        "x <> y").select("sketch", "size")
-    members = reliable_checkpoint(rows.join(sizes, "sketch").distinct())
+    vectors = reliable_checkpoint(sketch_rows(texts, count, pick).dropDuplicates(["key"]))
+    rows = vectors.select("key", "n", F.posexplode("v").alias("i", "bucket"))
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = reliable_checkpoint(rows.join(sizes, "bucket").withColumn("root", F.col("key")))
     central = members.groupBy("key").agg(F.sum("size").alias("central"))
-    ranked = members.join(central, "key")
-    order = Window.partitionBy("sketch").orderBy(F.desc("central"), "key")
-    top = (ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leaders)
-           .select("sketch", F.col("key").alias("lead"), F.col("n").alias("lead_n")))
-    pairs = (members.join(top, "sketch").where("key <> lead")
-             .where(F.least("n", "lead_n") >= similarity * F.greatest("n", "lead_n") - 1e-9)
-             .select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct())
-    pairs = reliable_checkpoint(pairs)
-    linked = reliable_checkpoint(_aligned(texts, pairs, similarity, bits))
-    # bucket-mates that the leaders' links leave in different components
-    roots = components(linked, "a", "b").withColumnRenamed("node", "key")
-    rooted = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    split = rooted.groupBy("sketch").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sketch")
-    rooted = reliable_checkpoint(rooted.join(split, "sketch", "left_semi").select("sketch", "key", "n", "root"))
-    mate = rooted.select("sketch", F.col("key").alias("mate"), F.col("n").alias("mate_n"), F.col("root").alias("mate_root"))
-    rest = (rooted.join(mate, "sketch").where("key < mate and root <> mate_root")
-            .where(F.least("n", "mate_n") >= similarity * F.greatest("n", "mate_n") - 1e-9)
-            .select(F.col("key").alias("a"), F.col("mate").alias("b")).distinct())
-    rest = reliable_checkpoint(rest.join(pairs, ["a", "b"], "left_anti"))
-    return linked.unionByName(_aligned(texts, rest, similarity, bits))
-
-
-def _aligned(texts: DataFrame, pairs: DataFrame, similarity: float, bits: int) -> DataFrame:
-    """The pairs (a, b) of texts, by key, that are alike."""
+    pairs = reliable_checkpoint(_with_leaders(members.join(central, "key"), 0, leaders, [F.desc("central"), "key"], similarity))
+    seqs = _sequences(texts, members.select("key"), bits)
+    linked = reliable_checkpoint(_aligned(seqs, pairs, similarity))
+    compared, found = pairs, linked
+    stars = components(linked, "a", "b")
+    # buckets that still hold several components, refined by a second and a third sketch
+    now = _open_buckets(_rooted(members.drop("root"), stars)).select("key", F.expr("shiftleft(1L, i)").alias("at"))
+    for size, near in enumerate(NEAR, 2):
+        masks = now.groupBy("key").agg(F.bit_or("at").alias("mask"))
+        refined = reliable_checkpoint(_refined(_rooted(vectors.join(masks, "key"), stars), count, near, size))
+        first, most = 0, leaders
+        while True:
+            members = reliable_checkpoint(_open_buckets(_rooted(refined.drop("root"), stars)))
+            widest = members.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
+            if first >= widest or size == 2 and first:
+                break
+            fresh_pairs = _with_leaders(members, first, most, [F.xxhash64("key", "bucket"), "key"], similarity)
+            fresh_pairs = reliable_checkpoint(fresh_pairs.join(compared, ["a", "b"], "left_anti"))
+            linked = reliable_checkpoint(_aligned(seqs, fresh_pairs, similarity))
+            if not linked.isEmpty():
+                found = found.unionByName(linked)
+                stars = components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked), "a", "b")
+            compared = compared.unionByName(fresh_pairs)
+            first, most = first + most, 2 * most
+        now = members.select("key", "at")
+    return found
+
+
+def _rooted(members: DataFrame, stars: DataFrame) -> DataFrame:
+    """Members with the root of their component, themselves if they have no link."""
+    return members.join(stars.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
+def _sequences(texts: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
+    """key, seq: the shingle sequences of the wanted texts (and of a few that the table of bits lets pass by chance)."""
     spark = texts.sparkSession
-    ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
-    hashed = (ends.select(F.pmod(F.xxhash64("key"), F.lit(bits)).alias("h")).groupBy(F.expr("shiftright(h, 6)").alias("w"))
+    hashed = (wanted.select(F.pmod(F.xxhash64("key"), F.lit(bits)).alias("h")).groupBy(F.expr("shiftright(h, 6)").alias("w"))
               .agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("v")).toArrow())
     table = np.zeros(bits // 64, np.int64)
     table[hashed.column("w").to_numpy()] = hashed.column("v").to_numpy()
-    wanted = spark.sparkContext.broadcast(table)
+    known = spark.sparkContext.broadcast(table)
 
     def tokens(batches):
         seen: set = set()
         for batch in batches:
             h = np.mod(batch.column("h").to_numpy(), np.int64(bits))
-            keep = (wanted.value[h >> 6] >> (h & 63)) & 1 == 1
+            keep = (known.value[h >> 6] >> (h & 63)) & 1 == 1
             for keys, sh, soff in _new_texts([batch.filter(pa.array(keep))], seen):
                 low = (sh & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(
                     pa.array(soff.astype(np.int32)), pa.array(low))], names=["key", "seq"])
 
     seqs = texts.select("text", F.xxhash64(text_key("text")).alias("h")).mapInArrow(tokens, "key binary, seq array<int>")
-    seqs = reliable_checkpoint(seqs.dropDuplicates(["key"]))
+    return reliable_checkpoint(seqs.dropDuplicates(["key"]))
+
+
+def _aligned(seqs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of texts, by key, that are alike."""
 
     def align(batches):
         for batch in batches:

@@ -146,6 +146,41 @@ def test_groups_against_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(where.values()))
 
 
+@pytest.mark.parametrize("edits", [3, 4])
+def test_edited_copies_without_a_base_are_grouped(spark, edits):
+    """No copy is central: links between bucket-mates must still be found (brute force over all pairs)."""
+    base = prose(77 + edits, 150).split()
+    texts = []
+    for k in range(160):
+        r, t = random.Random(1000 * edits + k), base[:]
+        for _ in range(edits):
+            t[r.randrange(len(t))] = f"w{r.randrange(10 ** 9)}"
+        texts.append(" ".join(t))
+    seqs = [seq(t) for t in texts]
+    true = [(i, j) for i in range(len(texts)) for j in range(i) if neardup.alike(seqs[i], seqs[j], 0.8)]
+    group = {r["doc_id"]: r["group_id"] for r in neardup.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    held = sum(group[i] == group[j] for i, j in true)
+    assert held >= 0.97 * len(true), (held, len(true))
+
+
+def test_candidates_of_unlike_bucket_mates_do_not_grow_with_the_square(spark, monkeypatch):
+    """Texts that share a passage but are not alike: four times the texts, under six times the candidates."""
+    counts = []
+    aligned = neardup._aligned
+
+    def counted(seqs, pairs, similarity):
+        counts[-1] += pairs.count()
+        return aligned(seqs, pairs, similarity)
+
+    monkeypatch.setattr(neardup, "_aligned", counted)
+    common = prose(5, 45)
+    for n in (150, 600):
+        counts.append(0)
+        rows = [(i, common + " " + " ".join(f"v{i}x{k}" for k in range(40))) for i in range(n)]
+        assert neardup.links(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+    assert counts[1] <= 6 * counts[0] + 1000, counts
+
+
 def test_alike_is_the_edit_similarity():
     for i in range(60):
         a = prose(i, 40)
