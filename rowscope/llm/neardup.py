@@ -6,15 +6,13 @@ labelled shingles of a text and keeps them in text order, so texts agree in a sk
 they share those shingles in that order: the chance falls with the edit similarity.
 
 Texts with one sketch in common form a bucket. The members of a bucket are aligned with
-its ``LEADERS`` most central members (those in the largest buckets; of a group of
-edited copies these are the least edited), so a bucket of b members gives at most
-LEADERS x b candidates. A bucket that this leaves with members of different components
+its ``LEADERS`` most central members of about their own length (those in the largest
+buckets; of a group of edited copies these are the least edited), so a bucket of b
+members gives a few times LEADERS x b candidates. A bucket that this leaves with members of different components
 is refined, not compared pair by pair: its members meet again in the buckets of two,
-then of three neighbouring sketches (at most ``NEAR`` functions apart) and of nearly
-their own length, where texts that merely share a sentence part and alike ones meet
-many times over (of texts that agree in 0.3 of the sketches, the least that similarity
-0.8 asks, about 98 % share such a triple; of those that agree in half, all but a few in
-10,000). Each refined bucket gets further leaders, twice as many in every round, until
+then of three neighbouring sketches (at most ``NEAR`` functions apart), where texts
+that merely share a sentence part and alike ones meet several times over (texts that
+agree in half of the sketches share nine such triples on average). Each refined bucket gets further leaders, twice as many in every round, until
 its members are of one component or every member has led. A pair is linked if the alignment of its shingle sequences, in a
 band as wide as the allowed distance, costs at most (1 - ``SIMILARITY``) x the longer
 length, and their distinct shingles agree as much as this asks of texts without repeats
@@ -49,7 +47,7 @@ SKETCHES = 24
 PICK = 3
 LEADERS = 4
 #: Refined buckets join sketches of functions at most so far apart: pairs, and then triples.
-NEAR = (3, 5)
+NEAR = (2, 3)
 SIMILARITY = 0.8
 FILTER_BITS = 1 << 26
 _THIN = 24
@@ -209,18 +207,15 @@ def sketch_rows(texts: DataFrame, count: int = SKETCHES, pick: int = PICK) -> Da
 
 def _refined(vectors: DataFrame, count: int, near: int, size: int) -> DataFrame:
     """bucket, key, n, root, at (the functions joined, as bits): every ``size`` neighbouring sketches whose buckets are open
-    in ``mask``, once for each of the two length cells that a text of n shingles belongs to."""
+    in ``mask``."""
     joined = sorted({tuple(sorted({i, *((i + d) % count for d in more)}))
                      for i in range(count) for more in combinations(range(1, near + 1), size - 1)})
     joined = [j for j in joined if len(j) == size]
     combos = F.expr("array(" + ", ".join(
         f"named_struct('at', {sum(1 << p for p in j)}L, 'p', array({', '.join(map(str, j))}))" for j in joined) + ")")
     taken = F.filter(combos, lambda c: F.col("mask").bitwiseAND(c["at"]) == c["at"])
-    cell = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1 / SIMILARITY)))
-    each = vectors.select("key", "n", "root", "v", cell.alias("cell"), F.explode(taken).alias("j"))
-    return each.select(F.xxhash64("j.at", F.transform("j.p", lambda i: F.get("v", i))).alias("b"), "key", "n", "root",
-                       F.col("j.at").alias("at"), F.explode(F.array("cell", F.col("cell") + 1)).alias("c")).select(
-        F.xxhash64("b", "c").alias("bucket"), "key", "n", "root", "at")
+    each = vectors.select("key", "n", "root", "v", F.explode(taken).alias("j"))
+    return each.select(F.xxhash64("j.at", F.transform("j.p", lambda i: F.get("v", i))).alias("bucket"), "key", "n", "root", F.col("j.at").alias("at"))
 
 
 def _open_buckets(members: DataFrame) -> DataFrame:
@@ -229,9 +224,14 @@ def _open_buckets(members: DataFrame) -> DataFrame:
     return members.join(split, "bucket", "left_semi")
 
 
+def _cell(n: str) -> Column:
+    """Length cell: texts that can be alike are of one cell or of neighbouring ones."""
+    return F.floor(F.log(F.col(n).cast("double")) / F.lit(math.log(1 / SIMILARITY)))
+
+
 def _with_leaders(members: DataFrame, first: int, most: int, order: list, similarity: float) -> DataFrame:
-    """a, b: members of other components with the bucket's leaders in places first + 1 to first + most."""
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy(*order))
+    """a, b: members of other components with the leaders of their bucket, in places first + 1 to first + most of each length cell."""
+    place = F.row_number().over(Window.partitionBy("bucket", _cell("n")).orderBy(*order))
     top = (members.withColumn("place", place).where(F.col("place").between(first + 1, first + most))
            .select("bucket", F.col("key").alias("lead"), F.col("n").alias("lead_n"), F.col("root").alias("lead_root")))
     return (members.join(top, "bucket").where("root <> lead_root")
@@ -261,7 +261,7 @@ def links(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARIT
         first, most = 0, leaders
         while True:
             members = reliable_checkpoint(_open_buckets(_rooted(refined.drop("root"), stars)))
-            widest = members.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
+            widest = members.groupBy("bucket", _cell("n")).count().agg(F.max("count")).first()[0] or 0
             if first >= widest or size == 2 and first:
                 break
             fresh_pairs = _with_leaders(members, first, most, [F.xxhash64("key", "bucket"), "key"], similarity)
