@@ -8,12 +8,15 @@ they share those shingles in that order: the chance falls with the edit similari
 Texts with one sketch in common form a bucket. The members of a bucket are aligned with
 its ``LEADERS`` most central members of about their own length (those in the largest
 buckets; of a group of edited copies these are the least edited), so a bucket of b
-members gives a few times LEADERS x b candidates. A bucket that this leaves with members of different components
-is refined, not compared pair by pair: its members meet again in the buckets of two,
-then of three neighbouring sketches (at most ``NEAR`` functions apart), where texts
-that merely share a sentence part and alike ones meet several times over (texts that
-agree in half of the sketches share nine such triples on average). Each refined bucket gets further leaders, twice as many in every round, until
-its members are of one component or every member has led. A pair is linked if the alignment of its shingle sequences, in a
+members gives a few times LEADERS x b candidates. A bucket that this leaves with members
+of different components is refined, not compared pair by pair: texts as alike as asked
+share at least SIMILARITY of their labelled shingles, hence one of the rarest
+(1 - SIMILARITY) of them, in whatever order rarity is counted. The texts of open buckets
+meet again under these rarest shingles only (texts of repeated phrases under the rarest
+of their different shingles). Texts that merely share a sentence or repeat a phrase have
+it among their frequent shingles and do not meet; alike ones always do. Each such bucket
+gets further leaders, twice as many in every round, until its members are of one
+component or every member has led, so no candidate is left out. A pair is linked if the alignment of its shingle sequences, in a
 band as wide as the allowed distance, costs at most (1 - ``SIMILARITY``) x the longer
 length, and their distinct shingles agree as much as this asks of texts without repeats
 (Jaccard SIMILARITY / (2 - SIMILARITY)), so that one phrase repeated through two texts
@@ -32,7 +35,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +48,9 @@ from rowscope.session import reliable_checkpoint
 SKETCHES = 24
 PICK = 3
 LEADERS = 4
-#: Refined buckets join sketches of functions at most so far apart: pairs, and then triples.
-NEAR = (2, 3)
 SIMILARITY = 0.8
+#: Share of different shingles below which a text counts as one of repeated phrases (a choice of work, not of results).
+REPEATS = 0.3
 FILTER_BITS = 1 << 26
 _THIN = 24
 
@@ -205,17 +207,48 @@ def sketch_rows(texts: DataFrame, count: int = SKETCHES, pick: int = PICK) -> Da
     return texts.mapInArrow(run, "key binary, n int, v array<bigint>")
 
 
-def _refined(vectors: DataFrame, count: int, near: int, size: int) -> DataFrame:
-    """bucket, key, n, root, at (the functions joined, as bits): every ``size`` neighbouring sketches whose buckets are open
-    in ``mask``."""
-    joined = sorted({tuple(sorted({i, *((i + d) % count for d in more)}))
-                     for i in range(count) for more in combinations(range(1, near + 1), size - 1)})
-    joined = [j for j in joined if len(j) == size]
-    combos = F.expr("array(" + ", ".join(
-        f"named_struct('at', {sum(1 << p for p in j)}L, 'p', array({', '.join(map(str, j))}))" for j in joined) + ")")
-    taken = F.filter(combos, lambda c: F.col("mask").bitwiseAND(c["at"]) == c["at"])
-    each = vectors.select("key", "n", "root", "v", F.explode(taken).alias("j"))
-    return each.select(F.xxhash64("j.at", F.transform("j.p", lambda i: F.get("v", i))).alias("bucket"), "key", "n", "root", F.col("j.at").alias("at"))
+def _rarest(seqs: DataFrame, similarity: float) -> DataFrame:
+    """bucket, key, n: the rarest shingles of every text, as many as one of alike texts must share, that occur in a second one.
+
+    A text whose shingles are mostly different counts them with their occurrences: of n, the n - ceil(similarity x n) + 1
+    rarest. A text of repeated phrases counts its d different ones, of which alike texts share the Jaccard that ``alike``
+    asks. The share of different shingles of alike texts differs by a bounded factor, so that texts whose share lies
+    within it of ``REPEATS`` are counted both ways and every alike pair meets. Shingles of one text alone are the
+    rarest; they are counted, not moved."""
+    jaccard = similarity / (2 - similarity)
+    both = REPEATS / (jaccard * similarity)
+
+    def one_way(keys, n, token, size, share, salt):
+        least = np.ceil(size * share - 1e-9).astype(np.int64)
+        return pa.RecordBatch.from_arrays([
+            pa.array(mix(token ^ U(salt)).view(np.int64)), keys.take(pa.array(np.repeat(np.arange(len(size)), size))),
+            pa.array(np.repeat(n, size).astype(np.int32)), pa.array(np.repeat(size, size).astype(np.int32)),
+            pa.array(np.repeat(size - least + 1, size).astype(np.int32))], names=["bucket", "key", "n", "size", "rarest"])
+
+    def labelled(batches):
+        for batch in batches:
+            for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
+                seq, keys = part.column("seq"), pa.array(part.column("key").to_pylist(), pa.binary())
+                n = np.array([len(x) for x in seq], np.int64)
+                row = np.repeat(np.arange(len(n)), n)
+                sh = seq.flatten().to_numpy().view(np.uint32).astype(np.uint64)
+                token = occurrence_labels(sh, np.concatenate([[0], np.cumsum(n)]))
+                order = np.lexsort((sh, row))
+                first = np.ones(len(sh), bool)
+                first[1:] = (sh[order][1:] != sh[order][:-1]) | (row[order][1:] != row[order][:-1])
+                place = order[first]
+                d = np.bincount(row[place], minlength=len(n))
+                share = d / np.maximum(n, 1)
+                plain, phrases = share >= REPEATS, share < both
+                yield one_way(keys, n, token[plain[row]], np.where(plain, n, 0), similarity, 1)
+                yield one_way(keys, n, sh[place][phrases[row[place]]], np.where(phrases, d, 0), jaccard, 2)
+
+    tokens = reliable_checkpoint(seqs.mapInArrow(labelled, "bucket bigint, key binary, n int, size int, rarest int"))
+    shared = tokens.groupBy("bucket").agg(F.count("*").alias("texts")).where("texts > 1")
+    own = Window.partitionBy("key", "size", "rarest")
+    ranked = tokens.join(shared, "bucket").withColumn("alone", F.col("size") - F.count("*").over(own)).withColumn(
+        "place", F.col("alone") + F.row_number().over(own.orderBy("texts", "bucket")))
+    return ranked.where("place <= rarest").select("bucket", "key", "n")
 
 
 def _open_buckets(members: DataFrame) -> DataFrame:
@@ -253,26 +286,23 @@ def links(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARIT
     linked = reliable_checkpoint(_aligned(seqs, pairs, similarity))
     compared, found = pairs, linked
     stars = components(linked, "a", "b")
-    # buckets that still hold several components, refined by a second and a third sketch
-    now = _open_buckets(_rooted(members.drop("root"), stars)).select("key", F.expr("shiftleft(1L, i)").alias("at"))
-    for size, near in enumerate(NEAR, 2):
-        masks = now.groupBy("key").agg(F.bit_or("at").alias("mask"))
-        refined = reliable_checkpoint(_refined(_rooted(vectors.join(masks, "key"), stars), count, near, size))
-        first, most = 0, leaders
-        while True:
-            members = reliable_checkpoint(_open_buckets(_rooted(refined.drop("root"), stars)))
-            widest = members.groupBy("bucket", _cell("n")).count().agg(F.max("count")).first()[0] or 0
-            if first >= widest or size == 2 and first:
-                break
-            fresh_pairs = _with_leaders(members, first, most, [F.xxhash64("key", "bucket"), "key"], similarity)
-            fresh_pairs = reliable_checkpoint(fresh_pairs.join(compared, ["a", "b"], "left_anti"))
-            linked = reliable_checkpoint(_aligned(seqs, fresh_pairs, similarity))
-            if not linked.isEmpty():
-                found = found.unionByName(linked)
-                stars = components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked), "a", "b")
-            compared = compared.unionByName(fresh_pairs)
-            first, most = first + most, 2 * most
-        now = members.select("key", "at")
+    # texts of buckets that still hold several components meet under their rarest shingles
+    rest = _open_buckets(_rooted(members.drop("root"), stars)).select("key").distinct()
+    refined = reliable_checkpoint(_rarest(seqs.join(rest, "key", "left_semi"), similarity))
+    first, most = 0, leaders
+    while True:
+        members = reliable_checkpoint(_open_buckets(_rooted(refined, stars)))
+        widest = members.groupBy("bucket", _cell("n")).count().agg(F.max("count")).first()[0] or 0
+        if first >= widest:
+            break
+        fresh_pairs = _with_leaders(members, first, most, [F.xxhash64("key", "bucket"), "key"], similarity)
+        fresh_pairs = reliable_checkpoint(fresh_pairs.join(compared, ["a", "b"], "left_anti"))
+        linked = reliable_checkpoint(_aligned(seqs, fresh_pairs, similarity))
+        if not linked.isEmpty():
+            found = found.unionByName(linked)
+            stars = components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked), "a", "b")
+        compared = compared.unionByName(fresh_pairs)
+        first, most = first + most, 2 * most
     return found
 
 
