@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -22,21 +23,26 @@ from rowscope.detect.features import spread
 from rowscope.detect.sampling import tree_samples
 
 EPS = float(np.finfo(float).eps)
-_CHUNK = 256
 
 
-def _sqdist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared Euclidean distances, computed per pair as Σ(a−b)² (same bits for the
-    same pair in fitting and scoring)."""
-    out = np.empty((a.shape[0], b.shape[0]))
-    for i in range(0, a.shape[0], _CHUNK):
-        diff = a[i:i + _CHUNK, None, :] - b[None, :, :]
-        out[i:i + _CHUNK] = (diff * diff).sum(-1)
-    return out
+def _nearest(X: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared Euclidean distance Σ(a−b)² of every row to its nearest other row, and that row (the first of equals).
+
+    The BLAS form names the rows that can be nearest within a rounding bound; only these distances are
+    summed pair by pair, so the result equals the full table's."""
+    sq = (X * X).sum(axis=1)
+    approx = sq[:, None] + sq[None, :] - 2.0 * (X @ X.T)
+    np.fill_diagonal(approx, np.inf)
+    near = approx <= (approx.min(axis=1) + 2e-9 * (2 * sq.max() + 1.0))[:, None]
+    r, c = np.nonzero(near & np.isfinite(approx))
+    D = np.full(approx.shape, np.inf)
+    diff = X[r] - X[c]
+    D[r, c] = (diff * diff).sum(axis=1)
+    return D.min(axis=1), D.argmin(axis=1)
 
 
 def _covered(X: np.ndarray, sqx: np.ndarray, C: np.ndarray, rad: np.ndarray) -> np.ndarray:
-    """``Σ(x−c)² <= r(c)`` for all pairs, exactly as ``_sqdist`` decides it.
+    """``Σ(x−c)² <= r(c)`` for all pairs, exactly as sums pair by pair decide it.
 
     The BLAS form ‖x‖² + ‖c‖² − 2x·c decides every pair whose distance is
     farther than a rounding bound from the radius; the few pairs inside the bound
@@ -54,31 +60,33 @@ def _covered(X: np.ndarray, sqx: np.ndarray, C: np.ndarray, rad: np.ndarray) ->
     return inside
 
 
-def _fit_tree(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("rank")
-    X = np.stack(pdf["x"].to_numpy()).astype(float)
-    D = _sqdist(X, X)
-    np.fill_diagonal(D, np.inf)
-    radius = D.min(axis=1)
-    nn = D.argmin(axis=1)
+def _matrix(col: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
+    """A column of equally long arrays as a matrix, without a Python object for each row."""
+    return col.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1)
+
+
+def _fit_tree(sample: pa.Table) -> pa.Table:
+    sample = sample.sort_by("rank")
+    X = _matrix(sample.column("x"), sample.num_rows)
+    radius, nn = _nearest(X)
     ratio = 1.0 - (radius[nn] + EPS) / (radius + EPS)
-    return pd.DataFrame({"tree": pdf["tree"].to_numpy(), "rank": pdf["rank"].to_numpy(),
-                         "x": list(X), "radius": radius, "ratio": ratio})
+    return pa.table({"tree": sample.column("tree"), "rank": sample.column("rank"), "x": sample.column("x"),
+                     "radius": pa.array(radius), "ratio": pa.array(ratio)})
 
 
 def fit(fm: DataFrame, n_estimators: int = 200, max_samples: int = 256) -> DataFrame:
     samples, _ = tree_samples(fm, n_estimators, max_samples)
-    return samples.groupBy("tree").applyInPandas(
+    return samples.groupBy("tree").applyInArrow(
         _fit_tree, "tree int, rank int, x array<double>, radius double, ratio double")
 
 
 def score(fm: DataFrame, model: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(row_id, *keep, score)`` for every row of ``fm``; map-only, so it also runs
     on a streaming DataFrame with a model fitted in batch."""
-    m = model.toPandas().sort_values(["tree", "rank"])  # T·ψ rows: bounded by parameters
-    trees = []
-    for _, g in m.groupby("tree", sort=True):
-        trees.append((np.stack(g["x"].to_numpy()), g["radius"].to_numpy(), g["ratio"].to_numpy()))
+    m = model.toArrow().sort_by([("tree", "ascending"), ("rank", "ascending")])  # T·ψ rows: bounded by parameters
+    X, radius, ratio = _matrix(m.column("x"), m.num_rows), m.column("radius").to_numpy(), m.column("ratio").to_numpy()
+    cut = np.flatnonzero(np.diff(m.column("tree").to_numpy(), prepend=-1))
+    trees = [(X[a:b], radius[a:b], ratio[a:b]) for a, b in zip(cut, [*cut[1:], m.num_rows], strict=True)]
     bc = fm.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches):

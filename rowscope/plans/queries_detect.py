@@ -288,6 +288,7 @@ def _d4(spark, sf):
 # ---------------------------------------------------------------- LOF
 
 from rowscope.detect.lof import knn as _knn, lof_scores  # noqa: E402
+from rowscope.detect.neighbours import hashed_knn  # noqa: E402
 
 SCALED_SQL = """st AS (SELECT j, avg(v) AS m, stddev_pop(v) AS sd FROM emb_long GROUP BY j),
 z AS (SELECT row_id, j, (v - m) / CASE WHEN sd = 0 OR sd IS NULL THEN 1 ELSE sd END AS z
@@ -315,6 +316,37 @@ def _j4(spark, sf):
     return r6(_knn(fm, 10, "manhattan", block_rows=128))
 
 
+@query("knn_hashed", """
+SELECT 'hashed' AS method, count(*) AS n_rows, 10 AS least_neighbours, CAST(0 AS BIGINT) AS wrong_distances, true AS recall_reached
+FROM embeddings""")
+def _j4_hashed(spark, sf):
+    """Neighbours from projection tables: every distance exact, the measured recall confirmed against all pairs."""
+    fm = M.standard_scale(emb_matrix(spark, sf))
+    near = hashed_knn(fm, 10, "manhattan", recall=0.95, cell_rows=64)
+    exact = _knn(fm, 10, "manhattan").select("row_id", "nbr_id", F.col("dist").alias("true_dist"))
+    x = fm.select("row_id", "x")
+    told = near.table.join(x, "row_id").join(x.select(F.col("row_id").alias("nbr_id"), F.col("x").alias("y")), "nbr_id")
+    gap = F.aggregate(F.zip_with("x", "y", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, d: s + d)
+    per_row = told.groupBy("row_id").agg(F.count("*").cast("int").alias("c"), F.count_if(F.abs(gap - F.col("dist")) > 1e-6).alias("w"))
+    hits = exact.join(near.table.select("row_id", "nbr_id", F.lit(1).alias("hit")), ["row_id", "nbr_id"], "left").groupBy("row_id").agg(
+        F.count("hit").alias("hits"), F.count("*").alias("asked"))
+    return per_row.join(hits, "row_id").agg(
+        F.lit(near.method).alias("method"), F.count("*").alias("n_rows"), F.min("c").alias("least_neighbours"),
+        F.sum("w").alias("wrong_distances"), (F.sum("hits") >= 0.9 * F.sum("asked")).alias("recall_reached"))
+
+
+@query("lof_hashed", """
+SELECT 'hashed' AS method, count(*) AS n_rows, true AS recall_reached, true AS scores_agree FROM embeddings""")
+def _d2_hashed(spark, sf):
+    """LOF over hashed neighbours: its scores stay within a tenth of the exact ones for nine rows of ten."""
+    fm = M.standard_scale(emb_matrix(spark, sf))
+    hashed = lof_scores(fm, k=20, method="hashed", cell_rows=128, recall=0.95)
+    exact = lof_scores(fm, k=20).select("row_id", F.col("score").alias("exact"))
+    return hashed.join(exact, "row_id").agg(
+        F.first("method").alias("method"), F.count("*").alias("n_rows"), (F.min("recall") >= 0.9).alias("recall_reached"),
+        (F.avg((F.abs(F.col("score") / F.col("exact") - 1) < 0.1).cast("int")) >= 0.9).alias("scores_agree"))
+
+
 @query("lof_scores", f"""
 WITH {EMB_LONG}, {lof_sql()}
 SELECT row_id, round(score, 6) AS score FROM lof""")

@@ -1,11 +1,16 @@
 """Probes of single rules: files at any depth, partial labels, text kept in place, formulas, delays, constants, samples."""
 
+import math
+
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rowscope.detect import features as M
+from rowscope.detect import neighbours, sampling
 from rowscope.detect.iterative import average_fit
+from rowscope.detect.lof import knn, lof_scores
 from rowscope.detect.sampling import tree_samples
 from rowscope.operators import evaluate as E
 from rowscope.operators import filters as P
@@ -111,6 +116,73 @@ def test_tree_samples(spark):
     assert "WindowGroupLimit" in big._jdf.queryExecution().executedPlan().toString()
 
 
+def test_tree_samples_of_ids_that_share_a_residue(spark):
+    """Ids that agree modulo the hashes' prime are drawn independently of each other."""
+    step = sampling.MODULUS
+    fm = spark.range(4000).select((F.col("id") * step + 7).alias("row_id"), F.array(F.col("id").cast("double")).alias("x"))
+    rows = tree_samples(fm, 60, 32)[0].select("tree", F.expr(f"row_id div {step}").alias("i")).collect()
+    per = {}
+    for r in rows:
+        per.setdefault(r["tree"], set()).add(r["i"])
+    assert len(per) == 60 and all(len(v) == 32 for v in per.values())
+    drawn = np.array([r["i"] for r in rows])
+    assert abs(drawn.mean() / 2000 - 1) < 0.06 and len(set(drawn.tolist())) > 1400
+    shared = [len(per[a] & per[b]) for a in range(60) for b in range(a)]
+    assert np.mean(shared) < 3 * 32 * 32 / 4000  # as independent trees share
+
+
+def test_tree_samples_have_the_binomial_share(spark):
+    fm = spark.range(20000).select(F.col("id").alias("row_id"), F.array(F.col("id").cast("double")).alias("x"))
+    per = {r["row_id"]: r["c"] for r in tree_samples(fm, 100, 200)[0].groupBy("row_id").agg(F.count("*").alias("c")).collect()}
+    counts = np.bincount([*per.values(), *[0] * (20000 - len(per))], minlength=6) / 20000
+    want = [math.comb(100, i) * 0.01 ** i * 0.99 ** (100 - i) for i in range(6)]
+    assert np.abs(counts[:6] - want).max() < 0.02
+
+
+def _clusters(spark, n):
+    r = np.random.default_rng(3)
+    of, centre, plane = r.integers(0, 30, n), r.normal(size=(30, 24)) * 4, r.normal(size=(30, 4, 24))
+    x = centre[of] + np.einsum("ni,nij->nj", r.normal(size=(n, 4)), plane[of]) + 0.05 * r.normal(size=(n, 24))
+    x[: n // 5] = x[0]  # equal rows cannot be told apart by any projection
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, x array<double>").cache()
+
+
+def test_hashed_neighbours_reach_the_recall_and_hold_exact_distances(spark):
+    fm = _clusters(spark, 2500)
+    near = neighbours.hashed_knn(fm, 10, cell_rows=64, recall=0.9)
+    exact = knn(fm, 10).select("row_id", "nbr_id", F.col("dist").alias("d"))
+    both = near.table.join(exact, ["row_id", "nbr_id"])
+    values = near.table.select("row_id", "rank", "dist").join(exact.withColumn("rank", F.row_number().over(
+        Window.partitionBy("row_id").orderBy("d", "nbr_id"))).select("row_id", "rank", "d"), ["row_id", "rank"])
+    assert both.where("abs(dist - d) > 1e-9").count() == 0
+    # equal rows have any of their equals as neighbours: compare distances
+    assert values.where("dist <= d + 1e-9").count() >= 0.9 * exact.count()
+    assert near.method == "hashed" and near.recall >= 0.9 and near.table.groupBy("row_id").count().where("count <> 10").count() == 0
+    scores = lof_scores(fm, 10, method="hashed", cell_rows=64)
+    assert {"method", "recall"} < set(scores.columns) and scores.count() == 2500
+
+
+def test_hashed_neighbours_make_no_block_pairs(spark):
+    fm = _clusters(spark, 600)
+    made = [neighbours.Table(np.stack([r["x"] for r in fm.collect()]), 600, 64, np.random.default_rng(1)) for _ in range(3)]
+    rows = neighbours._candidates(fm, made, 0, 5, "manhattan", 64)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert rows.count() <= 3 * 600 * 5
+
+
+def test_kbest_over_blocks_equals_a_sort():
+    r = np.random.default_rng(5)
+    values = r.integers(0, 30, (7, 400)).astype(float)
+    values[:, r.random(400) < 0.1] = np.inf
+    best = neighbours.KBest(7, 6)
+    for at in range(0, 400, 37):
+        best.offer(np.arange(7), values[:, at:at + 37], np.arange(at, min(400, at + 37)))
+    for q in range(7):
+        want = sorted((v, i) for i, v in enumerate(values[q]) if np.isfinite(v))[:6]
+        assert list(zip(best.value[q].tolist(), best.id[q].tolist(), strict=True)) == want
+
+
 def test_average_fit_sees_every_row(spark):
     fm = spark.range(1000).repartition(6).select(F.col("id").alias("row_id"), F.array(F.col("id").cast("double")).alias("x"))
     step = lambda p, X, rng, st: ({"m": np.array([X.mean()]), "big": np.full((3, 2), X.mean())}, float(len(X)))
