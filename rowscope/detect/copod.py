@@ -24,7 +24,7 @@ def copod_value_table(fm: DataFrame) -> DataFrame:
     """``(j, v, o)``: the contribution of value v of feature j."""
     lg = to_long(fm).where(F.col("v").isNotNull())
     counts = lg.groupBy("j", "v").agg(F.count(F.lit(1)).alias("c"))
-    cum = prefix_sums(counts, "v", ["c"], ["j"], bounded_groups=True)
+    cum = prefix_sums(counts, "v", ["c"], ["j"])
     per_j = lg.groupBy("j").agg(F.count(F.lit(1)).alias("n"), F.skewness("v").alias("sk"))
     t = cum.join(F.broadcast(per_j), "j")
     n = F.col("n").cast("double")

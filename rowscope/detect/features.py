@@ -70,7 +70,7 @@ def _per_feature(fm: DataFrame, stat: str) -> list[float]:
     """Per-feature statistic as a driver list (one number per feature)."""
     lg = to_long(fm).where(F.col("v").isNotNull() & ~F.isnan("v"))
     if stat == "median":
-        tab = percentiles(lg, F.col("v"), [0.5], ["j"], names=["s"], bounded_groups=True)
+        tab = percentiles(lg, F.col("v"), [0.5], ["j"], names=["s"])
     else:
         raise ValueError(stat)
     rows = {r["j"]: r["s"] for r in tab.collect()}
@@ -87,8 +87,7 @@ def feature_stats(fm: DataFrame, robust: bool = False) -> dict[str, list[float]]
     lg = to_long(fm)
     d = dims(fm)
     if robust:
-        tab = percentiles(lg, F.col("v"), [0.25, 0.5, 0.75], ["j"], names=["q1", "c", "q3"],
-                          bounded_groups=True).select("j", "c", (F.col("q3") - F.col("q1")).alias("s"))
+        tab = percentiles(lg, F.col("v"), [0.25, 0.5, 0.75], ["j"], names=["q1", "c", "q3"]).select("j", "c", (F.col("q3") - F.col("q1")).alias("s"))
     else:
         var, mean, n = F.var_pop("v"), F.avg("v"), F.count("v")
         noise = n * EPS * var + F.pow(n * EPS * mean, F.lit(2.0))

@@ -5,7 +5,7 @@ Spark's partial/final hash aggregates. Order statistics are the part that does
 not scale when written naively: Spark's exact ``percentile``/``median`` and
 ``mode`` keep every distinct value of a group in one task's buffer. Here they
 are computed from per-(group, value) counts (a partial aggregate that shrinks
-before the shuffle) and a bucketed running count (``prefix_sums``), so one hot
+before the shuffle) and a range-partitioned running count (``prefix_sums``), so one hot
 group is spread over many tasks.
 """
 
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from rowscope.functions.scalars import as_num, as_time, col, time_diff
 from rowscope.plans.ordering import prefix_sums
-from rowscope.session import reliable_checkpoint
 
 # Aggregation names accepted by group_by_aggregate (pandas names
 # plus the avg/variance/percentile spellings).
@@ -74,7 +73,7 @@ def _algebraic(name: str, c: Column, order_by: Column | None) -> Column:
 
 def percentiles(df: DataFrame, column: str | Column, qs: Sequence[float],
                 group: Sequence[str] = (), names: Sequence[str] | None = None,
-                buckets: int | None = None, bounded_groups: bool = False) -> DataFrame:
+                partitions: int | None = None) -> DataFrame:
     """Exact percentiles with linear interpolation (numpy/pandas default, DuckDB
     ``quantile_cont``), distributed: value counts → running count → the one or two
     values around rank ``(n-1)q`` per group.
@@ -88,20 +87,10 @@ def percentiles(df: DataFrame, column: str | Column, qs: Sequence[float],
     for g in group:
         v = v.where(F.col(g).isNotNull())
     counts = v.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    if bounded_groups or not group:
-        counts = reliable_checkpoint(counts)  # read by the totals and the running counts
-    cum = prefix_sums(counts, "_v", ["_c"], group, buckets=buckets, bounded_groups=bounded_groups,
-                      checkpoint=False)
     # the one or two distinct values around rank (n-1)q: the value whose running
     # count interval [cum - c, cum - 1] holds the rank
-    if group:
-        tot = counts.groupBy(*group).agg(F.sum("_c").alias("_n"))
-        j = cum.join(tot, group)  # one row per group on the right
-        n = F.col("_n")
-    else:
-        n_val = counts.agg(F.sum("_c")).first()[0] or 0
-        j = cum
-        n = F.lit(int(n_val))
+    j = prefix_sums(counts, "_v", ["_c"], group, partitions=partitions, total_prefix="_n")
+    n = F.col("_n_c")
     lo_edge = F.col("cum__c") - F.col("_c")
     hi_edge = F.col("cum__c") - 1
     aggs = []

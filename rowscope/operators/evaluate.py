@@ -11,97 +11,70 @@ evaluated in one pass: every aggregate is grouped by ``algo``.
 * E5-E7: curve points from the same cumulative table.
 
 The cumulative table is per (algo, distinct score): counts shrink map-side and
-the running sums use the bucketed prefix sum, so no algorithm's scores are ever
+the running sums use the range-partitioned prefix sum, so no algorithm's scores are ever
 ordered inside one task.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowscope.operators.aggregate import percentiles
 from rowscope.plans.ordering import prefix_sums
+from rowscope.session import reliable_checkpoint
 
 
 def _dbl(c):
     return F.col(c).cast("double")
 
 
-def _algo_map(df: DataFrame, algo: str, value: str) -> Column:
-    """Per-algorithm scalar as a literal map (one entry per detector: bounded)."""
-    rows = df.select(algo, value).collect()
-    if not rows:
-        return F.lit(None).cast("double")
-    return F.create_map(*[x for r in rows for x in (F.lit(r[0]), F.lit(r[1]))])
-
-
 def cumulative(scores: DataFrame, algo: str = "algo", score: str = "score", y: str | None = "y") -> DataFrame:
-    """Per (algo, distinct score), descending: c, cc (rows scoring at least s) and,
-    with labels, pos, neg and running tp, fp. Checkpointed (it is read several times)."""
+    """Per (algo, distinct score), descending: c, cc (rows scoring at least s), n (all rows of the algorithm)
+    and, with labels, pos, neg, running tp, fp and their totals p, nn. Checkpointed (it is read several times)."""
     base = scores.where(F.col(score).isNotNull())
     aggs = [F.count(F.lit(1)).alias("c")]
-    sums = ["c"]
+    names = {"cum_c": "cc", "sum_c": "n"}
     if y is not None:
         aggs = [F.coalesce(F.sum(F.col(y)), F.lit(0)).cast("long").alias("pos"),
                 F.coalesce(F.sum(1 - F.col(y)), F.lit(0)).cast("long").alias("neg")] + aggs
-        sums = ["pos", "neg", "c"]
+        names = {"cum_pos": "tp", "cum_neg": "fp", "sum_pos": "p", "sum_neg": "nn"} | names
     ds = base.groupBy(algo, score).agg(*aggs)
-    cum = prefix_sums(ds, score, sums, [algo], descending=True, bounded_groups=True)
-    cum = cum.withColumnRenamed("cum_c", "cc")
-    if y is not None:
-        cum = cum.withColumnRenamed("cum_pos", "tp").withColumnRenamed("cum_neg", "fp")
-    return cum
-
-
-def _quantile_map(cum: DataFrame, q: float, algo: str = "algo", score: str = "score") -> dict:
-    """Exact linear-interpolation quantile per algorithm from the cumulative table:
-    a distinct score covers ascending ranks [N − cc, N − cc + c − 1]."""
-    n = {r[0]: r[1] for r in cum.groupBy(algo).agg(F.sum("c")).collect()}
-    if not n:
-        return {}
-    nmap = F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(int(v)))])
-    N = F.element_at(nmap, F.col(algo))
-    pos = (N - 1) * F.lit(float(q))
+    sums = ["c"] if y is None else ["pos", "neg", "c"]
+    cum = prefix_sums(ds, score, sums, [algo], descending=True, total_prefix="sum_")
+    return reliable_checkpoint(cum.withColumnsRenamed(names))
+
+
+def _quantiles(cum: DataFrame, q: float, algo: str = "algo", score: str = "score") -> DataFrame:
+    """(algo, threshold): exact linear-interpolation quantile per algorithm from the cumulative table;
+    a distinct score covers ascending ranks [n − cc, n − cc + c − 1]."""
+    pos = (F.col("n") - 1) * F.lit(float(q))
     lo, hi = F.floor(pos), F.ceil(pos)
-    first = N - F.col("cc")
+    first = F.col("n") - F.col("cc")
     last = first + F.col("c") - 1
-    rows = cum.groupBy(algo).agg(
-        F.max(F.when((first <= lo) & (last >= lo), F.col(score))).alias("vlo"),
-        F.max(F.when((first <= hi) & (last >= hi), F.col(score))).alias("vhi"),
-        F.max(pos).alias("pos")).collect()
-    out = {}
-    for r in rows:
-        if r["vlo"] is None:
-            out[r[algo]] = None
-            continue
-        frac = r["pos"] - math.floor(r["pos"])
-        out[r[algo]] = float(r["vlo"]) + (float(r["vhi"]) - float(r["vlo"])) * frac
-    return out
-
-
-def _map_col(values: dict, key: str) -> Column:
-    if not values:
-        return F.lit(None).cast("double")
-    m = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v).cast("double"))])
-    return F.element_at(m, F.col(key))
+    at = cum.groupBy(algo).agg(
+        F.max(F.when((first <= lo) & (last >= lo), F.col(score))).cast("double").alias("_lo"),
+        F.max(F.when((first <= hi) & (last >= hi), F.col(score))).cast("double").alias("_hi"),
+        F.max(pos - F.floor(pos)).alias("_part"))
+    return at.select(algo, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).alias("threshold"))
+
+
+def _with_threshold(rows: DataFrame, thr: DataFrame, algo: str) -> DataFrame:
+    """Rows with their algorithm's threshold, in the rows' own column order."""
+    return rows.join(thr, algo, "left").select(*rows.columns, "threshold")
 
 
 def thresholds(scores: DataFrame, q: float = 0.98, algo: str = "algo", score: str = "score") -> DataFrame:
     """Per-algorithm quantile threshold (one row per detector)."""
-    cum = cumulative(scores, algo, score, None)
-    thr = _map_col(_quantile_map(cum, q, algo, score), algo)
-    return cum.groupBy(algo).agg(F.max(thr).alias("threshold"))
+    return _quantiles(cumulative(scores, algo, score, None), q, algo, score)
 
 
 def flags(scores: DataFrame, q: float = 0.98, algo: str = "algo", score: str = "score") -> DataFrame:
-    """Rows with ``pred = score >= threshold``; thresholds applied as a literal map."""
-    thr = _map_col(_quantile_map(cumulative(scores, algo, score, None), q, algo, score), algo)
-    return scores.withColumn("threshold", thr).withColumn(
-        "pred", (F.col(score) >= F.col("threshold")).cast("int"))
+    """Rows with ``pred = score >= threshold``."""
+    told = _with_threshold(scores, thresholds(scores, q, algo, score), algo)
+    return told.withColumn("pred", (F.col(score) >= F.col("threshold")).cast("int"))
 
 
 def metrics(scores: DataFrame, top_q: float = 0.02, algo: str = "algo", score: str = "score",
@@ -115,9 +88,8 @@ def metrics(scores: DataFrame, top_q: float = 0.02, algo: str = "algo", score: s
     (pos + neg + 1)/2). Rows without a label count for the threshold only.
     """
     cum = cumulative(scores, algo, score, y)
-    thr = _map_col(_quantile_map(cum, round(1 - top_q, 12), algo, score), algo)
-    hit = F.col(score) >= thr
-    m = cum.groupBy(algo).agg(
+    hit = F.col(score) >= F.col("threshold")
+    m = _with_threshold(cum, _quantiles(cum, round(1 - top_q, 12), algo, score), algo).groupBy(algo).agg(
         F.sum(F.when(hit, F.col("pos")).otherwise(0)).cast("double").alias("tp_t"),
         F.sum(F.when(hit, F.col("neg")).otherwise(0)).cast("double").alias("fp_t"),
         F.sum("pos").cast("double").alias("p"),
@@ -149,8 +121,8 @@ def pr_curve(scores: DataFrame, algo: str = "algo", score: str = "score", y: str
     """E5: ``(algo, threshold, precision, recall)`` per distinct score down to the first
     point of full recall, plus the closing point (precision 1, recall 0)."""
     cum = cumulative(scores, algo, score, y)
-    p = cum.groupBy(algo).agg(F.sum("pos").alias("p")).where(F.col("p") > 0)
-    pts = (cum.withColumn("p", F.element_at(_algo_map(p, algo, "p"), F.col(algo))).where(F.col("p").isNotNull())
+    p = cum.groupBy(algo).agg(F.max("p").alias("p")).where(F.col("p") > 0)
+    pts = (cum.where(F.col("p") > 0)
            .where((F.col("tp") - F.col("pos") < F.col("p")) & (F.col("pos") + F.col("neg") > 0))
            .select(algo, F.col(score).cast("double").alias("threshold"),
                    (_dbl("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
@@ -173,11 +145,8 @@ def roc_curve(scores: DataFrame, algo: str = "algo", score: str = "score",
     """ROC points ``(algo, threshold, fpr, tpr)`` with the (0, 0) start, and the
     trapezoid AUC per algorithm (each step's area needs only its own counts)."""
     cum = cumulative(scores, algo, score, y)
-    pn = (cum.groupBy(algo).agg(F.sum("pos").alias("p"), F.sum("neg").alias("nn"))
-          .where((F.col("p") > 0) & (F.col("nn") > 0)))
-    c = (cum.withColumn("p", F.element_at(_algo_map(pn, algo, "p"), F.col(algo)))
-           .withColumn("nn", F.element_at(_algo_map(pn, algo, "nn"), F.col(algo)))
-           .where(F.col("p").isNotNull()))
+    c = cum.where((F.col("p") > 0) & (F.col("nn") > 0))
+    pn = c.select(algo).distinct()
     pts = c.select(algo, F.col(score).cast("double").alias("threshold"),
                    (_dbl("fp") / F.col("nn")).alias("fpr"), (_dbl("tp") / F.col("p")).alias("tpr"))
     start = pn.select(algo, F.lit(None).cast("double").alias("threshold"),
@@ -191,13 +160,13 @@ def pseudo_labels(scores: DataFrame, top_q: float = 0.02, key: str = "row_id",
                   algo: str = "algo", score: str = "score") -> DataFrame:
     """Per-algorithm top ``top_q`` flags; ``ensemble = votes >= (k+1) div 2``.
 
-    Returns ``(row_id, votes, ensemble)``; k = number of algorithms (the size of
-    the per-algorithm threshold map).
+    Returns ``(row_id, votes, ensemble)``; k = number of algorithms (the rows of
+    the threshold table).
     """
-    tmap = _quantile_map(cumulative(scores, algo, score, None), round(1 - top_q, 12), algo, score)
-    k = len(tmap)
-    pred = (F.col(score) >= _map_col(tmap, algo)).cast("int")
-    return (scores.withColumn("pred", pred).groupBy(key).agg(F.sum("pred").alias("votes"))
+    thr = thresholds(scores, round(1 - top_q, 12), algo, score)
+    k = thr.count()
+    pred = (F.col(score) >= F.col("threshold")).cast("int")
+    return (_with_threshold(scores, thr, algo).withColumn("pred", pred).groupBy(key).agg(F.sum("pred").alias("votes"))
             .withColumn("ensemble", (F.col("votes") >= (k + 1) // 2).cast("int")))
 
 

@@ -4,11 +4,12 @@ Two shared building blocks (used by sequence, interval, evaluation and COPOD cod
 
 * ``prefix_sums`` — running totals per group over a key that is unique within
   the group (callers pre-aggregate per distinct key first, so a hot key value is
-  one row). Rows are cut into buckets by approximate quantiles of the key; the
-  bucket id is a pure function of the key, so re-execution is deterministic.
-  Running sums are taken inside ``(group, bucket)`` window partitions; bucket
-  totals form a table of groups x buckets rows whose own running sum is the
-  offset of each bucket.
+  one row). Rows are range-partitioned by (group, key), which cuts a large group
+  into as many pieces as its size asks and leaves small ones whole; running sums
+  are taken inside the pieces. The pieces' totals are a table of one row per
+  (group, piece), at most groups + partitions rows; its own running sum per group
+  is the offset of each piece, joined back on (group, piece). One path for every
+  number of rows, groups and pieces.
 
 * ``row_index`` — dense 0-based position of every row in a total order.
   ``repartitionByRange`` splits ties of the leading key by the following keys, so
@@ -28,134 +29,38 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rowscope.session import reliable_checkpoint, shuffle_partitions
 
-def default_buckets(df: DataFrame) -> int:
-    return max(8, min(1024, 2 * shuffle_partitions(df.sparkSession)))
-
-
-ROWS_PER_BUCKET = 1 << 18
-_SEP = "\u0001"
-
-
-def _lit_of(v, dtype):
-    """A literal of ``dtype`` (timestamps go through their text form, which is exact)."""
-    if v is None:
-        return F.lit(None).cast(dtype)
-    if isinstance(dtype, (T.TimestampNTZType, T.TimestampType, T.DateType)):
-        return F.lit(str(v)).cast(dtype)
-    return F.lit(v).cast(dtype)
-
-
-def _key_str(cols: Sequence[str]) -> Column:
-    return F.concat_ws(_SEP, *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols])
-
-
-def _key_of(row, cols) -> str:
-    return _SEP.join("\u0000" if row[c] is None else _py_str(row[c]) for c in cols)
-
-
-def _py_str(v) -> str:
-    # must equal Spark's cast-to-string for the group key types used here
-    if isinstance(v, bool):
-        return "true" if v else "false"
-    return str(v)
-
-
 def prefix_sums(df: DataFrame, key: str, sums: Sequence[str], group: Sequence[str] = (),
-                descending: bool = False, buckets: int | None = None,
-                bounded_groups: bool = False, prefix: str = "cum_",
-                rows_per_bucket: int = ROWS_PER_BUCKET, checkpoint: bool = True) -> DataFrame:
-    """Add ``{prefix}{c}``: inclusive running sum of ``c`` in key order per group.
-
-    ``key`` must be unique within each group. Only groups with more than
-    ``rows_per_bucket`` keys are cut into buckets (hot groups); every other group
-    is one window partition. An explicit ``buckets`` cuts every group.
-
-    ``bounded_groups=True`` (or no group) states that the number of groups is a
-    small parameter (algorithms, features): then the per-group cut points and
-    the per-(group, bucket) offsets — groups × buckets numbers — are collected
-    and applied as literal maps, with no join. Otherwise they are joined back on
-    the group keys and AQE picks the join from their measured size.
+                descending: bool = False, partitions: int | None = None, prefix: str = "cum_",
+                total_prefix: str | None = None) -> DataFrame:
+    """Add ``{prefix}{c}``: inclusive running sum of ``c`` in key order per group and, with
+    ``total_prefix``, ``{total_prefix}{c}``: the group's sum.
+
+    ``key`` must be unique within each group. Eager: the range-partitioned rows are
+    checkpointed, so that pieces, totals and rows come from one set of range boundaries.
     """
     group = list(group)
-    bounded = bounded_groups or not group
-    if bounded and checkpoint:
-        # the bounded path reads its input three times (cut points, bucket totals,
-        # result): cut the (pre-aggregated) input's lineage once instead of
-        # recomputing everything upstream
-        df = reliable_checkpoint(df)
-    b = buckets or default_buckets(df)
-    probs = [i / b for i in range(1, b)]
-    k = F.col(key)
-    ktype = df.schema[key].dataType
-    order = k.desc() if descending else k.asc()
-
-    def bucket_of(cuts: Column) -> Column:
-        if descending:
-            return F.size(F.filter(cuts, lambda c: c >= k))
-        return F.size(F.filter(cuts, lambda c: c < k))
-
-    # cut points only balance the buckets: an approximate sketch (rank error about
-    # 1/(20·b)) is enough and keeps each group's sketch small
-    stats = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rs_n"),
-                                   F.percentile_approx(k, probs, max(200, 20 * b)).alias("_rs_cuts"))
-    if bounded:
-        got = stats.collect()  # one row per group: bounded by the caller's promise
-        cut_lits = {}
-        for r in got:
-            if b > 1 and (buckets is not None or r["_rs_n"] > rows_per_bucket):
-                cut_lits[_key_of(r, group)] = F.array(*[_lit_of(v, ktype) for v in r["_rs_cuts"]])
-        if cut_lits and group:
-            m = F.create_map(*[x for kk, arr in cut_lits.items() for x in (F.lit(kk), arr)])
-            cuts = F.element_at(m, _key_str(group))
-            rows = df.withColumn("_rs_b", F.coalesce(bucket_of(cuts), F.lit(0)))
-        elif cut_lits:
-            rows = df.withColumn("_rs_b", bucket_of(next(iter(cut_lits.values()))))
-        else:
-            rows = df.withColumn("_rs_b", F.lit(0))
-    else:
-        rows = df.join(stats, group, "left")
-        split = F.lit(b > 1) if buckets is not None else ((F.col("_rs_n") > rows_per_bucket) & F.lit(b > 1))
-        rows = rows.withColumn("_rs_b", F.when(split, bucket_of(F.col("_rs_cuts"))).otherwise(F.lit(0))) \
-                   .drop("_rs_cuts", "_rs_n")
-    w_local = (Window.partitionBy(*group, "_rs_b").orderBy(order)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    for c in sums:
-        rows = rows.withColumn(f"_rs_l_{c}", F.sum(c).over(w_local))
-    tot = rows.groupBy(*group, "_rs_b").agg(*[F.sum(c).alias(f"_rs_t_{c}") for c in sums])
-    if bounded:
-        # groups × buckets totals → running offsets on the driver → literal map
-        acc: dict[str, list] = {}
-        offs: dict[str, list] = {}
-        for r in sorted(tot.collect(), key=lambda r: (_key_of(r, group), r["_rs_b"])):
-            g = _key_of(r, group)
-            run = acc.setdefault(g, [0] * len(sums))
-            offs[f"{g}{_SEP}{r['_rs_b']}"] = list(run)
-            for i, c in enumerate(sums):
-                run[i] += r[f"_rs_t_{c}"] or 0
-        kcol = F.concat_ws(_SEP, _key_str(group), F.col("_rs_b").cast("string")) if group \
-            else F.concat_ws(_SEP, F.lit(""), F.col("_rs_b").cast("string"))
-        out = rows
-        for i, c in enumerate(sums):
-            if offs:
-                m = F.create_map(*[x for kk, v in offs.items() for x in (F.lit(kk), F.lit(v[i]))])
-                off = F.coalesce(F.element_at(m, kcol), F.lit(0))
-            else:
-                off = F.lit(0)
-            out = out.withColumn(f"{prefix}{c}", off + F.col(f"_rs_l_{c}"))
-    else:
-        w_off = (Window.partitionBy(*group).orderBy("_rs_b")
-                 .rowsBetween(Window.unboundedPreceding, -1))
-        offs_df = tot.select(*group, "_rs_b", *[
-            F.coalesce(F.sum(f"_rs_t_{c}").over(w_off), F.lit(0)).alias(f"_rs_o_{c}") for c in sums])
-        out = rows.join(offs_df, [*group, "_rs_b"], "left")
-        for c in sums:
-            out = out.withColumn(f"{prefix}{c}", F.col(f"_rs_o_{c}") + F.col(f"_rs_l_{c}"))
-        out = out.drop(*[f"_rs_o_{c}" for c in sums])
-    return out.drop("_rs_b", *[f"_rs_l_{c}" for c in sums])
+    order = F.col(key).desc() if descending else F.col(key).asc()
+    ranged = reliable_checkpoint(
+        df.repartitionByRange(partitions or shuffle_partitions(df.sparkSession), *[F.col(g) for g in group], order)
+        .withColumn("_rs_p", F.spark_partition_id()))
+    local = Window.partitionBy(*group, "_rs_p").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = ranged.select("*", *[F.sum(c).over(local).alias(f"_rs_l_{c}") for c in sums])
+    pieces = ranged.groupBy(*group, "_rs_p").agg(*[F.sum(c).alias(f"_rs_t_{c}") for c in sums])
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("_rs_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces.select(
+        *[F.col(g).alias(f"_rs_g{i}") for i, g in enumerate(group)], F.col("_rs_p").alias("_rs_q"),
+        *[F.coalesce(F.sum(f"_rs_t_{c}").over(before), F.lit(0)).alias(f"_rs_o_{c}") for c in sums],
+        *[F.sum(f"_rs_t_{c}").over(whole).alias(f"_rs_s_{c}") for c in sums if total_prefix])
+    same = F.col("_rs_p") == F.col("_rs_q")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_rs_g{i}"))
+    return rows.join(offsets, same).select(
+        *df.columns, *[(F.col(f"_rs_o_{c}") + F.col(f"_rs_l_{c}")).alias(f"{prefix}{c}") for c in sums],
+        *[F.col(f"_rs_s_{c}").alias(f"{total_prefix}{c}") for c in sums if total_prefix])
 
 
 def row_index(df: DataFrame, order: Sequence[str | Column], name: str = "row_idx",

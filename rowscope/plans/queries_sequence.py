@@ -9,7 +9,7 @@ from rowscope.operators import intervals as I
 from rowscope.operators import sequence as W
 from rowscope.operators import setops as U
 from rowscope.plans.catalog import query, r6, t
-from rowscope.plans.ordering import row_index
+from rowscope.plans.ordering import prefix_sums, row_index
 
 
 @query("rolling_average", """
@@ -158,3 +158,14 @@ def _z7(spark, sf):
     ev = t(spark, sf, "events")
     out = W.rolling_average(ev, None, "value", order_by=["ts", "event_id"], window=5, block_rows=1000)
     return r6(out.select("event_id", "value_rollavg_5"))
+
+
+@query("running_sum_cut_groups", """
+SELECT o_orderpriority, o_orderkey, cents,
+       CAST(sum(cents) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS BIGINT) AS cum_cents,
+       CAST(sum(cents) OVER (PARTITION BY o_orderpriority) AS BIGINT) AS all_cents
+FROM (SELECT o_orderpriority, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)""")
+def _running(spark, sf):
+    """Running sums whose groups are cut into several range pieces each."""
+    o = t(spark, sf, "orders").select("o_orderpriority", "o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    return prefix_sums(o, "o_orderkey", ["cents"], ["o_orderpriority"], partitions=37, total_prefix="all_")

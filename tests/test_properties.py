@@ -25,10 +25,10 @@ def test_prefix_sums_partition_invariant(spark, parts):
                         "v": rng.integers(0, 10, 300)})
     pdf.loc[pdf.g == 0, "g"] = 0  # one group is hot by construction
     df = spark.createDataFrame(pdf).repartition(parts)
-    got = prefix_sums(df, "k", ["v"], ["g"], buckets=5).toPandas().sort_values(["g", "k"])
+    got = prefix_sums(df, "k", ["v"], ["g"], partitions=5).toPandas().sort_values(["g", "k"])
     exp = pdf.sort_values(["g", "k"]).groupby("g")["v"].cumsum()
     assert got["cum_v"].tolist() == exp.tolist()
-    desc = prefix_sums(df, "k", ["v"], ["g"], descending=True, buckets=4).toPandas().sort_values(["g", "k"])
+    desc = prefix_sums(df, "k", ["v"], ["g"], descending=True, partitions=4).toPandas().sort_values(["g", "k"])
     exp_d = pdf.sort_values(["g", "k"], ascending=[True, False]).groupby("g")["v"].cumsum()
     assert desc.sort_values(["g", "k"], ascending=[True, False])["cum_v"].tolist() == exp_d.tolist()
 
@@ -50,7 +50,7 @@ def test_percentiles_exact_with_hot_group(spark):
     pdf = pd.DataFrame({"g": g, "v": rng.integers(0, 40, 500).astype(float)})
     df = spark.createDataFrame(pdf).repartition(3)
     got = A.percentiles(df, "v", [0.0, 0.37, 0.5, 0.9, 1.0], ["g"], names=["a", "b", "c", "d", "e"],
-                        buckets=6).toPandas().set_index("g").sort_index()
+                        partitions=6).toPandas().set_index("g").sort_index()
     for grp, sub in pdf.groupby("g"):
         exp = np.quantile(sub["v"], [0.0, 0.37, 0.5, 0.9, 1.0])
         assert np.allclose(got.loc[grp, ["a", "b", "c", "d", "e"]].to_numpy(float), exp)
@@ -141,21 +141,23 @@ def test_fuzzy_prefix_blocking_is_exact(spark, threshold):
 
 
 @pytest.mark.parametrize("grouped", [True, False])
-def test_prefix_sums_literal_path_with_cuts(spark, grouped):
-    """Bounded groups (or none) with forced cut points: cut points and offsets as literal maps."""
+def test_prefix_sums_cut_groups(spark, grouped):
+    """Groups cut into several pieces, null group included; totals of the groups; no literal maps in the plan."""
     rng = np.random.default_rng(12)
-    pdf = pd.DataFrame({"g": rng.choice(["a", "b", "c"], 400), "k": rng.permutation(400).astype(float),
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b", "c", "-"], 400), "k": rng.permutation(400).astype(float),
                         "v": rng.integers(0, 10, 400)})
     df = spark.createDataFrame(pdf).repartition(3)
     group = ["g"] if grouped else []
-    got = prefix_sums(df, "k", ["v"], group, buckets=6, bounded_groups=True).toPandas()
-    got = got.sort_values(group + ["k"])
     base = pdf.sort_values(group + ["k"])
     exp = base.groupby("g")["v"].cumsum() if grouped else base["v"].cumsum()
-    assert got["cum_v"].tolist() == exp.tolist()
-    # hot-group rule: only groups above rows_per_bucket are cut; results are the same
-    small = prefix_sums(df, "k", ["v"], group, bounded_groups=True, rows_per_bucket=50).toPandas()
-    assert small.sort_values(group + ["k"])["cum_v"].tolist() == exp.tolist()
+    total = base.groupby("g")["v"].transform("sum") if grouped else pd.Series([base["v"].sum()] * 400)
+    nulls = df.withColumn("g", F.when(F.col("g") != "-", F.col("g")))
+    for partitions in (1, 6, 50):
+        out = prefix_sums(nulls, "k", ["v"], group, partitions=partitions, total_prefix="all_")
+        got = out.fillna("-", ["g"]).toPandas().sort_values(group + ["k"])
+        assert got["cum_v"].tolist() == exp.tolist() and got["all_v"].tolist() == total.tolist()
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "map(" not in plan
 
 
 def test_prefix_sums_timestamp_key_cuts(spark):
@@ -163,7 +165,7 @@ def test_prefix_sums_timestamp_key_cuts(spark):
     ts = pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.permutation(300), unit="s")
     pdf = pd.DataFrame({"t": ts.astype("datetime64[us]"), "v": rng.integers(0, 5, 300)})
     df = spark.createDataFrame(pdf).select(F.col("t").cast("timestamp_ntz").alias("t"), "v")
-    got = prefix_sums(df, "t", ["v"], buckets=7).toPandas().sort_values("t")
+    got = prefix_sums(df, "t", ["v"], partitions=7).toPandas().sort_values("t")
     assert got["cum_v"].tolist() == pdf.sort_values("t")["v"].cumsum().tolist()
 
 
