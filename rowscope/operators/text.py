@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowscope.detect.features import spread
+from rowscope.detect.neighbours import KBest
 from rowscope.functions.scalars import col
 
 # ---------------------------------------------------------------- R1
@@ -69,12 +71,18 @@ def retrieve_topk(corpus: DataFrame, queries: DataFrame, k: int = 8, block_rows:
         bc = corpus.sparkSession.sparkContext.broadcast(
             (np.stack(qp["x"].to_numpy()).astype(float), qp["row_id"].to_numpy()))
 
-        def run(batches):
+        def run(batches):  # one running list of k a query and task: at most k x queries x tasks rows leave it
             Q, qid = bc.value
+            Q, best, every = _normalise(Q), KBest(len(qid), k), np.arange(len(qid))
             for pdf in batches:
                 if pdf.empty:
                     continue
-                yield local_topk(Q, qid, np.stack(pdf["x"].to_numpy()).astype(float), pdf["row_id"].to_numpy())
+                X, ids = _normalise(np.stack(pdf["x"].to_numpy()).astype(float)), pdf["row_id"].to_numpy()
+                for at in range(0, len(ids), 256):
+                    best.offer(every, -(Q @ X[at:at + 256].T), ids[at:at + 256])
+            found = best.rows(qid, ("query_id", "doc_id", "sim"))
+            found["sim"] = -found["sim"]
+            yield found
 
         cand = spread(corpus.select("row_id", "x")).mapInPandas(run, schema)
     else:
@@ -190,29 +198,29 @@ EIF_CALL = r"\beif\s*\(([^()]*)\)"
 NAMED_VALUE = r"([a-z_]+)\s*=\s*([^\s,;=]+)"
 
 
-def _has(text, word: str, substring: bool):
-    if substring:
-        return F.instr(text, word) > 0
-    return text.rlike(f"(^|[^a-z0-9_]){word}([^a-z0-9_]|$)")
+def _path(text):
+    """The first CSV path of the text; the pattern runs only where the ending occurs."""
+    return F.when(F.instr(F.lower(text), ".csv") == 0, "").otherwise(F.regexp_extract(text, CSV_PATH, 1))
 
 
 def keyword_tags(df: DataFrame, text_col: str, substring: bool = False) -> DataFrame:
     """Adds ``need_qt``, ``need_anomaly``, ``algorithms`` (array) and ``csv_path``.
     Word-bounded matching by default; ``substring=True`` is the reference rule."""
     t = F.lower(col(text_col))
+    words = "_words"
+    while words in df.columns:
+        words = "_" + words
     if substring:
-        qt = F.lit(False)
-        for w in QT_WORDS:
-            qt = qt | _has(t, w, True)
-        an = F.lit(False)
-        for w in ANOMALY_WORDS:
-            an = an | _has(t, w, True)
-    else:  # one regex pass per flag: the alternation of its words
-        qt = _has(t, "(" + "|".join(QT_WORDS) + ")", False)
-        an = _has(t, "(" + "|".join(ANOMALY_WORDS) + ")", False)
-    algos = F.array_compact(F.array(*[F.when(_has(t, a.lower(), substring), F.lit(a)) for a in DETECTORS]))
-    return df.withColumns({"need_qt": qt, "need_anomaly": an, "algorithms": algos,
-                           "csv_path": F.regexp_extract(col(text_col), CSV_PATH, 1)})
+        def has(word):
+            return F.instr(t, word) > 0
+    else:  # the text is cut into words once, and every flag looks its words up there
+        def has(word):
+            return F.array_contains(words, word)
+
+        df = df.withColumn(words, F.split(t, "[^a-z0-9_]+"))
+    qt, an = (reduce(lambda x, y: x | y, [has(w) for w in listed]) for listed in (QT_WORDS, ANOMALY_WORDS))
+    algos = F.array_compact(F.array(*[F.when(has(a.lower()), F.lit(a)) for a in DETECTORS]))
+    return df.withColumns({"need_qt": qt, "need_anomaly": an, "algorithms": algos, "csv_path": _path(col(text_col))}).drop(words)
 
 
 def extract_params(df: DataFrame, text_col: str) -> DataFrame:
@@ -227,7 +235,7 @@ def extract_params(df: DataFrame, text_col: str) -> DataFrame:
 
     value = {key: last(names) for key, names in EIF_NAMES.items()}
     return df.withColumns({
-        "csv_path": F.regexp_extract(col(text_col), CSV_PATH, 1), "ndim": value["ndim"].try_cast("int"),
+        "csv_path": _path(col(text_col)), "ndim": value["ndim"].try_cast("int"),
         "sample_size": value["sample_size"], "ntrees": value["ntrees"].try_cast("int"),
         "scoring_metric": value["scoring_metric"]})
 
