@@ -53,6 +53,8 @@ SIMILARITY = 0.8
 REPEATS = 0.3
 FILTER_BITS = 1 << 26
 _THIN = 24
+#: Texts of one group of alignments.
+BLOCK = 400
 
 
 def occurrence_labels(sh: np.ndarray, soff: np.ndarray) -> np.ndarray:
@@ -207,7 +209,7 @@ def sketch_rows(texts: DataFrame, count: int = SKETCHES, pick: int = PICK) -> Da
     return texts.mapInArrow(run, "key binary, n int, v array<bigint>")
 
 
-def _rarest(seqs: DataFrame, similarity: float) -> DataFrame:
+def _rarest(seqs: DataFrame, similarity: float, bits: int) -> DataFrame:
     """bucket, key, n: the rarest shingles of every text, as many as one of alike texts must share, that occur in a second one.
 
     A text whose shingles are mostly different counts them with their occurrences: of n, the n - ceil(similarity x n) + 1
@@ -225,7 +227,7 @@ def _rarest(seqs: DataFrame, similarity: float) -> DataFrame:
             pa.array(np.repeat(n, size).astype(np.int32)), pa.array(np.repeat(size, size).astype(np.int32)),
             pa.array(np.repeat(size - least + 1, size).astype(np.int32))], names=["bucket", "key", "n", "size", "rarest"])
 
-    def labelled(batches):
+    def labelled(batches, table=None):
         for batch in batches:
             for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
                 seq, keys = part.column("seq"), pa.array(part.column("key").to_pylist(), pa.binary())
@@ -240,17 +242,34 @@ def _rarest(seqs: DataFrame, similarity: float) -> DataFrame:
                 d = np.bincount(row[place], minlength=len(n))
                 share = d / np.maximum(n, 1)
                 plain, phrases = share >= REPEATS, share < both
-                yield one_way(keys, n, token[plain[row]], np.where(plain, n, 0), similarity, 1)
-                yield one_way(keys, n, sh[place][phrases[row[place]]], np.where(phrases, d, 0), jaccard, 2)
-
-    tokens = reliable_checkpoint(seqs.mapInArrow(labelled, "bucket bigint, key binary, n int, size int, rarest int"))
-    shared = tokens.groupBy("bucket").agg(F.count("*").alias("texts")).where("texts > 1")
+                for made in (one_way(keys, n, token[plain[row]], np.where(plain, n, 0), similarity, 1),
+                             one_way(keys, n, sh[place][phrases[row[place]]], np.where(phrases, d, 0), jaccard, 2)):
+                    yield made.select(["bucket"]) if table is None else made.filter(_named(table.value, made.column("bucket")))
+
+    shared = reliable_checkpoint(seqs.mapInArrow(labelled, "bucket bigint").groupBy("bucket").agg(
+        F.count("*").alias("texts")).where("texts > 1"))
+    table = _bit_table(shared.select("bucket"), bits)
+    tokens = seqs.mapInArrow(lambda batches: labelled(batches, table), "bucket bigint, key binary, n int, size int, rarest int")
     own = Window.partitionBy("key", "size", "rarest")
     ranked = tokens.join(shared, "bucket").withColumn("alone", F.col("size") - F.count("*").over(own)).withColumn(
         "place", F.col("alone") + F.row_number().over(own.orderBy("texts", "bucket")))
     return ranked.where("place <= rarest").select("bucket", "key", "n")
 
 
+def _in_buckets(vectors: DataFrame, table) -> DataFrame:
+    """bucket, key, n: the sketches that the table names."""
+
+    def run(batches):
+        for batch in batches:
+            v = batch.column("v")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(v.offsets.to_numpy()))
+            out = pa.RecordBatch.from_arrays([v.flatten(), batch.column("key").take(pa.array(row)), batch.column("n").take(pa.array(row))],
+                                             names=["bucket", "key", "n"])
+            yield out.filter(_named(table.value, out.column("bucket")))
+
+    return vectors.mapInArrow(run, "bucket bigint, key binary, n int")
+
+
 def _open_buckets(members: DataFrame) -> DataFrame:
     """Members of the buckets that hold several components."""
     split = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
@@ -263,13 +282,14 @@ def _cell(n: str) -> Column:
 
 
 def _with_leaders(members: DataFrame, first: int, most: int, order: list, similarity: float) -> DataFrame:
-    """a, b: members of other components with the leaders of their bucket, in places first + 1 to first + most of each length cell."""
+    """a, b, member (the one of them that does not lead): members of other components with the leaders of their bucket,
+    in places first + 1 to first + most of each length cell."""
     place = F.row_number().over(Window.partitionBy("bucket", _cell("n")).orderBy(*order))
     top = (members.withColumn("place", place).where(F.col("place").between(first + 1, first + most))
            .select("bucket", F.col("key").alias("lead"), F.col("n").alias("lead_n"), F.col("root").alias("lead_root")))
     return (members.join(top, "bucket").where("root <> lead_root")
             .where(F.least("n", "lead_n") >= similarity * F.greatest("n", "lead_n") - 1e-9)
-            .select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct())
+            .groupBy(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).agg(F.min("key").alias("member")))
 
 
 def links(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY, count: int = SKETCHES, pick: int = PICK,
@@ -277,9 +297,10 @@ def links(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARIT
     """a, b: keys of linked pairs of different texts."""
     texts = bounded_batches(docs).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     vectors = reliable_checkpoint(sketch_rows(texts, count, pick).dropDuplicates(["key"]))
-    rows = vectors.select("key", "n", F.posexplode("v").alias("i", "bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = reliable_checkpoint(rows.join(sizes, "bucket").withColumn("root", F.col("key")))
+    rows = vectors.select(F.explode("v").alias("bucket"))
+    sizes = reliable_checkpoint(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    members = reliable_checkpoint(_in_buckets(vectors, _bit_table(sizes.select("bucket"), bits)).join(sizes, "bucket")
+                                  .withColumn("root", F.col("key")))
     central = members.groupBy("key").agg(F.sum("size").alias("central"))
     pairs = reliable_checkpoint(_with_leaders(members.join(central, "key"), 0, leaders, [F.desc("central"), "key"], similarity))
     seqs = _sequences(texts, members.select("key"), bits)
@@ -288,7 +309,7 @@ def links(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARIT
     stars = components(linked, "a", "b")
     # texts of buckets that still hold several components meet under their rarest shingles
     rest = _open_buckets(_rooted(members.drop("root"), stars)).select("key").distinct()
-    refined = reliable_checkpoint(_rarest(seqs.join(rest, "key", "left_semi"), similarity))
+    refined = reliable_checkpoint(_rarest(seqs.join(rest, "key", "left_semi"), similarity, bits))
     first, most = 0, leaders
     while True:
         members = reliable_checkpoint(_open_buckets(_rooted(refined, stars)))
@@ -311,21 +332,29 @@ def _rooted(members: DataFrame, stars: DataFrame) -> DataFrame:
     return members.join(stars.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 
-def _sequences(texts: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
-    """key, seq: the shingle sequences of the wanted texts (and of a few that the table of bits lets pass by chance)."""
-    spark = texts.sparkSession
-    hashed = (wanted.select(F.pmod(F.xxhash64("key"), F.lit(bits)).alias("h")).groupBy(F.expr("shiftright(h, 6)").alias("w"))
+def _bit_table(values: DataFrame, bits: int):
+    """A broadcast table of ``bits`` bits that names the values of a bigint column; a bit set by chance only costs work."""
+    h = F.pmod(F.col(values.columns[0]), F.lit(bits))
+    hashed = (values.select(h.alias("h")).groupBy(F.expr("shiftright(h, 6)").alias("w"))
               .agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("v")).toArrow())
     table = np.zeros(bits // 64, np.int64)
     table[hashed.column("w").to_numpy()] = hashed.column("v").to_numpy()
-    known = spark.sparkContext.broadcast(table)
+    return values.sparkSession.sparkContext.broadcast(table)
+
+
+def _named(table: np.ndarray, values: pa.Array) -> pa.Array:
+    h = np.mod(values.to_numpy(), np.int64(64 * len(table)))
+    return pa.array((table[h >> 6] >> (h & 63)) & 1 == 1)
+
+
+def _sequences(texts: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
+    """key, seq: the shingle sequences of the wanted texts (and of a few that the table of bits lets pass by chance)."""
+    known = _bit_table(wanted.select(F.xxhash64("key")), bits)
 
     def tokens(batches):
         seen: set = set()
         for batch in batches:
-            h = np.mod(batch.column("h").to_numpy(), np.int64(bits))
-            keep = (known.value[h >> 6] >> (h & 63)) & 1 == 1
-            for keys, sh, soff in _new_texts([batch.filter(pa.array(keep))], seen):
+            for keys, sh, soff in _new_texts([batch.filter(_named(known.value, batch.column("h")))], seen):
                 low = (sh & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(
                     pa.array(soff.astype(np.int32)), pa.array(low))], names=["key", "seq"])
@@ -335,17 +364,25 @@ def _sequences(texts: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
 
 
 def _aligned(seqs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of texts, by key, that are alike."""
-
-    def align(batches):
-        for batch in batches:
-            ok = [alike(x.values.to_numpy(), y.values.to_numpy(), similarity)
-                  for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    both = (pairs.join(seqs.select(F.col("key").alias("a"), F.col("seq").alias("x")), "a")
-            .join(seqs.select(F.col("key").alias("b"), F.col("seq").alias("y")), "b"))
-    return both.mapInArrow(align, "a binary, b binary")
+    """The pairs (a, b) of texts, by key, that are alike.
+
+    Pairs are dealt by the member that is not the leader, ``BLOCK`` members a group on average; a leader's sequence
+    goes to each group once, not to each of its partners."""
+    texts = pairs.select("member").distinct().count()
+    blocks = max(1, -(-texts // BLOCK))
+    dealt = pairs.withColumn("block", F.pmod(F.xxhash64("member"), F.lit(blocks)))
+    needed = dealt.select("block", F.col("member").alias("key")).unionByName(
+        dealt.select("block", F.when(F.col("member") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("key"))).distinct()
+
+    def align(held: pa.Table, asked: pa.Table) -> pa.Table:
+        at = {k: i for i, k in enumerate(held.column("key").to_pylist())}
+        seq = held.column("seq").combine_chunks()
+        ok = [alike(seq[at[a]].values.to_numpy(), seq[at[b]].values.to_numpy(), similarity)
+              for a, b in zip(asked.column("a").to_pylist(), asked.column("b").to_pylist(), strict=True)]
+        return asked.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    held = needed.withColumnRenamed("block", "part").join(seqs, "key")
+    return held.groupBy("part").cogroup(dealt.groupBy("block")).applyInArrow(align, "a binary, b binary")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
