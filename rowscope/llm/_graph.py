@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowscope.session import reliable_checkpoint
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files and checkpoints of earlier steps that nothing refers to any
+    more. It acts when the driver collects garbage, which a short job may never do by itself."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star operation on (u, v) with u > v. Minima are grouped sums with map-side
     combination and join back, so a node with very many links is split like any skewed key."""
@@ -35,3 +44,4 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         state = now
+        release(edges.sparkSession)

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowscope.llm._graph import components
+from rowscope.llm._graph import components, release
 from rowscope.llm._text import U, bounded_batches, fresh, mix, shingles, slices, utf8, words
 from rowscope.session import reliable_checkpoint
 
@@ -302,6 +302,7 @@ def links(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARIT
     members = reliable_checkpoint(_in_buckets(vectors, _bit_table(sizes.select("bucket"), bits)).join(sizes, "bucket")
                                   .withColumn("root", F.col("key")))
     central = members.groupBy("key").agg(F.sum("size").alias("central"))
+    release(texts.sparkSession)
     pairs = reliable_checkpoint(_with_leaders(members.join(central, "key"), 0, leaders, [F.desc("central"), "key"], similarity))
     seqs = _sequences(texts, members.select("key"), bits)
     linked = reliable_checkpoint(_aligned(seqs, pairs, similarity))
@@ -310,7 +311,8 @@ def links(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARIT
     # texts of buckets that still hold several components meet under their rarest shingles
     rest = _open_buckets(_rooted(members.drop("root"), stars)).select("key").distinct()
     refined = reliable_checkpoint(_rarest(seqs.join(rest, "key", "left_semi"), similarity, bits))
-    first, most = 0, leaders
+    release(texts.sparkSession)
+    first, most = 0, 16 * leaders  # the buckets are small by now: few rounds
     while True:
         members = reliable_checkpoint(_open_buckets(_rooted(refined, stars)))
         widest = members.groupBy("bucket", _cell("n")).count().agg(F.max("count")).first()[0] or 0
@@ -324,6 +326,7 @@ def links(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARIT
             stars = components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked), "a", "b")
         compared = compared.unionByName(fresh_pairs)
         first, most = first + most, 2 * most
+        release(texts.sparkSession)
     return found
 
 
