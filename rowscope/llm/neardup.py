@@ -295,6 +295,7 @@ def _with_leaders(members: DataFrame, first: int, most: int, order: list, simila
 def links(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY, count: int = SKETCHES, pick: int = PICK,
           leaders: int = LEADERS, bits: int = FILTER_BITS) -> DataFrame:
     """a, b: keys of linked pairs of different texts."""
+    release(docs.sparkSession)
     texts = bounded_batches(docs).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     vectors = reliable_checkpoint(sketch_rows(texts, count, pick).dropDuplicates(["key"]))
     rows = vectors.select(F.explode("v").alias("bucket"))
