@@ -7,7 +7,8 @@ confirms an occurrence. Windows of a short item have their own length and tables
 
 The item table is a stated query set: it is searched in blocks of at most
 ``block_bytes`` of text, each broadcast once, so its size is not bounded by memory.
-Documents are only scanned: one block needs no shuffle.
+Documents are only scanned: one block needs no shuffle; for several, ids, row numbers and
+texts are written once, so that every block sees the same row numbers.
 
 Defined results: null text has no words; items without id or words are left out;
 rows of one item id count as one item; repeated documents give repeated rows; an
@@ -23,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowscope.llm._text import bounded_batches, id_text, with_uid
+from rowscope.session import reliable_checkpoint
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+#: Text of a block of items. Its compiled tables take about 130 times as much memory.
+BLOCK_BYTES = 2 << 20
 
 #: A-Z to lower case; everything ASCII but letters and digits to a space.
 _TABLE = bytes(
@@ -132,7 +135,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """One row per document: doc_id, uid, n_words, spans (merged [start, end) word spans), items."""
     source = with_uid(id_text(docs, id_col, text_col)).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     parts = []
-    for sets in _blocks(docs.sparkSession, items, item_id, item_text, window, block_bytes):
+    blocks = _blocks(docs.sparkSession, items, item_id, item_text, window, block_bytes)
+    if len(blocks) > 1:
+        source = reliable_checkpoint(source)
+    for sets in blocks:
 
         def search(batches, sets=sets):
             known = sets.value
