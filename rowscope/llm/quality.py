@@ -144,7 +144,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
              .agg(F.when(F.avg("y") >= 0.5, 1.0).otherwise(0.0).alias("y"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
     own, stats = with_stats(id_text(docs, id_col, text_col).join(F.broadcast(known), "doc_id"))
-    train = reliable_checkpoint(own.select(F.col(stats).alias("stats"), array_to_vector(stats).alias("x"), "y").repartition(4))
+    # dealt evenly, then ordered: rows arrive in any order, and the forest draws by place
+    train = reliable_checkpoint(own.select(F.col(stats).alias("stats"), array_to_vector(stats).alias("x"), "y", "doc_id")
+                                .repartition(4).sortWithinPartitions("doc_id", "stats", "y").drop("doc_id"))
     n, ones = train.agg(F.count("*"), F.sum("y")).first()
     if not n or not 0 < (ones or 0) < n:
         p = ((ones or 0) + 1) / (n + 2)
