@@ -7,6 +7,12 @@ the leaf hold it there, and variable (``<*>``) otherwise; constants and wildcard
 the line's template. A template with enough constants that recurs across ``MIN_DOCS``
 different texts is boilerplate, and its lines are dropped from every document.
 
+A long line needs less evidence: the chance that two texts share ``LONG`` words at the same
+places is nil. Lines of ``LONG`` tokens or more are parsed a second time to ``LONG_DEPTH``
+leading tokens, so that leaves stay small at every size of the corpus; a token that two lines
+of such a leaf hold is a constant, and a template with ``LONG`` constants or more is dropped
+from ``LONG_DOCS`` different texts on. Shorter lines keep the count of ``MIN_DOCS``.
+
 Equal texts count once, so copies of a document do not make its lines boilerplate, and
 decisions are joined back by the hash of the text, whatever the input's order.
 
@@ -32,6 +38,9 @@ from rowscope.session import reliable_checkpoint
 DEPTH = 3
 MIN_DOCS = 10
 CONSTANTS = 0.6
+LONG = 10
+LONG_DEPTH = 6
+LONG_DOCS = 2
 BROADCAST_ROWS = 1 << 20
 _VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*"
 
@@ -40,9 +49,9 @@ def _key(text: str) -> Column:
     return F.unhex(F.md5(F.col(text).cast("binary")))
 
 
-def _lines(docs: DataFrame, depth: int) -> DataFrame:
-    """key, pos, toks, leaf of every line that is not empty. Lines with other white space than single
-    spaces, and lines with a digit, are rare: only they go through a regular expression."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """key, pos, toks of every line that is not empty. Lines with other white space than single spaces,
+    and lines with a digit, are rare: only they go through a regular expression."""
     line = F.col("line")
     odd = F.lit(False)
     for space in ("  ", "\t", "\x0B", "\f", "\r"):
@@ -51,28 +60,42 @@ def _lines(docs: DataFrame, depth: int) -> DataFrame:
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(plain, _VARIABLE, "<*>")).otherwise(plain)
     return (docs.select(_key("text").alias("key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
             .where(F.length(F.trim("line")) > 0)
-            .select("key", "pos", F.split(masked, " ").alias("toks"))
-            .withColumn("leaf", F.xxhash64(F.size("toks"), F.slice("toks", 1, depth))))
+            .select("key", "pos", F.split(masked, " ").alias("toks")))
+
+
+def _leaves(lines: DataFrame, depth: int, min_docs: int, long: int, long_depth: int, long_docs: int) -> DataFrame:
+    """The lines with their leaf and the number of texts it asks for; a long line has a leaf of each kind."""
+    n = F.size("toks")
+
+    def leaf(kind: int, at: int, need: int) -> Column:
+        return F.struct(F.xxhash64(F.lit(kind), n, F.slice("toks", 1, at)).alias("leaf"), F.lit(need).alias("need"))
+
+    kinds = F.when(n >= long, F.array(leaf(0, depth, min_docs), leaf(1, long_depth, long_docs))).otherwise(
+        F.array(leaf(0, depth, min_docs)))
+    return lines.select("key", "pos", "toks", F.inline(kinds).alias("leaf", "need"))
 
 
 def dropped_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS,
-                  constants: float = CONSTANTS) -> DataFrame:
-    """key (hash of the text) and pos (line number from 0) of every line to drop."""
-    lines = _lines(docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null"), depth)
-    seen = lines.select("leaf", "key").distinct().groupBy("leaf").agg(F.count("*").alias("docs"))
-    leaves = reliable_checkpoint(seen.where(F.col("docs") >= min_docs).select("leaf"))
+                  constants: float = CONSTANTS, long: int = LONG, long_depth: int = LONG_DEPTH,
+                  long_docs: int = LONG_DOCS) -> DataFrame:
+    """key (hash of the text) and pos (line number from 0) of every line to drop; a line may come twice."""
+    lines = _leaves(_lines(docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")),
+                    depth, min_docs, long, long_depth, long_docs)
+    seen = lines.select("leaf", "need", "key").distinct().groupBy("leaf", "need").agg(F.count("*").alias("docs"))
+    leaves = reliable_checkpoint(seen.where("docs >= need").select("leaf"))
     small = leaves.count() <= BROADCAST_ROWS
     own = lines.join(F.broadcast(leaves) if small else leaves, "leaf", "left_semi")
-    own = reliable_checkpoint(own.dropDuplicates(["key", "pos"]))
-    tokens = own.select("key", "pos", "leaf", F.size("toks").alias("n"), F.posexplode("toks").alias("at", "tok"))
-    held = tokens.where("tok not in ('<*>', '')").groupBy("leaf", "at", "tok").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs)
+    own = reliable_checkpoint(own.dropDuplicates(["key", "pos", "leaf"]))
+    tokens = own.select("key", "pos", "leaf", "need", F.size("toks").alias("n"), F.posexplode("toks").alias("at", "tok"))
+    held = (tokens.where("tok not in ('<*>', '')").groupBy("leaf", "need", "at", "tok").agg(F.count("*").alias("c"))
+            .where("c >= need").select("leaf", "at", "tok"))
     # a line's template: the places and hashes of its constants, summed in any order
-    template = (tokens.join(held, ["leaf", "at", "tok"], "left_semi").groupBy("key", "pos", "leaf", "n")
+    template = (tokens.join(held, ["leaf", "at", "tok"], "left_semi").groupBy("key", "pos", "leaf", "need", "n")
                 .agg(F.count("*").alias("fixed"), F.sum(F.xxhash64("at", "tok").cast("decimal(38,0)")).alias("sum"))
-                .where(F.col("fixed") >= constants * F.col("n"))
-                .select("key", "pos", F.xxhash64("leaf", "fixed", F.col("sum").cast("string")).alias("template")))
-    recurring = (template.select("template", "key").distinct().groupBy("template").agg(F.count("*").alias("docs"))
-                 .where(F.col("docs") >= min_docs).select("template"))
+                .where((F.col("fixed") >= constants * F.col("n")) & ((F.col("need") == min_docs) | (F.col("fixed") >= long)))
+                .select("key", "pos", "need", F.xxhash64("leaf", "fixed", F.col("sum").cast("string")).alias("template")))
+    recurring = (template.select("template", "need", "key").distinct().groupBy("template", "need")
+                 .agg(F.count("*").alias("docs")).where("docs >= need").select("template"))
     return template.join(recurring, "template", "left_semi").select("key", "pos")
 
 

@@ -93,16 +93,17 @@ l AS (SELECT key, pos, regexp_replace(line, '^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+$', '
             FROM (SELECT key, string_split(text, chr(10)) AS a FROM t))),
 k AS (SELECT key, pos, list_transform(string_split_regex(line, '[ \t\x0B\f\r]+'),
              lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS toks FROM l WHERE line <> ''),
-f AS (SELECT key, pos, toks, len(toks) AS n, toks[1:3] AS lead FROM k),
-v AS (SELECT n, lead FROM f GROUP BY n, lead HAVING count(DISTINCT key) >= 10),
-o AS (SELECT f.* FROM f JOIN v ON f.n = v.n AND f.lead = v.lead),
-x AS (SELECT key, pos, n, lead, unnest(range(n)) AS place, unnest(toks) AS tok FROM o),
-h AS (SELECT n, lead, place, tok FROM x WHERE tok <> '<*>' GROUP BY ALL HAVING count(*) >= 10),
-m AS (SELECT x.key, x.pos, x.n, x.lead, list(struct_pack(place := x.place, tok := x.tok) ORDER BY x.place) AS fixed
-      FROM x JOIN h ON x.n = h.n AND x.lead = h.lead AND x.place = h.place AND x.tok = h.tok
-      GROUP BY x.key, x.pos, x.n, x.lead HAVING count(*) >= 0.6 * x.n),
-r AS (SELECT n, lead, fixed FROM m GROUP BY ALL HAVING count(DISTINCT key) >= 10),
-p AS (SELECT m.key, m.pos FROM m JOIN r ON m.n = r.n AND m.lead = r.lead AND m.fixed = r.fixed),
+f AS (SELECT key, pos, toks, len(toks) AS n, toks[1:3] AS lead, 10 AS need FROM k
+      UNION ALL SELECT key, pos, toks, len(toks), toks[1:6], 2 FROM k WHERE len(toks) >= 10),
+v AS (SELECT need, n, lead FROM f GROUP BY need, n, lead HAVING count(DISTINCT key) >= need),
+o AS (SELECT f.* FROM f JOIN v ON f.need = v.need AND f.n = v.n AND f.lead = v.lead),
+x AS (SELECT key, pos, need, n, lead, unnest(range(n)) AS place, unnest(toks) AS tok FROM o),
+h AS (SELECT need, n, lead, place, tok FROM x WHERE tok <> '<*>' GROUP BY need, n, lead, place, tok HAVING count(*) >= need),
+m AS (SELECT x.key, x.pos, x.need, x.n, x.lead, list(struct_pack(place := x.place, tok := x.tok) ORDER BY x.place) AS fixed
+      FROM x JOIN h ON x.need = h.need AND x.n = h.n AND x.lead = h.lead AND x.place = h.place AND x.tok = h.tok
+      GROUP BY x.key, x.pos, x.need, x.n, x.lead HAVING count(*) >= 0.6 * x.n AND (x.need = 10 OR count(*) >= 10)),
+r AS (SELECT need, n, lead, fixed FROM m GROUP BY need, n, lead, fixed HAVING count(DISTINCT key) >= need),
+p AS (SELECT DISTINCT m.key, m.pos FROM m JOIN r ON m.need = r.need AND m.n = r.n AND m.lead = r.lead AND m.fixed = r.fixed),
 z AS (SELECT key, list(pos) AS gone FROM p GROUP BY key),
 q AS (SELECT doc_id, text, coalesce(gone, []::BIGINT[]) AS gone, string_split(text, chr(10)) AS a
       FROM d LEFT JOIN z ON d.key = z.key),

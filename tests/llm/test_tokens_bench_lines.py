@@ -119,3 +119,36 @@ def test_line_join_beyond_the_broadcast_bound(spark, monkeypatch):
     monkeypatch.setattr(linededup, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, linededup.digest(docs, min_docs=3).collect())) == want
     assert sum(r[2] for r in want) > 0
+
+
+def test_long_lines_from_two_texts(spark):
+    """Planted lines of 2 to 9 texts: the long ones go everywhere, short ones and other long lines stay."""
+    long, short = prose(7, 14), "see also the list"
+    rows, planted = [], set()
+    for i in range(60):
+        lines = [prose(200 + 3 * i + j, 11 + i % 9) for j in range(3)]
+        k = i // 6  # ten planted lines, each in two to six texts
+        if i % 6 < 2 + k % 5:
+            lines.insert(i % 4, f"{prose(900 + k, 20)} no {i}")
+            planted.add((i, i % 4))
+        if i in (3, 4):
+            lines.append(short)
+        if i in (5, 6):  # one word differs in the middle
+            lines.append(" ".join([*long.split()[:8], f"word{'ab'[i - 5]}", *long.split()[9:]]))
+            planted.add((i, len(lines) - 1))
+        rows.append((i, "\n".join(lines)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in linededup.clean_documents(docs).collect()}
+    for i, text in rows:
+        assert got[i] == "\n".join(x for j, x in enumerate(text.split("\n")) if (i, j) not in planted)
+    assert len(planted) > 30
+
+
+def test_quality_fit_repeats(spark):
+    from rowscope.llm import quality
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    want = quality.fit(docs, labels)
+    again = quality.fit(docs.repartition(3, "doc_id"), labels)
+    assert [r for r, _ in want.weighted] == [r for r, _ in quality.fit(docs, labels).weighted]
+    assert want.weighted and again.weighted
