@@ -11,6 +11,11 @@ anomaly-free split in the reference) and applied to the scored rows.
   learning rate cut on a plateau, early stopping; optionally windows of consecutive rows.
 * ``simple`` (D7): small plain network, squared error, all rows train.
 
+Regularisers (D6, off by default, passed as options): ``dropout`` after each hidden layer but the
+bottleneck, ``l1`` on the bottleneck's linear output (summed, mean over the batch), ``noise`` (standard
+deviation of Gaussian noise on the input, whose target stays clean), ``loss="huber"`` and
+``activation`` ``elu`` or ``leaky_relu``. Masks and noise act in training only.
+
 Score = mean squared reconstruction error per row; smoothing (W2) composes outside.
 """
 
@@ -34,6 +39,8 @@ PRESETS = {
 # Adam and batch-norm constants.
 B1, B2, ADAM_EPS = 0.9, 0.999, 1e-7
 NORM_MOMENTUM, NORM_EPS = 0.99, 1e-3
+# Slope of the leaky unit, error at which the Huber loss turns linear.
+LEAK, HUBER_DELTA = 0.1, 1.0
 #: Passes over a block of rows before the partitions' parameters are averaged.
 LOCAL_EPOCHS = 5
 
@@ -56,52 +63,84 @@ def _init(sizes, rng, batch_norm: bool):
     return p
 
 
-def _forward(p, X, L, train: bool):
-    """Output and what the backward pass needs of each layer."""
-    h, kept = X, []
+def _act(z, kind: str):
+    if kind == "elu":
+        return np.where(z > 0, z, np.expm1(np.minimum(z, 0)))
+    return np.maximum(z, LEAK * z if kind == "leaky_relu" else 0)
+
+
+def _act_slope(z, kind: str):
+    if kind == "elu":
+        return np.where(z > 0, 1.0, np.exp(np.minimum(z, 0)))
+    return np.where(z > 0, 1.0, LEAK if kind == "leaky_relu" else 0.0)
+
+
+def _forward(p, X, L, opts, rng=None):
+    """Output and what the backward pass needs of each layer; ``rng`` is given in training only."""
+    h, kept, kind, rate = X, [], opts.get("activation", "relu"), opts.get("dropout", 0.0)
+    if rng is not None and opts.get("noise"):
+        h = h + rng.normal(0.0, opts["noise"], h.shape)
     for i in range(L):
-        z = h @ p[f"W{i}"] + p[f"b{i}"]
+        raw = z = h @ p[f"W{i}"] + p[f"b{i}"]
         if i == L - 1:
-            kept.append((h, None, None, None))
+            kept.append((h, raw, None, None, None))
             return z, kept
-        norm = None
+        norm = mask = None
         if f"g{i}" in p:
-            mean, var = (z.mean(axis=0), z.var(axis=0)) if train else (p[f"mean{i}"], p[f"var{i}"])
+            mean, var = (z.mean(axis=0), z.var(axis=0)) if rng is not None else (p[f"mean{i}"], p[f"var{i}"])
             std = np.sqrt(var + NORM_EPS)
             unit = (z - mean) / std
             z = p[f"g{i}"] * unit + p[f"h{i}"]
             norm = (unit, std, mean, var)
-        kept.append((h, z, norm, None))
-        h = np.maximum(z, 0)
+        if rng is not None and rate and i != (L - 2) // 2:
+            mask = (rng.random(z.shape) >= rate) / (1.0 - rate)
+        kept.append((h, raw, z, norm, mask))
+        h = _act(z, kind)
+        if mask is not None:
+            h = h * mask
     return h, kept
 
 
-def _gradients(p, X, L, loss_kind: str):
-    out, kept = _forward(p, X, L, True)
-    diff = out - X
-    if loss_kind == "mae":
-        total, g = float(np.abs(diff).mean(axis=1).sum()), np.sign(diff) / diff.size
-    else:
-        total, g = float((diff ** 2).mean(axis=1).sum()), 2 * diff / diff.size
+def _loss(diff, kind: str):
+    """Loss of every entry and its slope."""
+    if kind == "mae":
+        return np.abs(diff), np.sign(diff)
+    if kind == "huber":
+        near = np.clip(diff, -HUBER_DELTA, HUBER_DELTA)
+        return near * (diff - near / 2), near
+    return diff ** 2, 2 * diff
+
+
+def _gradients(p, X, L, loss_kind: str, opts, rng):
+    """Summed loss of the rows, gradients of its mean, batch-norm statistics."""
+    out, kept = _forward(p, X, L, opts, rng)
+    each, slope = _loss(out - X, loss_kind)
+    total, g = float(each.mean(axis=1).sum()), slope / slope.size
+    kind, l1, narrow = opts.get("activation", "relu"), opts.get("l1", 0.0), (L - 2) // 2
     grads, stats = {}, {}
     for i in range(L - 1, -1, -1):
-        h, z, norm, _ = kept[i]
+        h, raw, z, norm, mask = kept[i]
         if i < L - 1:
-            g = g * (z > 0)
+            if mask is not None:
+                g = g * mask
+            g = g * _act_slope(z, kind)
             if norm is not None:
                 unit, std, mean, var = norm
                 grads[f"g{i}"], grads[f"h{i}"] = (g * unit).sum(axis=0), g.sum(axis=0)
                 u = g * p[f"g{i}"]
                 g = (u - u.mean(axis=0) - unit * (u * unit).mean(axis=0)) / std
                 stats[f"mean{i}"], stats[f"var{i}"] = mean, var
+            if l1 and i == narrow:
+                total += l1 * float(np.abs(raw).sum())
+                g = g + l1 * np.sign(raw) / len(X)
         grads[f"W{i}"], grads[f"b{i}"] = h.T @ g, g.sum(axis=0)
         if i:
             g = g @ p[f"W{i}"].T
     return total, grads, stats
 
 
-def _recon_err(p, X, L):
-    return ((X - _forward(p, X, L, False)[0]) ** 2).mean(axis=1)
+def _recon_err(p, X, L, opts):
+    return ((X - _forward(p, X, L, opts)[0]) ** 2).mean(axis=1)
 
 
 def _scaled(fm: DataFrame, base: DataFrame, scaler: str) -> DataFrame:
@@ -113,11 +152,20 @@ def _scaled(fm: DataFrame, base: DataFrame, scaler: str) -> DataFrame:
 
 
 def autoencoder_scores(fm: DataFrame, train: DataFrame | None = None, preset: str = "deep", epochs: int | None = None,
-                       seed: int = 42, scaler: str = "standard", windows: tuple[int, int] | None = None) -> DataFrame:
-    """``(row_id, score)``. ``windows=(length, stride)`` trains on windows of consecutive rows (in
+                       seed: int = 42, scaler: str = "standard", windows: tuple[int, int] | None = None,
+                       loss: str | None = None, **options) -> DataFrame:
+    """``(row_id, score)``. ``loss`` and the options ``dropout``, ``l1``, ``noise``, ``activation`` replace the preset's. ``windows=(length, stride)`` trains on windows of consecutive rows (in
     ``row_id`` order) and gives every row the mean score of the windows that cover it."""
     from rowscope.session import reliable_checkpoint
 
+    if unknown := set(options) - {"dropout", "l1", "noise", "activation"}:
+        raise ValueError(f"unknown options {sorted(unknown)}")
+    if options.get("activation", "relu") not in ("relu", "elu", "leaky_relu"):
+        raise ValueError(f"unknown activation {options['activation']!r}")
+    if not 0 <= options.get("dropout", 0.0) < 1 or options.get("l1", 0.0) < 0 or options.get("noise", 0.0) < 0:
+        raise ValueError("dropout must be in [0, 1), l1 and noise at least 0")
+    if loss not in (None, "mse", "mae", "huber"):
+        raise ValueError(f"unknown loss {loss!r}")
     cfg = dict(PRESETS[preset])
     base = train if train is not None else fm
     fm_s, tr_s = _scaled(fm, base, scaler), _scaled(base, base, scaler)
@@ -141,15 +189,15 @@ def autoencoder_scores(fm: DataFrame, train: DataFrame | None = None, preset: st
     d = dims(tr_s)
     sizes = [d, *cfg["hidden"], d]
     L = len(sizes) - 1
-    lr, bs, loss_kind = cfg["lr"], cfg["batch"], cfg["loss"]
+    lr, bs, loss_kind = cfg["lr"], cfg["batch"], loss or cfg["loss"]
 
     def step(p, X, rng_, st):
         p = dict(p)
         order = rng_.permutation(len(X))
         total = 0.0
         for i in range(0, len(X), bs):
-            loss, grads, stats = _gradients(p, X[order[i:i + bs]], L, loss_kind)
-            total += loss
+            summed, grads, stats = _gradients(p, X[order[i:i + bs]], L, loss_kind, options, rng_)
+            total += summed
             p["t"] = p["t"] + 1
             t = p["t"][0]
             for k, gk in grads.items():
@@ -165,14 +213,14 @@ def autoencoder_scores(fm: DataFrame, train: DataFrame | None = None, preset: st
     params, _ = average_fit(tr_s, _init(sizes, np.random.default_rng(seed), cfg["batch_norm"]), step,
                             rounds=-(-epochs // LOCAL_EPOCHS), local_epochs=min(LOCAL_EPOCHS, epochs),
                             val_fraction=cfg["val_fraction"], patience=cfg["patience"], plateau=cfg["plateau"],
-                            loss_fn=lambda p, X: _recon_err(p, X, L), seed=seed)
+                            loss_fn=lambda p, X: _recon_err(p, X, L, options), seed=seed)
     bc = fm.sparkSession.sparkContext.broadcast({k: v for k, v in params.items() if not k.startswith(("m_", "v_"))})
 
     def run(batches):
         for pdf in batches:
             if not pdf.empty:
                 X = np.stack(pdf["x"].to_numpy()).astype(float)
-                yield pd.DataFrame({"row_id": pdf["row_id"].to_numpy(), "score": _recon_err(bc.value, X, L)})
+                yield pd.DataFrame({"row_id": pdf["row_id"].to_numpy(), "score": _recon_err(bc.value, X, L, options)})
 
     scores = spread(fm_s).mapInPandas(run, "row_id long, score double")
     if windows:

@@ -8,13 +8,20 @@ walks all trees for each Arrow batch, level by level, vectorised over rows.
 Splits: ``ndim = 1`` picks one feature uniformly and a threshold uniformly in
 the node's range; ``ndim > 1`` draws a normal direction over ``ndim`` random
 features (scaled by their ranges) and an intercept uniform in the projected
-range. Growth stops at one row, equal values, or depth ⌈log2 ψ⌉.
+range. Growth stops at one row, equal values, or depth ⌈log2 ψ⌉. With
+``weigh_by_kurtosis`` a node draws its features with probability proportional to
+their kurtosis (fourth over squared second central moment) among the node's rows,
+so that heavy-tailed features are split more often.
 
 Scores (larger = more anomalous):
-* ``depth``:   2^(−E[h(x)] / c(ψ)), h = leaf depth + c(leaf size) (Liu et al.).
+* ``depth``:   2^(−E[h(x)] / c(ψ)), h = leaf depth + c(leaf size) (Liu et al.). With
+  ``penalize_range`` h loses 1 at every split on the path whose value of the row lies further
+  from the threshold than the node's whole range: the interval of twice that range, centred at
+  the split, is what the node has seen. h stays at 0 or more, scores stay in (0, 1].
 * ``density``: −mean over trees of ln((leaf size / ψ) / leaf volume share), the
   volume share being the product of the kept range fractions on the path.
-  Library-defined in the reference ([lib]); promised by properties, not bits.
+  Library-defined in the reference ([lib]); promised by properties, not bits. Both options
+  belong to ``depth`` and are switched off for ``density``, whose volumes they would bias.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ EULER = 0.5772156649015329
 #: Fixed value: rows per tree under the setting "auto" (a tree is a sample by definition).
 AUTO_SAMPLE = 10_000
 _SCHEMA = ("tree int, node int, left int, right int, feats array<int>, coefs array<double>, "
-           "thresh double, size long, depth int, logvol double")
+           "thresh double, size long, depth int, logvol double, span double")
 
 
 def c_factor(m: np.ndarray | float) -> np.ndarray:
@@ -45,7 +52,15 @@ def c_factor(m: np.ndarray | float) -> np.ndarray:
     return out
 
 
-def _grow(X: np.ndarray, rng: np.random.Generator, ndim: int, max_depth: int) -> list[tuple]:
+def kurtosis_weights(sub: np.ndarray) -> np.ndarray:
+    """Probabilities proportional to the kurtosis of each column; columns must not be constant."""
+    z = sub - sub.mean(axis=0)
+    z /= np.abs(z).max(axis=0)
+    k = (z ** 4).mean(axis=0) / (z ** 2).mean(axis=0) ** 2
+    return k / k.sum()
+
+
+def _grow(X: np.ndarray, rng: np.random.Generator, ndim: int, max_depth: int, by_kurtosis: bool = False) -> list[tuple]:
     nodes: list[list] = []
     lo_all, hi_all = X.min(axis=0), X.max(axis=0)
     rng_all = np.where(hi_all > lo_all, hi_all - lo_all, 1.0)
@@ -53,7 +68,7 @@ def _grow(X: np.ndarray, rng: np.random.Generator, ndim: int, max_depth: int) ->
     while stack:
         idx, depth, logvol, parent, side = stack.pop()
         me = len(nodes)
-        nodes.append([me, -1, -1, [], [], 0.0, len(idx), depth, logvol])
+        nodes.append([me, -1, -1, [], [], 0.0, len(idx), depth, logvol, 0.0])
         if parent is not None:
             nodes[parent][1 if side == 0 else 2] = me
         sub = X[idx]
@@ -64,7 +79,7 @@ def _grow(X: np.ndarray, rng: np.random.Generator, ndim: int, max_depth: int) ->
         if len(live) == 0:
             continue
         k = min(ndim, len(live))
-        feats = rng.choice(live, size=k, replace=False)
+        feats = rng.choice(live, size=k, replace=False, p=kurtosis_weights(sub[:, live]) if by_kurtosis else None)
         if k == 1:
             coefs = np.array([1.0])
         else:
@@ -81,13 +96,14 @@ def _grow(X: np.ndarray, rng: np.random.Generator, ndim: int, max_depth: int) ->
         nodes[me][3] = feats.astype(int).tolist()
         nodes[me][4] = coefs.tolist()
         nodes[me][5] = float(t)
+        nodes[me][9] = float(phi - plo)
         stack.append((idx[~go_left], depth + 1, logvol + math.log(max(1 - frac, 1e-300)), me, 1))
         stack.append((idx[go_left], depth + 1, logvol + math.log(max(frac, 1e-300)), me, 0))
     return nodes
 
 
 def fit(fm: DataFrame, n_trees: int = 300, sample_size: int | str = "auto", ndim: int = 1,
-        seed: int = 42, n: int | None = None) -> tuple[DataFrame, int]:
+        seed: int = 42, n: int | None = None, weigh_by_kurtosis: bool = False) -> tuple[DataFrame, int]:
     """Node table of the forest and the effective ψ (``auto``: ``AUTO_SAMPLE`` rows)."""
     n = n if n is not None else fm.count()
     psi = AUTO_SAMPLE if sample_size == "auto" else int(sample_size)
@@ -99,12 +115,12 @@ def fit(fm: DataFrame, n_trees: int = 300, sample_size: int | str = "auto", ndim
         tree = int(pdf["tree"].iloc[0])
         X = np.stack(pdf["x"].to_numpy()).astype(float)
         rng = np.random.default_rng([seed, tree])
-        nodes = _grow(X, rng, ndim, max_depth)
+        nodes = _grow(X, rng, ndim, max_depth, weigh_by_kurtosis)
         return pd.DataFrame({
             "tree": tree, "node": [r[0] for r in nodes], "left": [r[1] for r in nodes],
             "right": [r[2] for r in nodes], "feats": [r[3] for r in nodes], "coefs": [r[4] for r in nodes],
             "thresh": [r[5] for r in nodes], "size": [r[6] for r in nodes], "depth": [r[7] for r in nodes],
-            "logvol": [r[8] for r in nodes]})
+            "logvol": [r[8] for r in nodes], "span": [r[9] for r in nodes]})
 
     return samples.groupBy("tree").applyInPandas(grow, _SCHEMA), psi
 
@@ -120,12 +136,12 @@ def _pack(model: pd.DataFrame):
             F[i, :len(f)] = f
             C[i, :len(c)] = c
         trees.append((g["left"].to_numpy(), g["right"].to_numpy(), F, C, g["thresh"].to_numpy(),
-                      g["size"].to_numpy(), g["depth"].to_numpy(), g["logvol"].to_numpy()))
+                      g["size"].to_numpy(), g["depth"].to_numpy(), g["logvol"].to_numpy(), g["span"].to_numpy()))
     return trees
 
 
 def score(fm: DataFrame, model: DataFrame, psi: int, metric: str = "depth",
-          n_trees_used: int | None = None) -> DataFrame:
+          n_trees_used: int | None = None, penalize_range: bool = False) -> DataFrame:
     """``(row_id, score)``; ``n_trees_used`` scores with the first trees only."""
     trees = _pack(model.toPandas())  # bounded by T × 2ψ nodes
     if n_trees_used:
@@ -141,13 +157,15 @@ def score(fm: DataFrame, model: DataFrame, psi: int, metric: str = "depth",
             X = np.stack(pdf["x"].to_numpy()).astype(float)
             acc = np.zeros(len(X))
             rows = np.arange(len(X))
-            for left, right, Fm, Cm, th, size, depth, logvol in forest:
+            for left, right, Fm, Cm, th, size, depth, logvol, span in forest:
                 node = np.zeros(len(X), dtype=int)
                 active = left[node] >= 0
                 while active.any():
                     a = np.nonzero(active)[0]
                     nd = node[a]
                     proj = (X[rows[a][:, None], Fm[nd]] * Cm[nd]).sum(axis=1)
+                    if penalize_range and metric == "depth":
+                        acc[a] -= np.abs(proj - th[nd]) > span[nd]
                     node[a] = np.where(proj <= th[nd], left[nd], right[nd])
                     active = left[node] >= 0
                 if metric == "depth":
@@ -173,7 +191,7 @@ def score_settings(fm: DataFrame, model: DataFrame, psi: int, counts: list[int],
                 continue
             X = np.stack(pdf["x"].to_numpy()).astype(float)
             acc = {m: np.zeros(len(X)) for m in metrics}
-            for i, (left, right, Fm, Cm, th, size, depth, logvol) in enumerate(forest, 1):
+            for i, (left, right, Fm, Cm, th, size, depth, logvol, _) in enumerate(forest, 1):
                 node = np.zeros(len(X), dtype=int)
                 a = np.arange(len(X))[left[node] >= 0]
                 while len(a):
@@ -193,9 +211,12 @@ def score_settings(fm: DataFrame, model: DataFrame, psi: int, counts: list[int],
 
 
 def iforest_scores(fm: DataFrame, n_trees: int = 300, sample_size: int | str = "auto", ndim: int = 1,
-                   metric: str = "depth", seed: int = 42) -> DataFrame:
-    model, psi = fit(fm, n_trees, sample_size, ndim, seed)
-    return score(fm, model, psi, metric)
+                   metric: str = "depth", seed: int = 42, weigh_by_kurtosis: bool = False,
+                   penalize_range: bool = False) -> DataFrame:
+    if metric == "density":
+        weigh_by_kurtosis = penalize_range = False
+    model, psi = fit(fm, n_trees, sample_size, ndim, seed, weigh_by_kurtosis=weigh_by_kurtosis)
+    return score(fm, model, psi, metric, penalize_range=penalize_range)
 
 
 def grid(fm: DataFrame, trees=(200, 400, 800), samples=(256, 512, "auto"), ndims=(1, 3), metrics=("depth", "density"),

@@ -15,7 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowscope.detect.features import spread
@@ -164,14 +164,38 @@ def fuzzy_match(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
+def rerank(matches: DataFrame, left_vectors: DataFrame, right_vectors: DataFrame) -> DataFrame:
+    """R2: one match for each token, the candidate of ``fuzzy_match`` whose vector is nearest by cosine.
+
+    ``left_vectors(token, x)`` and ``right_vectors(match, x)`` are supplied (an embedding of each name);
+    a name may have one vector. Cosines are compared to 9 digits; ties, candidates without a vector and
+    vectors of length 0 fall back to the lexical rank, after all candidates with a cosine.
+
+    Returns ``(token, match, sim, cosine, rank)``, ``rank`` being the lexical one. Two equi-joins on the
+    names and one grouped maximum: no pair beyond the candidates is made.
+    """
+    pairs = (matches.join(left_vectors.select("token", F.col("x").alias("_a")), "token", "left")
+             .join(right_vectors.select("match", F.col("x").alias("_b")), "match", "left"))
+
+    def dot(a: str, b: str) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda u, v: u.cast("double") * v), F.lit(0.0), lambda s, v: s + v)
+
+    norm = F.sqrt(dot("_a", "_a")) * F.sqrt(dot("_b", "_b"))
+    scored = pairs.withColumn("cosine", F.when(norm > 0, F.round(dot("_a", "_b") / norm, 9)))
+    best = F.max_by(F.struct("match", "sim", "cosine", "rank"), F.struct("cosine", -F.col("rank")))
+    return scored.groupBy("token").agg(best.alias("_m")).select("token", "_m.*")
+
+
 def correct_tokens(texts: DataFrame, id_col: str, text_col: str, vocabulary: DataFrame, vocab_col: str,
-                   threshold: float = 0.8) -> DataFrame:
+                   threshold: float = 0.8, vectors: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """R2 applied: every name-like token of the text is replaced in place by its best
     vocabulary entry, spelled as in the vocabulary (of several spellings the smallest);
-    tokens without a match and everything between tokens stay as they are."""
+    tokens without a match and everything between tokens stay as they are. With ``vectors``
+    (of tokens and of entries, see ``rerank``) the best entry is the nearest of the three closest."""
     token = F.regexp_extract_all(col(text_col), F.lit(f"({TOKEN_PATTERN})"), 1)
     toks = texts.select(col(id_col).alias("_id"), F.posexplode(token).alias("pos", "w"))
-    best = fuzzy_match(toks.select("w"), vocabulary, "w", vocab_col, threshold, 1).select("token", "match")
+    best = fuzzy_match(toks.select("w"), vocabulary, "w", vocab_col, threshold, 3 if vectors else 1)
+    best = (rerank(best, *vectors) if vectors else best).select("token", "match")
     names = (vocabulary.select(F.trim(col(vocab_col)).alias("name")).groupBy(F.lower("name").alias("match"))
              .agg(F.min("name").alias("name")))
     found = (toks.withColumn("token", F.lower("w")).join(best, "token").join(names, "match")

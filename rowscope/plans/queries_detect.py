@@ -205,6 +205,32 @@ def _e13(spark, sf):
     return r6(E.pot_threshold(ev, "score"))
 
 
+@query("pot_likelihood", """
+WITH RECURSIVE b AS (SELECT value AS s FROM events WHERE value IS NOT NULL),
+q AS (SELECT quantile_cont(s, 0.98) AS t, quantile_cont(s, 0.995) AS fb FROM b),
+e AS (SELECT avg(s - t) AS m, avg((s - t) * (s - t)) / (2 * avg(s - t) * avg(s - t)) > 1 AS heavy, max(s - t) AS top,
+             list(s - t) AS ys FROM b, q WHERE s > t),
+y AS (SELECT *, list_transform(ys, lambda v: v / m) AS z FROM e),
+r AS (SELECT 0 AS step, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS width, 0 AS at0
+      UNION ALL
+      SELECT step + 1, lo + width * cell / 64, width / 64, CASE WHEN step = 0 THEN cell ELSE at0 END
+      FROM (SELECT step, lo, width, at0, coalesce(list_position(list_transform(list_transform(range(1, 64),
+                 lambda i: CASE WHEN heavy THEN (lo + width * i / 64) / (1 - (lo + width * i / 64)) ELSE -(lo + width * i / 64) * m / top END),
+                 lambda th: ((1 + list_avg(list_transform(z, lambda v: ln(1 + th * v)))) * list_avg(list_transform(z, lambda v: 1 / (1 + th * v))) - 1)
+                            * (CASE WHEN heavy THEN 1 ELSE -1 END) <= 0), true), 64) - 1 AS cell
+            FROM r, y WHERE step < 6)),
+h AS (SELECT CASE WHEN heavy THEN (lo + width / 2) / (1 - (lo + width / 2)) ELSE -(lo + width / 2) * m / top END AS th,
+             (heavy OR at0 < 63) AS ok FROM r, y WHERE step = 6),
+f AS (SELECT list_avg(list_transform(z, lambda v: ln(1 + th * v))) AS xi, th, ok, m, len(z) AS n FROM h, y)
+SELECT round(CASE WHEN ok THEN t + xi / th * m / xi * (pow(1e-3, -xi) - 1) ELSE fb END, 6) AS thr_pot,
+       CASE WHEN ok THEN 'gpd_likelihood' ELSE 'quantile_fallback' END AS method,
+       CASE WHEN ok THEN round(xi, 6) END AS xi, CASE WHEN ok THEN round(xi / th * m, 6) END AS sigma, cast(n AS BIGINT) AS n_excess
+FROM f, q""")
+def _e13_likelihood(spark, sf):
+    """E13 fitted by likelihood, as the pipeline's reference threshold is."""
+    return r6(E.pot_likelihood(t(spark, sf, "events").select(F.col("value").alias("score")), "score"))
+
+
 @query("roc_auc_partial_labels", """
 WITH sc AS (SELECT d.n_chars AS score, l.quality AS y FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 thr AS (SELECT quantile_cont(score, 0.98) AS t FROM sc),
@@ -377,6 +403,48 @@ def _d1x(spark, sf):
     return iforest_scores(M.standard_scale(emb_matrix(spark, sf)), n_trees=500, ndim=2, metric="depth")
 
 
+@query("eif_run_alone_scores")
+def _d1_alone(spark, sf):
+    """run_algo default with all its options: 500 trees, ndim 2, kurtosis-weighted splits, range penalty."""
+    return iforest_scores(M.standard_scale(emb_matrix(spark, sf)), n_trees=500, ndim=2, metric="depth",
+                          weigh_by_kurtosis=True, penalize_range=True)
+
+
+@query("eif_run_alone_properties", """
+SELECT count(*) + count(CASE WHEN vec_id % 50 = 7 THEN 1 END) AS n_rows, count(CASE WHEN vec_id % 50 = 7 THEN 1 END) AS n_planted,
+       true AS in_unit_range, true AS penalty_never_lowers, true AS penalty_acts, true AS planted_found FROM embeddings""")
+def _d1_properties(spark, sf):
+    """All embeddings and, planted beside them, one in 50 again at six times its length: every row has a score in
+    (0, 1], the range penalty lowers no score of the same forest, and the planted rows are ranked first (AP ≥ 0.9)."""
+    from rowscope.detect import iforest
+    from rowscope.session import reliable_checkpoint
+
+    fm = emb_matrix(spark, sf).select("row_id", "x", F.lit(0).alias("y"))
+    far = fm.where("row_id % 50 = 7").select((-F.col("row_id") - 1).alias("row_id"), F.transform("x", lambda v: v * 6).alias("x"),
+                                             F.lit(1).alias("y"))
+    both = fm.unionByName(far)
+    model, psi = iforest.fit(fm, 200, 256, 2, weigh_by_kurtosis=True)
+    model = reliable_checkpoint(model)
+    plain = iforest.score(both.select("row_id", "x"), model, psi).withColumnRenamed("score", "plain")
+    out = (iforest.score(both.select("row_id", "x"), model, psi, penalize_range=True).join(plain, "row_id")
+           .join(both.select("row_id", "y"), "row_id"))
+    out = reliable_checkpoint(out.withColumn("algo", F.lit("EIF")))
+    found = E.metrics(out.select("row_id", "algo", "score", "y")).select((F.col("pr_auc") >= 0.9).alias("planted_found"))
+    facts = out.agg(F.count("*").alias("n_rows"), F.sum("y").alias("n_planted"),
+                    ((F.min("score") > 0) & (F.max("score") <= 1)).alias("in_unit_range"),
+                    F.min(F.col("score") >= F.col("plain")).alias("penalty_never_lowers"),
+                    F.max(F.col("score") > F.col("plain")).alias("penalty_acts"))
+    return facts.withColumn("_k", F.lit(0)).join(found.withColumn("_k", F.lit(0)), "_k").drop("_k")
+
+
+@query("autoencoder_regularized_scores")
+def _d6_regularized(spark, sf):
+    """The deep network with every regulariser: dropout, activity penalty, input noise, Huber loss."""
+    from rowscope.detect.autoencoder import autoencoder_scores
+
+    return autoencoder_scores(emb_matrix(spark, sf), preset="deep", epochs=20, loss="huber", dropout=0.1, l1=1e-5, noise=0.05)
+
+
 # ---------------------------------------------------------------- PCA, quantile transform, EIF grid (rows-only)
 
 @query("pca_variance_share")

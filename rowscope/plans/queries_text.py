@@ -50,6 +50,35 @@ def _r2(spark, sf):
     return r6(X.fuzzy_match(left, w, "w", "w", 0.8, 3))
 
 
+# Vectors of names for the re-rank: how often each letter occurs.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_VECTOR_SQL = "list_transform(string_split('" + _LETTERS + "', ''), lambda c: cast(length({0}) - length(replace({0}, c, '')) AS DOUBLE))"
+
+
+def _letter_counts(names, name):
+    counts = [(F.length(name) - F.length(F.replace(F.col(name), F.lit(c), F.lit("")))).cast("double") for c in _LETTERS]
+    return names.select(name).distinct().withColumn("x", F.array(*counts))
+
+
+@query("fuzzy_rerank", f"""
+WITH w AS {_WORDS_SQL},
+l AS (SELECT DISTINCT lower(trim(substr(w, 2))) AS token FROM w WHERE length(w) > 1),
+r AS (SELECT DISTINCT lower(trim(w)) AS match FROM w WHERE length(trim(w)) > 0),
+fp AS (SELECT token, match, 1.0 - levenshtein(token, match) / greatest(length(token), length(match)) AS sim FROM l, r),
+fz AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY sim DESC, match) AS rank
+                      FROM fp WHERE sim >= 0.5 - 1e-12) WHERE rank <= 3),
+c AS (SELECT *, round(list_cosine_similarity({_VECTOR_SQL.format("token")}, {_VECTOR_SQL.format("match")}), 9) AS cosine FROM fz)
+SELECT token, match, round(sim, 6) AS sim, round(cosine, 6) AS cosine, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY token ORDER BY cosine DESC NULLS LAST, rank) AS best FROM c) WHERE best = 1""")
+def _r2_rerank(spark, sf):
+    """Names without their first letter against all names; the nearest of the three closest by letter counts."""
+    w = _words(spark, sf)
+    left = w.select(F.expr("substr(w, 2)").alias("w"))
+    close = X.fuzzy_match(left, w, "w", "w", 0.5, 3)
+    return r6(X.rerank(close, _letter_counts(left.select(F.lower(F.trim("w")).alias("token")), "token"),
+                       _letter_counts(w.select(F.lower(F.trim("w")).alias("match")), "match")))
+
+
 # One expression for both engines: a request with a misspelt name, numbers and operators.
 _REQUEST = ("concat('Sort by ', substr(p_name, 1, length(split_part(p_name, ' ', 1)) - 1), ' > ', p_partkey, ', then (', "
             "split_part(p_name, ' ', 2), ') top 5!')")
