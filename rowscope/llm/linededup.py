@@ -16,8 +16,8 @@ from ``LONG_DOCS`` different texts on. Shorter lines keep the count of ``MIN_DOC
 Equal texts count once, so copies of a document do not make its lines boilerplate, and
 decisions are joined back by the hash of the text, whatever the input's order.
 
-Scale: leaves are counted by (leaf, text) pairs with partial aggregation; only lines of
-recurring leaves are opened into tokens. Recurring leaves are broadcast when they are
+Scale: leaves are counted by (leaf, text) pairs with partial aggregation; of the lines of
+recurring leaves, equal ones count as one shape, and only shapes are opened into tokens. Recurring leaves are broadcast when they are
 at most ``BROADCAST_ROWS`` (16 bytes each), and joined by shuffle beyond. A leaf or a
 token that holds a third of all lines is split by the map-side sums; no group is
 collected except the dropped line numbers of one text.
@@ -84,19 +84,25 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, m
     seen = lines.select("leaf", "need", "key").distinct().groupBy("leaf", "need").agg(F.count("*").alias("docs"))
     leaves = reliable_checkpoint(seen.where("docs >= need").select("leaf"))
     small = leaves.count() <= BROADCAST_ROWS
-    own = lines.join(F.broadcast(leaves) if small else leaves, "leaf", "left_semi")
-    own = reliable_checkpoint(own.dropDuplicates(["key", "pos", "leaf"]))
-    tokens = own.select("key", "pos", "leaf", "need", F.size("toks").alias("n"), F.posexplode("toks").alias("at", "tok"))
-    held = (tokens.where("tok not in ('<*>', '')").groupBy("leaf", "need", "at", "tok").agg(F.count("*").alias("c"))
+    own = reliable_checkpoint(lines.join(F.broadcast(leaves) if small else leaves, "leaf", "left_semi")
+                              .select("key", "pos", "leaf", "need", F.xxhash64("toks").alias("shape"), "toks"))
+    # equal lines of a leaf are one shape with a count: only shapes are opened into tokens
+    sites = own.select("key", "pos", "leaf", "need", "shape").distinct()
+    shapes = reliable_checkpoint(
+        own.groupBy("leaf", "need", "shape").agg(F.first("toks").alias("toks"))
+        .join(sites.groupBy("leaf", "need", "shape").agg(F.count("*").alias("c")), ["leaf", "need", "shape"]))
+    tokens = shapes.select("leaf", "need", "shape", "c", F.size("toks").alias("n"), F.posexplode("toks").alias("at", "tok"))
+    held = (tokens.where("tok not in ('<*>', '')").groupBy("leaf", "need", "at", "tok").agg(F.sum("c").alias("c"))
             .where("c >= need").select("leaf", "at", "tok"))
-    # a line's template: the places and hashes of its constants, summed in any order
-    template = (tokens.join(held, ["leaf", "at", "tok"], "left_semi").groupBy("key", "pos", "leaf", "need", "n")
+    # a shape's template: the places and hashes of its constants, summed in any order
+    template = (tokens.join(held, ["leaf", "at", "tok"], "left_semi").groupBy("leaf", "need", "shape", "n")
                 .agg(F.count("*").alias("fixed"), F.sum(F.xxhash64("at", "tok").cast("decimal(38,0)")).alias("sum"))
                 .where((F.col("fixed") >= constants * F.col("n")) & ((F.col("need") == min_docs) | (F.col("fixed") >= long)))
-                .select("key", "pos", "need", F.xxhash64("leaf", "fixed", F.col("sum").cast("string")).alias("template")))
-    recurring = (template.select("template", "need", "key").distinct().groupBy("template", "need")
+                .select("leaf", "shape", F.xxhash64("leaf", "fixed", F.col("sum").cast("string")).alias("template")))
+    placed = sites.join(reliable_checkpoint(template), ["leaf", "shape"]).select("key", "pos", "need", "template")
+    recurring = (placed.select("template", "need", "key").distinct().groupBy("template", "need")
                  .agg(F.count("*").alias("docs")).where("docs >= need").select("template"))
-    return template.join(recurring, "template", "left_semi").select("key", "pos")
+    return placed.join(recurring, "template", "left_semi").select("key", "pos")
 
 
 def cleaned(docs: DataFrame, text_col: str = "text", **options) -> tuple[DataFrame, str, str]:
