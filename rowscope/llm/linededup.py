@@ -17,7 +17,8 @@ Equal texts count once, so copies of a document do not make its lines boilerplat
 decisions are joined back by the hash of the text, whatever the input's order.
 
 Scale: leaves are counted by (leaf, text) pairs with partial aggregation; of the lines of
-recurring leaves, equal ones count as one shape, and only shapes are opened into tokens. Recurring leaves are broadcast when they are
+recurring leaves, equal ones count as one shape, and only leaves of several shapes are
+opened into tokens. Recurring leaves are broadcast when they are
 at most ``BROADCAST_ROWS`` (16 bytes each), and joined by shuffle beyond. A leaf or a
 token that holds a third of all lines is split by the map-side sums; no group is
 collected except the dropped line numbers of one text.
@@ -84,25 +85,36 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, m
     seen = lines.select("leaf", "need", "key").distinct().groupBy("leaf", "need").agg(F.count("*").alias("docs"))
     leaves = reliable_checkpoint(seen.where("docs >= need").select("leaf"))
     small = leaves.count() <= BROADCAST_ROWS
-    own = reliable_checkpoint(lines.join(F.broadcast(leaves) if small else leaves, "leaf", "left_semi")
-                              .select("key", "pos", "leaf", "need", F.xxhash64("toks").alias("shape"), "toks"))
-    # equal lines of a leaf are one shape with a count: only shapes are opened into tokens
-    sites = own.select("key", "pos", "leaf", "need", "shape").distinct()
-    shapes = reliable_checkpoint(
-        own.groupBy("leaf", "need", "shape").agg(F.first("toks").alias("toks"))
-        .join(sites.groupBy("leaf", "need", "shape").agg(F.count("*").alias("c")), ["leaf", "need", "shape"]))
-    tokens = shapes.select("leaf", "need", "shape", "c", F.size("toks").alias("n"), F.posexplode("toks").alias("at", "tok"))
-    held = (tokens.where("tok not in ('<*>', '')").groupBy("leaf", "need", "at", "tok").agg(F.sum("c").alias("c"))
-            .where("c >= need").select("leaf", "at", "tok"))
-    # a shape's template: the places and hashes of its constants, summed in any order
-    template = (tokens.join(held, ["leaf", "at", "tok"], "left_semi").groupBy("leaf", "need", "shape", "n")
-                .agg(F.count("*").alias("fixed"), F.sum(F.xxhash64("at", "tok").cast("decimal(38,0)")).alias("sum"))
-                .where((F.col("fixed") >= constants * F.col("n")) & ((F.col("need") == min_docs) | (F.col("fixed") >= long)))
-                .select("leaf", "shape", F.xxhash64("leaf", "fixed", F.col("sum").cast("string")).alias("template")))
-    placed = sites.join(reliable_checkpoint(template), ["leaf", "shape"]).select("key", "pos", "need", "template")
-    recurring = (placed.select("template", "need", "key").distinct().groupBy("template", "need")
-                 .agg(F.count("*").alias("docs")).where("docs >= need").select("template"))
-    return placed.join(recurring, "template", "left_semi").select("key", "pos")
+    word = "tok not in ('<*>', '')"
+    own = reliable_checkpoint(
+        lines.join(F.broadcast(leaves) if small else leaves, "leaf", "left_semi")
+        .select("key", "pos", "leaf", "need", F.xxhash64("toks").alias("shape"), F.size("toks").alias("n"),
+                F.size(F.filter("toks", lambda t: ~t.isin("<*>", ""))).alias("words"), "toks"))
+    # equal lines of a leaf are one shape with a count
+    sites = own.select("key", "pos", "leaf", "need", "shape", "n", "words").distinct()
+    shapes = reliable_checkpoint(sites.groupBy("leaf", "need", "shape", "n", "words").agg(F.count("*").alias("c")))
+    mixed = reliable_checkpoint(shapes.groupBy("leaf").agg(F.min("shape").alias("a"), F.max("shape").alias("b"))
+                                .where("a != b").select("leaf"))
+
+    def enough(fixed: str) -> Column:
+        return (F.col(fixed) >= constants * F.col("n")) & ((F.col("need") == min_docs) | (F.col(fixed) >= long))
+
+    # a leaf of one shape: every word is a constant
+    alone = shapes.where(enough("words")).join(mixed, "leaf", "left_anti").select("leaf", "shape", F.col("shape").alias("template"))
+    # other leaves are opened: a shape's template is the sum of the hashes of its constants and places, in any order
+    opened = (own.join(F.broadcast(mixed) if small else mixed, "leaf", "left_semi").groupBy("leaf", "shape").agg(F.first("toks").alias("toks"))
+              .join(shapes.select("leaf", "shape", "need", "n", "c"), ["leaf", "shape"])
+              .select("leaf", "shape", "need", "n", "c", F.posexplode("toks").alias("at", "tok")).where(word)
+              .select("leaf", "shape", "need", "n", "c", F.xxhash64("at", "tok").alias("mark")))
+    held = opened.groupBy("leaf", "mark").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need").select("leaf", "mark")
+    general = (opened.join(held, ["leaf", "mark"], "left_semi").groupBy("leaf", "shape", "need", "n")
+               .agg(F.count("*").alias("fixed"), F.sum(F.col("mark").cast("decimal(38,0)")).alias("sum"))
+               .where(enough("fixed")).select("leaf", "shape", F.xxhash64("leaf", "fixed", F.col("sum").cast("string")).alias("template")))
+    template = reliable_checkpoint(alone.unionByName(general))
+    placed = sites.join(template, ["leaf", "shape"]).select("key", "pos", "leaf", "need", "template")
+    recurring = (placed.select("leaf", "template", "need", "key").distinct().groupBy("leaf", "template", "need")
+                 .agg(F.count("*").alias("docs")).where("docs >= need").select("leaf", "template"))
+    return placed.join(recurring, ["leaf", "template"], "left_semi").select("key", "pos")
 
 
 def cleaned(docs: DataFrame, text_col: str = "text", **options) -> tuple[DataFrame, str, str]:
