@@ -124,19 +124,18 @@ def brute_ppm(training, texts, order, least):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 3, 5])
-def test_scores_match_brute_force(spark, edge_docs, order, monkeypatch):
+@pytest.mark.parametrize(("order", "cells"), [(1, ppm.CELLS), (3, 0), (5, ppm.CELLS), (5, 2000), (5, 0)])
+def test_scores_match_brute_force(spark, edge_docs, order, cells, monkeypatch):
     monkeypatch.setattr(ppm, "FREQUENT", 20)  # most words take the join
     docs = edge_docs.where("doc_id <> 7 or length(text) < 1000").select("doc_id", "text")
     docs = docs.unionByName(spark.createDataFrame([(200 + i, prose(i, 30).title()) for i in range(12)], "doc_id bigint, text string"))
     training = docs.where("doc_id % 3 <> 1")
-    got = ppm.score(docs, training, order=order).collect()
+    got = ppm.score(docs, training, order=order, cells=cells).collect()
     train = [ppm.tokens(r["text"]) for r in training.collect()]
     rows = [(r["doc_id"], ppm.tokens(r["text"])) for r in docs.collect()]
     vocab = Counter(w for t in train for w in t)
     n, v, ends = sum(vocab.values()) + len(train), len(vocab) + 1, len(train)
-    total = sum(len(b" ".join(t)) + 1 for t in train if t)
-    scores = brute_ppm(train, [t for _, t in rows], order, max(2, math.ceil(total * ppm.SHARE)))
+    scores = brute_ppm(train, [t for _, t in rows], order, 2)
     want = sorted(((d, len(t) + 1, 1 + sum(w in vocab for w in t), n,
                     sum(math.log10((vocab[w] + 1) / (n + v + 1)) for w in t) + math.log10((ends + 1) / (n + v + 1)), s)
                    for (d, t), s in zip(rows, scores, strict=True)), key=str)
@@ -147,7 +146,7 @@ def test_scores_match_brute_force(spark, edge_docs, order, monkeypatch):
 
 def test_probabilities_sum_to_one(spark):
     counts = ppm.corpus_counts(spark.read.parquet(f"{SF}/documents.parquet").select("text"), 3)
-    trie = ppm.build(ppm.kept_contexts(counts, 3, 1e-4))
+    trie = ppm.build(ppm.cached_contexts(ppm.levels(counts, 3), 3, 100_000))
     p = 10.0 ** trie.logp[1:].astype(float)
     weight = np.bincount(trie.symbol, minlength=p.shape[1])
     assert np.allclose((p * weight).sum(axis=1), 1, atol=1e-4) and len(p) > 300
