@@ -84,6 +84,14 @@ def _e10(spark, sf):
     return r6(E.merged_scores(res.scores.drop("y"), THREE, 0.02))
 
 
+@query("ocsvm_nu_share", "SELECT count(*) AS n_rows, true AS share_near_nu FROM embeddings")
+def _ocsvm_nu_share(spark, sf):
+    """At the optimum a share nu = 0.05 of all rows scores above 0."""
+    share = F.avg((F.col("score") > 0).cast("double"))
+    return ocsvm_scores(M.standard_scale(emb_matrix(spark, sf)), nu=0.05).agg(
+        F.count("*").alias("n_rows"), (F.abs(share - 0.05) <= 0.01).alias("share_near_nu"))
+
+
 @query("ocsvm_scores")
 def _d5(spark, sf):
     return ocsvm_scores(M.standard_scale(emb_matrix(spark, sf)))
