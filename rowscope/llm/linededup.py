@@ -51,7 +51,7 @@ def _key(text: str) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """key, pos, toks of every line that is not empty. Lines with other white space than single spaces,
+    """key, pos, plain, toks of every line that is not empty; toks are the pieces of plain. Lines with other white space than single spaces,
     and lines with a digit, are rare: only they go through a regular expression."""
     line = F.col("line")
     odd = F.lit(False)
@@ -61,7 +61,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(plain, _VARIABLE, "<*>")).otherwise(plain)
     return (docs.select(_key("text").alias("key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
             .where(F.length(F.trim("line")) > 0)
-            .select("key", "pos", F.split(masked, " ").alias("toks")))
+            .select("key", "pos", masked.alias("plain")).withColumn("toks", F.split("plain", " ")))
 
 
 def _leaves(lines: DataFrame, depth: int, min_docs: int, long: int, long_depth: int, long_docs: int) -> DataFrame:
@@ -73,7 +73,7 @@ def _leaves(lines: DataFrame, depth: int, min_docs: int, long: int, long_depth:
 
     kinds = F.when(n >= long, F.array(leaf(0, depth, min_docs), leaf(1, long_depth, long_docs))).otherwise(
         F.array(leaf(0, depth, min_docs)))
-    return lines.select("key", "pos", "toks", F.inline(kinds).alias("leaf", "need"))
+    return lines.select("key", "pos", "plain", "toks", F.inline(kinds).alias("leaf", "need"))
 
 
 def dropped_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS,
@@ -89,7 +89,7 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, m
     own = reliable_checkpoint(
         lines.join(F.broadcast(leaves) if small else leaves, "leaf", "left_semi")
         .select("key", "pos", "leaf", "need", F.xxhash64("toks").alias("shape"), F.size("toks").alias("n"),
-                F.size(F.filter("toks", lambda t: ~t.isin("<*>", ""))).alias("words"), "toks"))
+                F.size(F.filter("toks", lambda t: ~t.isin("<*>", ""))).alias("words"), "plain"))
     # equal lines of a leaf are one shape with a count
     sites = own.select("key", "pos", "leaf", "need", "shape", "n", "words").distinct()
     shapes = reliable_checkpoint(sites.groupBy("leaf", "need", "shape", "n", "words").agg(F.count("*").alias("c")))
@@ -102,9 +102,9 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, m
     # a leaf of one shape: every word is a constant
     alone = shapes.where(enough("words")).join(mixed, "leaf", "left_anti").select("leaf", "shape", F.col("shape").alias("template"))
     # other leaves are opened: a shape's template is the sum of the hashes of its constants and places, in any order
-    opened = (own.join(F.broadcast(mixed) if small else mixed, "leaf", "left_semi").groupBy("leaf", "shape").agg(F.first("toks").alias("toks"))
+    opened = (own.join(F.broadcast(mixed) if small else mixed, "leaf", "left_semi").groupBy("leaf", "shape").agg(F.first("plain").alias("plain"))
               .join(shapes.select("leaf", "shape", "need", "n", "c"), ["leaf", "shape"])
-              .select("leaf", "shape", "need", "n", "c", F.posexplode("toks").alias("at", "tok")).where(word)
+              .select("leaf", "shape", "need", "n", "c", F.posexplode(F.split("plain", " ")).alias("at", "tok")).where(word)
               .select("leaf", "shape", "need", "n", "c", F.xxhash64("at", "tok").alias("mark")))
     held = opened.groupBy("leaf", "mark").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need").select("leaf", "mark")
     general = (opened.join(held, ["leaf", "mark"], "left_semi").groupBy("leaf", "shape", "need", "n")
