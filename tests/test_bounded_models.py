@@ -1,9 +1,13 @@
 """Forests and neighbours stay bounded wherever they are held."""
 
 import numpy as np
+import pytest
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from rowscope.detect import iforest
+from rowscope.detect import autoencoder, iforest, neighbours
+from rowscope.detect.lof import knn
+from rowscope.operators import evaluate
 
 
 def _rows(spark, n=300, d=6):
@@ -35,3 +39,63 @@ def test_large_forest_never_meets_on_the_driver(spark, monkeypatch):
     model, psi = iforest.fit(fm, 12, 64, 2)
     walked = iforest.score(fm, model, psi, penalize_range=True)
     assert np.allclose(sorted(r[1] for r in alone.collect()), sorted(r[1] for r in walked.collect()), atol=1e-12)
+
+
+def _brute(a, ida, b, idb, k, metric):
+    values = neighbours.distances(a, b, metric)
+    values[ida[:, None] == idb[None, :]] = np.inf
+    return [sorted((v, i) for v, i in zip(row.tolist(), idb.tolist(), strict=True) if np.isfinite(v))[:k] for row in values]
+
+
+def _lists(best):
+    return [[(v, i) for v, i in zip(*row, strict=True) if np.isfinite(v)] for row in zip(best.value.tolist(), best.id.tolist(), strict=True)]
+
+
+@pytest.mark.parametrize("metric", ["manhattan", "euclidean", "chebyshev"])
+@pytest.mark.parametrize(("na", "nb", "k", "offset"), [(300, 1100, 5, 0.0), (300, 40, 75, 1e6), (600, 600, 20, 1e40), (1, 3, 5, 0.0)])
+def test_neighbours_of_two_blocks_equal_all_distances(metric, na, nb, k, offset):
+    r = np.random.default_rng(2)
+    a, b = r.normal(size=(na, 7)) + offset, r.normal(size=(nb, 7)) + offset
+    a[na // 2:], b[nb // 2:] = np.round(a[na // 2:]), np.round(b[nb // 2:])  # ties
+    if na > 10:
+        a[3, 2], b[5, 1] = np.nan, np.inf
+    ida, idb = np.arange(na), np.arange(nb) + na // 2
+    left, right = neighbours.nearest_between(a, ida, b, idb, k, metric)
+    assert _lists(left) == _brute(a, ida, b, idb, k, metric) and _lists(right) == _brute(b, idb, a, ida, k, metric)
+
+
+def test_small_blocks_do_not_multiply_the_rows_moved(spark):
+    fm = _rows(spark, 1500).where("row_id is not null").dropDuplicates(["row_id"])
+    sent = knn(fm, 3, "manhattan", block_rows=16)
+    copies = next(int(line.split("sequence(0, ")[1].split(",")[0]) + 1 if "sequence(0, " in line else None
+                  for line in sent._jdf.queryExecution().analyzed().toString().splitlines() if "explode(sequence(0, " in line)
+    assert copies <= 8  # 94 blocks of 16 rows before
+    x = {r["row_id"]: r["x"] for r in fm.collect()}
+    ids = np.array(sorted(x))
+    rows = np.array([x[i] for i in ids])
+    want = dict(zip(ids.tolist(), _brute(rows, ids, rows, ids, 3, "manhattan"), strict=True))
+    got = {}
+    for r in sorted(sent.collect(), key=lambda r: (r["row_id"], r["rank"])):
+        got.setdefault(r["row_id"], []).append((r["dist"], r["nbr_id"]))
+    assert got == want
+
+
+def test_rows_without_structure_need_few_tables(spark):
+    near = neighbours.hashed_knn(_rows(spark, 2500, 32), 5, cell_rows=16, recall=0.95)
+    assert near.recall >= 0.95 and near.tables <= 24
+
+
+def test_thresholds_are_not_joined_by_key(spark):
+    scores = spark.range(1000).select(F.when(F.col("id") % 3 == 0, "A").otherwise("B").alias("algo"), F.col("id").cast("double").alias("score"))
+    plan = evaluate.flags(scores)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_errors_and_covers_hold_few_rows_at_a_time(monkeypatch):
+    r = np.random.default_rng(4)
+    sizes = [8, 16, 4, 16, 8]
+    p, x, seen = autoencoder._init(sizes, r, True), r.normal(size=(5000, 8)), []
+    whole = ((x - autoencoder._forward(p, x, 4, {})[0]) ** 2).mean(axis=1)
+    forward = autoencoder._forward
+    monkeypatch.setattr(autoencoder, "_forward", lambda p, X, *rest: (seen.append(len(X)), forward(p, X, *rest))[1])
+    assert np.allclose(autoencoder._recon_err(p, x, 4, {}), whole, atol=1e-12) and max(seen) <= 1024
