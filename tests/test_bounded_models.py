@@ -1,11 +1,12 @@
 """Forests and neighbours stay bounded wherever they are held."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowscope.detect import autoencoder, iforest, neighbours
+from rowscope.detect import autoencoder, iforest, inne, neighbours
 from rowscope.detect.lof import knn
 from rowscope.operators import evaluate
 
@@ -91,7 +92,7 @@ def test_thresholds_are_not_joined_by_key(spark):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
-def test_errors_and_covers_hold_few_rows_at_a_time(monkeypatch):
+def test_errors_hold_few_rows_at_a_time(monkeypatch):
     r = np.random.default_rng(4)
     sizes = [8, 16, 4, 16, 8]
     p, x, seen = autoencoder._init(sizes, r, True), r.normal(size=(5000, 8)), []
@@ -99,3 +100,24 @@ def test_errors_and_covers_hold_few_rows_at_a_time(monkeypatch):
     forward = autoencoder._forward
     monkeypatch.setattr(autoencoder, "_forward", lambda p, X, *rest: (seen.append(len(X)), forward(p, X, *rest))[1])
     assert np.allclose(autoencoder._recon_err(p, x, 4, {}), whole, atol=1e-12) and max(seen) <= 1024
+
+
+def test_rows_without_features_are_refused():
+    col = pa.chunked_array([pa.array([[1.0, 2.0], None], pa.list_(pa.float64()))])
+    with pytest.raises(ValueError):
+        neighbours.matrix(col, 2)
+    with pytest.raises(ValueError):
+        neighbours.matrix(pa.chunked_array([pa.array([[1.0], [2.0, 3.0, 4.0]])]), 2)
+
+
+def test_covers_hold_few_rows_at_a_time(monkeypatch):
+    r = np.random.default_rng(6)
+    x, seen = r.normal(size=(3000, 4)), []
+    forest = [(r.normal(size=(32, 4)), r.uniform(0.1, 2.0, 32), r.uniform(0, 1, 32)) for _ in range(3)]
+    want = np.zeros(3000)
+    for c, rad, ratio in forest:
+        near = np.where(((x[:, None] - c[None]) ** 2).sum(-1) <= rad[None], rad[None], np.inf)
+        want += np.where(np.isfinite(near.min(axis=1)), ratio[near.argmin(axis=1)], 1.0)
+    covered = inne._covered
+    monkeypatch.setattr(inne, "_covered", lambda X, *rest: (seen.append(len(X)), covered(X, *rest))[1])
+    assert np.allclose(inne._sums(x, forest), want, atol=1e-12) and max(seen) <= 1024
