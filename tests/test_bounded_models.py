@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowscope.detect import autoencoder, iforest, inne, neighbours
+from rowscope.detect import autoencoder, iforest, inne, lof, neighbours
 from rowscope.detect.lof import knn
 from rowscope.operators import evaluate
 
@@ -121,3 +121,35 @@ def test_covers_hold_few_rows_at_a_time(monkeypatch):
     covered = inne._covered
     monkeypatch.setattr(inne, "_covered", lambda X, *rest: (seen.append(len(X)), covered(X, *rest))[1])
     assert np.allclose(inne._sums(x, forest), want, atol=1e-12) and max(seen) <= 1024
+
+
+def test_exact_neighbours_move_no_candidates(spark, monkeypatch):
+    """Rows stream past the block a task holds: one exchange of rows, none of candidate lists, whatever arrives together."""
+    fm = _rows(spark, 900)
+    monkeypatch.setattr(lof, "GROUP_ROWS", 64)
+    monkeypatch.setattr(lof, "TOGETHER", 50)
+    near = knn(fm, 4, "manhattan", block_rows=64)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1  # the lists of every pair of blocks were shuffled and ranked
+    rows = [r for r in fm.collect() if r["row_id"] is not None]
+    ids, x = np.array([r["row_id"] for r in rows]), np.array([r["x"] for r in rows])
+    want: dict = {}
+    for i, own in zip(ids.tolist(), _brute(x, ids, x, ids, 4, "manhattan"), strict=True):
+        want[i] = sorted(want.get(i, []) + own)[:4]  # rows that share an id have one list
+    got: dict = {}
+    for r in sorted(near.collect(), key=lambda r: (r["row_id"], r["rank"])):
+        got.setdefault(r["row_id"], []).append((r["dist"], r["nbr_id"]))
+        assert r["rank"] == len(got[r["row_id"]])
+    assert got == want
+
+
+@pytest.mark.parametrize("kind", ["even", "heavy tails", "two clumps", "constant", "tiny"])
+def test_short_sums_name_every_neighbour(kind):
+    r = np.random.default_rng(9)
+    x = {"even": lambda: r.normal(size=(5000, 12)), "heavy tails": lambda: r.standard_t(1, size=(5000, 12)), "constant": lambda: np.ones((5000, 12)),
+         "two clumps": lambda: r.normal(size=(5000, 12)) + 1e4 * r.integers(0, 2, (5000, 1)), "tiny": lambda: r.normal(size=(5000, 12)) * 1e-30}[kind]()
+    ids = r.permutation(5000)
+    near = neighbours.Nearest(x[:90], ids[:90], 7, "manhattan")
+    for at in (0, 40, 4500):
+        near.meet(x[at: {0: 40, 40: 4500}.get(at)], ids[at: {0: 40, 40: 4500}.get(at)])
+    assert _lists(near.best) == _brute(x[:90], ids[:90], x, ids, 7, "manhattan")
