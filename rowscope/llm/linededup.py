@@ -51,8 +51,8 @@ def _key(text: str) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """key, pos, plain, toks of every line that is not empty; toks are the pieces of plain. Lines with other white space than single spaces,
-    and lines with a digit, are rare: only they go through a regular expression."""
+    """key, pos, plain and n of every line that is not empty; n is the number of tokens, the pieces of plain between its spaces. Lines with
+    other white space than single spaces, and lines with a digit, are rare: only they go through a regular expression."""
     line = F.col("line")
     odd = F.lit(False)
     for space in ("  ", "\t", "\x0B", "\f", "\r"):
@@ -60,20 +60,19 @@ def _lines(docs: DataFrame) -> DataFrame:
     plain = F.trim(F.when(odd, F.regexp_replace(line, r"[ \t\x0B\f\r]+", " ")).otherwise(line))
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(plain, _VARIABLE, "<*>")).otherwise(plain)
     return (docs.select(_key("text").alias("key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-            .where(F.length(F.trim("line")) > 0)
-            .select("key", "pos", masked.alias("plain")).withColumn("toks", F.split("plain", " ")))
+            .where(F.octet_length(F.trim("line")) > 0)
+            .select("key", "pos", masked.alias("plain"))
+            .withColumn("n", F.octet_length("plain") - F.octet_length(F.replace("plain", F.lit(" "), F.lit(""))) + 1))
 
 
 def _leaves(lines: DataFrame, depth: int, min_docs: int, long: int, long_depth: int, long_docs: int) -> DataFrame:
     """The lines with their leaf and the number of texts it asks for; a long line has a leaf of each kind."""
-    n = F.size("toks")
-
     def leaf(kind: int, at: int, need: int) -> Column:
-        return F.struct(F.xxhash64(F.lit(kind), n, F.slice("toks", 1, at)).alias("leaf"), F.lit(need).alias("need"))
+        return F.struct(F.xxhash64(F.lit(kind), "n", F.substring_index("plain", " ", at)).alias("leaf"), F.lit(need).alias("need"))
 
-    kinds = F.when(n >= long, F.array(leaf(0, depth, min_docs), leaf(1, long_depth, long_docs))).otherwise(
+    kinds = F.when(F.col("n") >= long, F.array(leaf(0, depth, min_docs), leaf(1, long_depth, long_docs))).otherwise(
         F.array(leaf(0, depth, min_docs)))
-    return lines.select("key", "pos", "plain", "toks", F.inline(kinds).alias("leaf", "need"))
+    return lines.select("key", "pos", "plain", "n", F.inline(kinds).alias("leaf", "need"))
 
 
 def dropped_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS,
@@ -86,10 +85,12 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, m
     leaves = reliable_checkpoint(seen.where("docs >= need").select("leaf"))
     small = leaves.count() <= BROADCAST_ROWS
     word = "tok not in ('<*>', '')"
+    # tokens are taken apart only where some are not words; a line of other white space alone has one, the empty one
+    words = F.when(F.col("plain").contains("<*>") | (F.col("plain") == ""), F.size(F.filter(
+        F.split("plain", " "), lambda t: ~t.isin("<*>", "")))).otherwise(F.col("n"))
     own = reliable_checkpoint(
         lines.join(F.broadcast(leaves) if small else leaves, "leaf", "left_semi")
-        .select("key", "pos", "leaf", "need", F.xxhash64("toks").alias("shape"), F.size("toks").alias("n"),
-                F.size(F.filter("toks", lambda t: ~t.isin("<*>", ""))).alias("words"), "plain"))
+        .select("key", "pos", "leaf", "need", F.xxhash64("plain").alias("shape"), "n", words.alias("words"), "plain"))
     # equal lines of a leaf are one shape with a count
     sites = own.select("key", "pos", "leaf", "need", "shape", "n", "words").distinct()
     shapes = reliable_checkpoint(sites.groupBy("leaf", "need", "shape", "n", "words").agg(F.count("*").alias("c")))

@@ -152,3 +152,18 @@ def test_quality_fit_repeats(spark):
     again = quality.fit(docs.repartition(3, "doc_id"), labels)
     assert [r for r, _ in want.weighted] == [r for r, _ in quality.fit(docs, labels).weighted]
     assert want.weighted and again.weighted
+
+
+def test_lines_are_counted_without_token_arrays(spark):
+    texts = ["a b  c\td\n\t\n   \n <*> x1 y <*>z 2\nlone", " one two  ", "été à 3é\x0Bq\f\n\r\n"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    lines = linededup._leaves(linededup._lines(docs), 3, 10, 10, 6, 2)
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "array<string>" not in plan and plan.count("split(") == 1  # into lines; every line was split into tokens before
+    want = []
+    for t in texts:
+        for at, line in enumerate(t.split("\n")):
+            if line.strip(" "):
+                own = [x if not any(c in "0123456789" for c in x) else "<*>" for x in line.translate(str.maketrans("\t\x0B\f\r", "    ")).split(" ") if x]
+                want.append((at, " ".join(own), max(1, len(own))))
+    assert sorted(map(tuple, lines.select("pos", "plain", "n").collect())) == sorted(want)
