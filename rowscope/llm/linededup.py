@@ -52,14 +52,18 @@ def _key(text: str) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """key, pos, plain and n of every line that is not empty; n is the number of tokens, the pieces of plain between its spaces. Lines with
-    other white space than single spaces, and lines with a digit, are rare: only they go through a regular expression."""
-    line = F.col("line")
+    other white space than single spaces, and lines with a digit, are rare: only they go through a regular expression, and only the
+    lines of texts that hold such a place at all are looked at."""
+    line, some = F.col("line"), F.col("text").rlike("[0-9\t\x0B\f\r]") | F.col("text").contains("  ")
     odd = F.lit(False)
     for space in ("  ", "\t", "\x0B", "\f", "\r"):
         odd = odd | line.contains(space)
+    odd = F.col("some") & odd
     plain = F.trim(F.when(odd, F.regexp_replace(line, r"[ \t\x0B\f\r]+", " ")).otherwise(line))
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(plain, _VARIABLE, "<*>")).otherwise(plain)
-    return (docs.select(_key("text").alias("key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    masked = F.when(F.col("some") & line.rlike("[0-9]"), F.regexp_replace(plain, _VARIABLE, "<*>")).otherwise(plain)
+    # what is asked of a text stands below the generator: beside it, it would be computed for every line
+    return (docs.select(_key("text").alias("key"), some.alias("some"), "text")
+            .select("key", "some", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
             .where(F.octet_length(F.trim("line")) > 0)
             .select("key", "pos", masked.alias("plain"))
             .withColumn("n", F.octet_length("plain") - F.octet_length(F.replace("plain", F.lit(" "), F.lit(""))) + 1))
