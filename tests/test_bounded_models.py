@@ -153,3 +153,25 @@ def test_short_sums_name_every_neighbour(kind):
     for at in (0, 40, 4500):
         near.meet(x[at: {0: 40, 40: 4500}.get(at)], ids[at: {0: 40, 40: 4500}.get(at)])
     assert _lists(near.best) == _brute(x[:90], ids[:90], x, ids, 7, "manhattan")
+
+
+@pytest.mark.parametrize("kind", ["even", "heavy tails", "copies"])
+def test_byte_sums_name_every_neighbour(kind, monkeypatch):
+    r = np.random.default_rng(12)
+    x = {"even": lambda: r.normal(size=(24_000, 24)), "heavy tails": lambda: r.standard_t(2, size=(24_000, 24)),
+         "copies": lambda: np.repeat(r.normal(size=(4800, 24)), 5, axis=0)}[kind]()
+    ids = r.permutation(24_000)
+    tiny, small = [], []
+    byte, whole = neighbours._byte_sums, neighbours._absolute_sums
+    monkeypatch.setattr(neighbours, "_byte_sums", lambda a, b: (tiny.append(1), byte(a, b))[1])
+    monkeypatch.setattr(neighbours, "_absolute_sums", lambda a, b: (small.append(a.dtype), whole(a, b))[1])
+    near = neighbours.Nearest(x[:16], ids[:16], 4, "manhattan")
+    near.meet(x, ids)
+    assert _lists(near.best) == _brute(x[:16], ids[:16], x, ids, 4, "manhattan")
+    if kind != "heavy tails":  # the 16-bit sums of whole blocks end when every row has its lists
+        assert len(tiny) >= 3 and small.count(np.dtype(np.int16)) < len(tiny)
+
+
+def test_byte_sums_hold_the_largest_differences():
+    a = np.full((9, 2), neighbours.FEW, np.int8)
+    assert (neighbours._byte_sums(a, -a) == 18 * neighbours.FEW).all() and 2 * neighbours.FEW * neighbours.BYTE < 256
