@@ -305,10 +305,15 @@ def links(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARIT
     central = members.groupBy("key").agg(F.sum("size").alias("central"))
     release(texts.sparkSession)
     pairs = reliable_checkpoint(_with_leaders(members.join(central, "key"), 0, leaders, [F.desc("central"), "key"], similarity))
+    del vectors, rows, sizes, central  # so that their files can go
+    release(texts.sparkSession)
     seqs = _sequences(texts, members.select("key"), bits)
+    release(texts.sparkSession)
     linked = reliable_checkpoint(_aligned(seqs, pairs, similarity))
     compared, found = pairs, linked
+    release(texts.sparkSession)
     stars = components(linked, "a", "b")
+    release(texts.sparkSession)
     # texts of buckets that still hold several components meet under their rarest shingles
     rest = _open_buckets(_rooted(members.drop("root"), stars)).select("key").distinct()
     refined = reliable_checkpoint(_rarest(seqs.join(rest, "key", "left_semi"), similarity, bits))
