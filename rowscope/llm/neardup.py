@@ -253,7 +253,9 @@ def _rarest(seqs: DataFrame, similarity: float, bits: int) -> DataFrame:
     own = Window.partitionBy("key", "size", "rarest")
     ranked = tokens.join(shared, "bucket").withColumn("alone", F.col("size") - F.count("*").over(own)).withColumn(
         "place", F.col("alone") + F.row_number().over(own.orderBy("texts", "bucket")))
-    return ranked.where("place <= rarest").select("bucket", "key", "n")
+    rarest = reliable_checkpoint(ranked.where("place <= rarest").select("bucket", "key", "n"))
+    table.destroy()
+    return rarest
 
 
 def _in_buckets(vectors: DataFrame, table) -> DataFrame:
@@ -295,13 +297,20 @@ def _with_leaders(members: DataFrame, first: int, most: int, order: list, simila
 def links(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY, count: int = SKETCHES, pick: int = PICK,
           leaders: int = LEADERS, bits: int = FILTER_BITS) -> DataFrame:
     """a, b: keys of linked pairs of different texts."""
+    return _linked(docs, text_col, similarity, count, pick, leaders, bits)[0]
+
+
+def _linked(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY, count: int = SKETCHES, pick: int = PICK,
+            leaders: int = LEADERS, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+    """The links (a, b) and their components (node, root)."""
     release(docs.sparkSession)
     texts = bounded_batches(docs).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     vectors = reliable_checkpoint(sketch_rows(texts, count, pick).dropDuplicates(["key"]))
     rows = vectors.select(F.explode("v").alias("bucket"))
     sizes = reliable_checkpoint(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
-    members = reliable_checkpoint(_in_buckets(vectors, _bit_table(sizes.select("bucket"), bits)).join(sizes, "bucket")
-                                  .withColumn("root", F.col("key")))
+    table = _bit_table(sizes.select("bucket"), bits)
+    members = reliable_checkpoint(_in_buckets(vectors, table).join(sizes, "bucket").withColumn("root", F.col("key")))
+    table.destroy()
     central = members.groupBy("key").agg(F.sum("size").alias("central"))
     release(texts.sparkSession)
     pairs = reliable_checkpoint(_with_leaders(members.join(central, "key"), 0, leaders, [F.desc("central"), "key"], similarity))
@@ -316,7 +325,7 @@ def links(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARIT
     release(texts.sparkSession)
     # texts of buckets that still hold several components meet under their rarest shingles
     rest = _open_buckets(_rooted(members.drop("root"), stars)).select("key").distinct()
-    refined = reliable_checkpoint(_rarest(seqs.join(rest, "key", "left_semi"), similarity, bits))
+    refined = _rarest(seqs.join(rest, "key", "left_semi"), similarity, bits)
     release(texts.sparkSession)
     first, most = 0, 16 * leaders  # the buckets are small by now: few rounds
     while True:
@@ -333,7 +342,7 @@ def links(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARIT
         compared = compared.unionByName(fresh_pairs)
         first, most = first + most, 2 * most
         release(texts.sparkSession)
-    return found
+    return found, stars
 
 
 def _rooted(members: DataFrame, stars: DataFrame) -> DataFrame:
@@ -369,7 +378,9 @@ def _sequences(texts: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
                     pa.array(soff.astype(np.int32)), pa.array(low))], names=["key", "seq"])
 
     seqs = texts.select("text", F.xxhash64(text_key("text")).alias("h")).mapInArrow(tokens, "key binary, seq array<int>")
-    return reliable_checkpoint(seqs.dropDuplicates(["key"]))
+    seqs = reliable_checkpoint(seqs.dropDuplicates(["key"]))
+    known.destroy()
+    return seqs
 
 
 def _aligned(seqs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -398,7 +409,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **o
     """key, class_id (least id of the equal texts), copies, group_key, group_id (least id of the group)."""
     own = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("key"))
     alone = own.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
-    roots = components(links(docs, text_col, **options), "a", "b")
+    _, roots = _linked(docs, text_col, **options)
     joined = alone.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     joined = reliable_checkpoint(joined)
     heads = joined.groupBy("root").agg(F.min("class_id").alias("group_id"), F.count("*").alias("texts"))

@@ -83,6 +83,27 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a int, b int"), "a", "b").count() == 0
 
 
+def test_components_stop_at_stars(spark, monkeypatch):
+    """Links that are stars already take no round; the groups do not repeat the components of the links."""
+    from rowscope.llm import _graph
+
+    rounds = []
+    star = _graph._star
+    monkeypatch.setattr(_graph, "_star", lambda edges, large: rounds.append(large) or star(edges, large))
+    stars = [(1, 5), (7, 1), (1, 9), (20, 21), (30, 22), (30, 22)]
+    got = {x["node"]: x["root"] for x in components(spark.createDataFrame(stars, "a int, b int"), "a", "b").collect()}
+    assert got == {1: 1, 5: 1, 7: 1, 9: 1, 20: 20, 21: 20, 22: 22, 30: 22} and not rounds
+    for chain in ([(1, 2), (2, 3)], [(3, 1), (3, 2)]):  # a root that hangs on another, a node on two
+        got = {x["node"]: x["root"] for x in components(spark.createDataFrame(chain, "a int, b int"), "a", "b").collect()}
+        assert got == {1: 1, 2: 1, 3: 1}
+    assert rounds
+    runs = []
+    monkeypatch.setattr(neardup, "components", lambda *a: runs.append(a) or components(*a))
+    rows = [(1, prose(1, 60)), (2, prose(1, 60) + " tail"), (3, prose(2, 60)), (4, prose(1, 60))]
+    groups = {r["doc_id"]: (r["group_id"], r["n_texts"]) for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert groups == {1: (1, 2), 2: (1, 2), 4: (1, 2), 3: (3, 1)} and len(runs) == 1
+
+
 # --- Order MinHash
 
 def test_banded_alignment_is_exact():
