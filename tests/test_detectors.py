@@ -65,3 +65,20 @@ def test_benchmark_records_failures(planted):
     board = {r["algo"]: r for r in res.board.collect()}
     assert board["LOF"]["status"] == "failed" and board["COPOD"]["status"] == "ok"
     assert res.best.first()["best_algo"] == "COPOD"
+
+
+def test_failed_detector_ends_the_benchmark_queries(spark, monkeypatch):
+    """Tables without a status column are made of all three detectors or not at all."""
+    from rowscope.plans import benchmark
+    from rowscope.plans.catalog import load
+
+    def boom(fm, train=None):
+        raise RuntimeError("bad detector")
+
+    for name in ("INNE", "COPOD"):
+        monkeypatch.setitem(benchmark.SCORERS, name, boom)
+    for query in ("benchmark_best", "benchmark_leaderboard", "pseudo_evaluation", "pseudo_labels", "merged_scores"):
+        with pytest.raises(RuntimeError, match="COPOD failed.*bad detector"):
+            load()[0][query](spark, "/root/testdata/sf0.001")
+    with pytest.raises(ValueError):
+        run_benchmark(None, failures="ignore")
