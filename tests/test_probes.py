@@ -171,6 +171,50 @@ def test_hashed_neighbours_make_no_block_pairs(spark):
     assert rows.count() <= 3 * 600 * 5
 
 
+def test_rows_with_a_limit_meet_once(monkeypatch):
+    """The sums of a pair serve both of its rows, and the lists equal those made without limits."""
+    r = np.random.default_rng(9)
+    x = r.normal(size=(3000, 24))
+    x[5] *= 40
+    x[70, 3] = np.nan
+    x[100:140] = x[100]
+    ids = np.arange(3000)
+    ids[9] = 8
+    plain = neighbours.Nearest(x, ids, 5, "manhattan")
+    plain.meet(x, ids)
+    kth = plain.best.bound()
+    pairs = []
+    for name in ("_byte_sums", "_absolute_sums"):
+        taken = getattr(neighbours, name)
+        monkeypatch.setattr(neighbours, name, lambda a, b, taken=taken: (pairs.append(a.shape[1] * b.shape[1]), taken(a, b))[1])
+    for limit in (kth, np.where(np.isfinite(kth), 1.2 * kth, np.inf), np.where(r.random(3000) < 0.05, np.inf, kth), np.full(3000, np.inf)):
+        pairs.clear()
+        near = neighbours.Nearest(x, ids, 5, "manhattan", limit)
+        near.meet_own()
+        assert np.array_equal(near.best.id, plain.best.id) and np.array_equal(near.best.value, plain.best.value)
+        if limit is kth:
+            assert sum(pairs) < 0.65 * 3000 ** 2
+    # a limit below the k-th distance: only others within it are listed
+    near = neighbours.Nearest(x, ids, 5, "manhattan", 0.9 * kth)
+    near.meet_own()
+    want = np.where(plain.best.value <= 0.9 * kth[:, None], plain.best.value, np.inf)
+    assert np.array_equal(near.best.value, want)
+
+
+def test_later_tables_offer_only_what_can_enter_the_lists(spark):
+    fm = _clusters(spark, 600)
+    points = np.stack([r["x"] for r in fm.collect()])
+    made = [neighbours.Table(points, 600, 64, np.random.default_rng(i)) for i in range(3)]
+    first = neighbours._ranked(neighbours._candidates(fm, made[:2], 0, 5, "manhattan", 64).groupBy("row_id", "nbr_id").agg(
+        F.min("dist").alias("dist")), 5).cache()
+    all_of_it = neighbours._candidates(fm, made[2:], 2, 5, "manhattan", 64)
+    bounded = neighbours._candidates(fm, made[2:], 2, 5, "manhattan", 64, first)
+    kth = first.where("rank = 5").select("row_id", F.col("dist").alias("kth"))
+    want = {tuple(r) for r in all_of_it.join(kth, "row_id", "left").where("kth is null or dist <= kth").drop("kth").collect()}
+    got = {tuple(r) for r in bounded.collect()}
+    assert got == want and len(got) < all_of_it.count()
+
+
 def test_kbest_over_blocks_equals_a_sort():
     r = np.random.default_rng(5)
     values = r.integers(0, 30, (7, 400)).astype(float)
