@@ -316,6 +316,75 @@ def test_representative_holds_passage_twice(spark):
     assert not any(r["doc_id"] == 6 for r in got)  # repeats inside one text alone are no result
 
 
+def _edited_copies():
+    """Copies of a passage with one to three edited words each, none of them unedited, between words of their own."""
+    base = prose(31, 60).split()
+    texts = []
+    for i in range(60):
+        r = random.Random(900 + i)
+        own = list(base)
+        for at in r.sample(range(60), r.choice((1, 2, 2, 3))):
+            own[at] = f"edited{i}x{at}"
+        texts.append(" ".join([prose(5000 + i, 20 + i % 7), *own, prose(6000 + i, 25)]))
+    return texts
+
+
+def _brute_force(texts):
+    """Texts that share a passage with any other one."""
+    data = [t.encode() for t in texts]
+    raw, off = np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    _, _, hashes, woff = passages.words(raw, off)
+    sh, soff = passages.shingles(hashes, woff, passages.SHINGLE)
+    seqs = [sh[soff[i]: soff[i + 1]] for i in range(len(texts))]
+    least, out = passages.PASSAGE - passages.SHINGLE + 1, set()
+    for i, x in enumerate(seqs):
+        for j, y in enumerate(seqs):
+            places = {int(v): p for p, v in enumerate(y.tolist())}
+            common = [(p, places[int(v)]) for p, v in enumerate(x.tolist()) if int(v) in places]
+            if i != j and common and any(passages.stretches(x, y, d, 0, len(x) - 1, least, passages.SIMILARITY) for d in {p - q for p, q in common}):
+                out |= {i, j}
+    return out
+
+
+def test_edited_passages_without_an_unedited_copy(spark):
+    texts = _edited_copies()
+    want = _brute_force(texts)
+    got = {r["doc_id"] for r in passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert len(want) > 25 and got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_every_text_of_a_shingle_is_met(spark, monkeypatch):
+    """Ranges go on to further texts until they are covered; a passage is named once for each text, not once for each pair."""
+    monkeypatch.setattr(passages, "FIRST", 1)
+    monkeypatch.setattr(passages, "FACTOR", 2)
+    texts = _edited_copies()
+    rows = passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    want = _brute_force(texts)
+    assert len({r["doc_id"] for r in rows} & want) >= 0.97 * len(want) and len(rows) < 6 * 60
+
+
+def test_uncovered_ranges_and_their_rarest_shingles():
+    assert passages.uncovered([(0, 100)], [(20, 60)], 10, 8) == [(0, 17), (53, 100)]
+    assert passages.uncovered([(0, 5), (40, 50)], [(0, 30), (45, 70)], 10, 8) == [(40, 42)]
+    assert passages.uncovered([(3, 9)], [(5, 9)], 10, 8) == [(3, 9)]  # a passage shorter than need covers none
+    r = np.random.default_rng(4)
+    for _ in range(20):
+        seq, level = r.integers(-40, 40, 60).astype(np.int32), r.integers(0, 5, 60)
+        place, first, last = passages.rarest(seq, level, [(0, 20), (30, 70)], 10, 7)
+        order = [(level[i], int(seq[i]) & 0xFFFFFFFF) for i in range(60)]
+        reach = defaultdict(list)
+        for s in [*range(21), *range(30, 51)]:
+            if (level[s:s + 10] == 0).sum() <= 3:
+                low = sorted(order[s:s + 10])[:4]
+                for i in range(s, s + 10):
+                    if level[i] > 0 and order[i] <= low[-1]:
+                        reach[i].append(s)
+        assert set(place.tolist()) <= set(reach)
+        for s in [*range(21), *range(30, 51)]:
+            if (level[s:s + 10] == 0).sum() <= 3:  # four positions of the range, those of level 0 among them
+                assert (level[s:s + 10] == 0).sum() + sum(s <= p < s + 10 and f <= s <= e - 9 for p, f, e in zip(place, first, last, strict=True)) >= 4
+
+
 def test_passage_edges(edge_docs, no_docs):
     rows = {tuple(r) for r in passages.repeated_passages(edge_docs).collect()}
     assert rows == {(5, 0, 80, 5, 0, 80), (6, 0, 80, 5, 0, 80)}
